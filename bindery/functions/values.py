@@ -53,40 +53,21 @@ def to_number(c: Column | str) -> Column:
     return F.coalesce(parse_currency(c), to_double(c))
 
 
-def _ymd(s: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    """A date from the numbered groups of ``pattern``; null if impossible."""
-    def part(i: int) -> Column:
-        return F.regexp_extract(s, pattern, i).try_cast("int")
-    y = part(year)
-    text = F.format_string("%04d-%02d-%02d", y, part(month), part(day))
-    return F.when(s.rlike(pattern) & (y >= 1), text.try_cast("date"))
-
-
-MONTHS = ["january", "february", "march", "april", "may", "june", "july",
-          "august", "september", "october", "november", "december"]
-
-
 def parse_date(c: Column | str) -> Column:
-    """First of m/d/Y, m-d-Y, Y-m-d, m/d/y, d/m/Y and ``Month d, Y`` that fits."""
+    """First of m/d/Y, m-d-Y, Y-m-d, m/d/y, d/m/Y and ``Month d, Y`` that fits.
+
+    A shape test first, so that each text meets at most two parsers; two-digit
+    years from 69 on are 19xx.
+    """
     s = strip(c)
-    two_digit = r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
-    yy = F.regexp_extract(s, two_digit, 3).try_cast("int")
-    century = F.when(yy >= 69, yy + 1900).otherwise(yy + 2000)
-    short = F.concat(F.regexp_extract(s, two_digit, 1), F.lit("/"), F.regexp_extract(s, two_digit, 2),
-                     F.lit("/"), century.cast("string"))
-    slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-    named = r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})$"
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(s, named, 1)))
-    named_text = F.concat(month.cast("string"), F.lit("/"), F.regexp_extract(s, named, 2), F.lit("/"),
-                          F.regexp_extract(s, named, 3))
-    return F.coalesce(
-        _ymd(s, slashed, 3, 1, 2),
-        _ymd(s, r"^(\d{1,2})-(\d{1,2})-(\d{4})$", 3, 1, 2),
-        _ymd(s, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3),
-        F.when(s.rlike(two_digit), _ymd(short, slashed, 3, 1, 2)),
-        _ymd(s, slashed, 3, 2, 1),
-        F.when(s.rlike(named) & (month > 0), _ymd(named_text, slashed, 3, 1, 2)),
-    )
+    century = F.when(F.right(s, F.lit(2)) >= "69", "/19").otherwise("/20")
+    long_year = F.concat(F.substring_index(s, "/", 2), century, F.right(s, F.lit(2)))
+    return (F.when(s.rlike(r"^\d{1,2}/\d{1,2}/(?!0000)\d{4}$"), F.coalesce(F.try_to_date(s, "M/d/yyyy"), F.try_to_date(s, "d/M/yyyy")))
+            .when(s.rlike(r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(s, "yyyy-M-d"))
+            .when(s.rlike(r"^\d{1,2}-\d{1,2}-(?!0000)\d{4}$"), F.try_to_date(s, "M-d-yyyy"))
+            .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(long_year, "M/d/yyyy"))
+            .when(s.rlike(r"^[A-Za-z]+\s+\d{1,2},\s+(?!0000)\d{4}$"), F.try_to_date(
+                F.initcap(F.regexp_replace(s, r"\s+", " ")), "MMMM d, yyyy")))
 
 
 def normalise_string(c: Column | str) -> Column:
