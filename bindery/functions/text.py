@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 # Python's idea of white space: Unicode space characters and the ASCII separators.
 SPACE = r"[\s\x1c-\x1f]"
+# What ends a line: Python's splitlines, not only the newline.
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def col(c: Column | str) -> Column:
@@ -25,7 +27,7 @@ def is_blank(c: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Lines right-stripped, at most two blank lines in a row, ends stripped."""
-    lines = F.regexp_replace(F.coalesce(col(c), F.lit("")), "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]", "\n")
+    lines = F.regexp_replace(F.coalesce(col(c), F.lit("")), LINE_BREAK, "\n")
     stripped = F.regexp_replace(lines, r"(?U)[\s\x1c-\x1f&&[^\n]]+(?=\n|$)", "")
     return strip(F.regexp_replace(stripped, "\n{4,}", "\n\n\n"))
 

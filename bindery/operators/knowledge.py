@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindery import fixed
-from bindery.functions.text import SPACE, is_blank, preview, strip
+from bindery.functions.text import LINE_BREAK, SPACE, is_blank, preview, strip
 from bindery.functions.vectors import block_top_k, dot
 from bindery.operators.relational import filter_equal, newest_first, page_of
 
@@ -48,7 +48,7 @@ def _is_heading(line: Column) -> Column:
 
 def section_of(text: Column | str) -> Column:
     """First heading-like line, its marks removed."""
-    lines = F.split(F.col(text) if isinstance(text, str) else text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
+    lines = F.split(F.col(text) if isinstance(text, str) else text, LINE_BREAK)
     first = strip(F.get(F.filter(lines, _is_heading), F.lit(0)))
     marked = first.startswith("# ") | first.startswith("## ")
     return F.when(marked, strip(F.regexp_replace(first, "^#+", ""))).otherwise(first)
