@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# Python's idea of white space: Unicode space characters and the ASCII separators.
+# Python's idea of white space, as a set of characters and as a pattern.
+WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 SPACE = r"[\s\x1c-\x1f]"
 # What ends a line: Python's splitlines, not only the newline.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -18,11 +19,12 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Both ends stripped of any white space (``trim`` strips only blanks)."""
-    return F.regexp_replace(col(c), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(c), F.lit(WHITESPACE))
 
 
 def is_blank(c: Column | str) -> Column:
-    return F.coalesce(~col(c).rlike(f"(?U)[^\\s\\x1c-\\x1f]"), F.lit(True))
+    """Null, empty or nothing but white space."""
+    return F.coalesce(strip(c) == "", F.lit(True))
 
 
 def clean_text(c: Column | str) -> Column:

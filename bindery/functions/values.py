@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from bindery.functions.text import SPACE, col, strip
+from bindery.functions.text import SPACE, WHITESPACE, col, strip
 
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 
@@ -43,31 +43,33 @@ def to_double(c: Column | str) -> Column:
 
 def parse_currency(c: Column | str) -> Column:
     """``$1,000`` -> 1000, ``5M`` -> 5e6, ``2.5k`` -> 2500; null if it is no amount."""
-    s = F.regexp_replace(col(c), rf"(?U)[$,]|{SPACE}", "")
+    s = F.translate(col(c), "$," + WHITESPACE, "")
     suffix = F.upper(F.right(s, F.lit(1)))
     number = F.when(suffix.isin("M", "K"), F.left(s, F.length(s) - 1)).otherwise(s)
     return to_double(number) * F.when(suffix == "M", 1e6).when(suffix == "K", 1e3).otherwise(1.0)
 
 
 def to_number(c: Column | str) -> Column:
-    return F.coalesce(parse_currency(c), to_double(c))
+    """An amount or a plain number; as text, every plain number is an amount too."""
+    return parse_currency(c)
 
 
 def parse_date(c: Column | str) -> Column:
     """First of m/d/Y, m-d-Y, Y-m-d, m/d/y, d/m/Y and ``Month d, Y`` that fits.
 
-    A shape test first, so that each text meets at most two parsers; two-digit
-    years from 69 on are 19xx.
+    Separators and shape are tested first, so that each text meets at most two
+    parsers; two-digit years from 69 on are 19xx.
     """
     s = strip(c)
     century = F.when(F.right(s, F.lit(2)) >= "69", "/19").otherwise("/20")
     long_year = F.concat(F.substring_index(s, "/", 2), century, F.right(s, F.lit(2)))
-    return (F.when(s.rlike(r"^\d{1,2}/\d{1,2}/(?!0000)\d{4}$"), F.coalesce(F.try_to_date(s, "M/d/yyyy"), F.try_to_date(s, "d/M/yyyy")))
-            .when(s.rlike(r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(s, "yyyy-M-d"))
-            .when(s.rlike(r"^\d{1,2}-\d{1,2}-(?!0000)\d{4}$"), F.try_to_date(s, "M-d-yyyy"))
-            .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(long_year, "M/d/yyyy"))
-            .when(s.rlike(r"^[A-Za-z]+\s+\d{1,2},\s+(?!0000)\d{4}$"), F.try_to_date(
-                F.initcap(F.regexp_replace(s, r"\s+", " ")), "MMMM d, yyyy")))
+    slashed = (F.when(s.rlike(r"^\d{1,2}/\d{1,2}/(?!0000)\d{4}$"), F.coalesce(F.try_to_date(s, "M/d/yyyy"), F.try_to_date(s, "d/M/yyyy")))
+               .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(long_year, "M/d/yyyy")))
+    dashed = (F.when(s.rlike(r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(s, "yyyy-M-d"))
+              .when(s.rlike(r"^\d{1,2}-\d{1,2}-(?!0000)\d{4}$"), F.try_to_date(s, "M-d-yyyy")))
+    named = F.when(s.rlike(r"^[A-Za-z]+\s+\d{1,2},\s+(?!0000)\d{4}$"),
+                   F.try_to_date(F.initcap(F.regexp_replace(s, r"\s+", " ")), "MMMM d, yyyy"))
+    return F.when(s.contains("/"), slashed).when(s.contains("-"), dashed).when(s.contains(","), named)
 
 
 def normalise_string(c: Column | str) -> Column:

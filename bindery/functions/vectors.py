@@ -48,6 +48,7 @@ def encode(df: DataFrame, text: str, make_encoder: Callable[[], Callable[[list[s
 # --- many queries against many vectors --------------------------------------
 BLOCK = "ids array<bigint>, matrix binary, dim int"
 PAIR = "query_id bigint, chunk_id bigint, score double"
+ROWS_AT_ONCE = 256                 # score matrices stay around 20 MB
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +57,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows == 0:
             continue
         ids, vectors = batch.column(0), batch.column(1)
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float32")
         yield pa.RecordBatch.from_arrays(
             [pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([flat.tobytes()], pa.binary()),
              pa.array([len(flat) // batch.num_rows], pa.int32())], names=["ids", "matrix", "dim"])
@@ -66,19 +67,21 @@ def _best(k: int, floor: float, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q = np.frombuffer(row["q_matrix"]).reshape(-1, row["q_dim"])
-                c = np.frombuffer(row["matrix"]).reshape(-1, row["dim"])
-                qi, ci = np.asarray(row["q_ids"]), np.asarray(row["ids"])
-                scores = np.round(q @ c.T, digits)
-                # ties go to the smaller id, so order by (-score, id) and cut at k
-                order = np.argsort(ci, kind="stable")
-                ranked = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-                top = np.take_along_axis(scores, ranked, axis=1)
-                keep = top >= floor
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qi, ranked.shape[1])[keep.ravel()], pa.int64()),
-                     pa.array(ci[ranked].ravel()[keep.ravel()], pa.int64()),
-                     pa.array(top.ravel()[keep.ravel()], pa.float64())], names=["query_id", "chunk_id", "score"])
+                queries = np.frombuffer(row["q_matrix"], dtype="float32").reshape(-1, row["q_dim"])
+                vectors = np.frombuffer(row["matrix"], dtype="float32").reshape(-1, row["dim"])
+                # ties go to the smaller id: sort the block by id, then cut a stable order at k
+                order = np.argsort(row["ids"], kind="stable")
+                ids, vectors = np.asarray(row["ids"])[order], vectors[order].astype("float64")
+                for at in range(0, len(queries), ROWS_AT_ONCE):
+                    q_ids = np.asarray(row["q_ids"][at:at + ROWS_AT_ONCE])
+                    scores = np.round(queries[at:at + ROWS_AT_ONCE].astype("float64") @ vectors.T, digits)
+                    ranked = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    top = np.take_along_axis(scores, ranked, axis=1)
+                    keep = (top >= floor).ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(q_ids, ranked.shape[1])[keep], pa.int64()),
+                         pa.array(ids[ranked].ravel()[keep], pa.int64()),
+                         pa.array(top.ravel()[keep], pa.float64())], names=["query_id", "chunk_id", "score"])
     return run
 
 
@@ -109,4 +112,4 @@ def block_top_k(queries: DataFrame, chunks: DataFrame, k: int, floor: float,
 
 @F.pandas_udf(T.BinaryType())
 def _matrix(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda vs: np.stack([np.asarray(v, dtype="float64") for v in vs]).tobytes())
+    return vectors.map(lambda vs: np.stack([np.asarray(v, dtype="float32") for v in vs]).tobytes())

@@ -14,8 +14,8 @@ from bindery import fixed
 from bindery.functions.barrier import compute_once
 from bindery.functions.similarity import sequence_ratio
 from bindery.functions.text import fixed_point, strip, title_case
-from bindery.functions.values import (is_zero, normalise_string, parse_currency, parse_date, to_double, to_number,
-                                      unwrap, wrapped_variant)
+from bindery.functions.values import (normalise_string, parse_currency, parse_date, to_double, to_number,
+                                      wrapped_variant)
 from bindery.operators import catalogue
 from bindery.operators.ranking import next_within
 
@@ -31,12 +31,15 @@ def assemble(fields: DataFrame, documents: DataFrame) -> DataFrame:
     """
     typed = documents.filter("is_current_version").filter(F.col("document_type").isin(fixed.DOCUMENT_TYPES)) \
         .select("document_id", "document_type")
-    kind = F.coalesce(F.schema_of_variant(wrapped_variant("field_value")), F.lit("STRING"))
     joined = fields.select("submission_id", "document_id", "field_ordinal", "field_name", "field_value",
                            F.coalesce("confidence", F.lit(0.0)).alias("confidence")).join(typed, "document_id")
-    return compute_once(joined, value=unwrap("field_value"), is_text=kind == "STRING",
-                        is_nested=kind.startswith("ARRAY") | kind.startswith("OBJECT"), is_zero=is_zero("field_value"),
-                        is_absent=F.coalesce(strip("field_value").isin("null"), F.lit(True)))
+    v, kind = F.col("_v"), F.coalesce(F.schema_of_variant("_v"), F.lit("STRING"))
+    parsed = compute_once(joined, _v=wrapped_variant("field_value"))
+    return parsed.select(
+        *joined.columns, F.when(v.isNotNull(), F.try_variant_get(v, "$", "string")).otherwise(F.col("field_value")).alias("value"),
+        (kind == "STRING").alias("is_text"), (kind.startswith("ARRAY") | kind.startswith("OBJECT")).alias("is_nested"),
+        (~kind.isin("STRING", "VOID") & F.coalesce(F.try_variant_get(v, "$", "double") == 0, F.lit(False))).alias("is_zero"),
+        F.coalesce(strip("field_value") == "null", F.lit(True)).alias("is_absent"))
 
 
 def _shown(value: Column, is_text: Column) -> Column:
@@ -158,26 +161,40 @@ def conflict_candidates(assembled: DataFrame, include_raw_output: bool = False)
     return compute_once(comparable, number=to_number("value"), day=parse_date("value"), norm=normalise_string(spaced))
 
 
-def conflict_stats(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per group and distinct text, per group) figures, pre-aggregated twice.
+KINDS = ["number", "date", "text"]
 
-    A group with a third of all rows first shrinks to its distinct texts on
-    each mapper; no list of its rows is ever built.
+
+def _row_order(df: DataFrame) -> Column:
+    """(document_id, field_ordinal) as one comparable value.
+
+    For integral ids a decimal, which a hash aggregate can update in place; a
+    struct would make every aggregate a sort.
     """
-    first = F.struct("document_id", "field_ordinal")
-    per_text = candidates.groupBy(*KEYS, "norm").agg(
-        F.count(F.lit(1)).alias("n"), F.min(first).alias("first"),
-        F.min_by(F.struct("number", "day"), first).alias("reading"),
+    if df.schema["document_id"].dataType.typeName() in ("long", "integer"):
+        return (F.col("document_id").cast("decimal(20,0)") * F.lit(1_000_000).cast("decimal(7,0)") + F.col("field_ordinal")).cast("decimal(28,0)")
+    return F.struct("document_id", "field_ordinal")
+
+
+def conflict_texts(candidates: DataFrame) -> DataFrame:
+    """Figures per group and distinct text: a hot group shrinks to its distinct texts on each mapper."""
+    kind = F.when(F.col("number").isNotNull(), 0).when(F.col("day").isNotNull(), 1).otherwise(2)
+    ordered = candidates.withColumns({"_order": _row_order(candidates), "_kind": kind})
+    return ordered.groupBy(*KEYS, "norm").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_order").alias("first"), F.min_by("_kind", "_order").alias("kind"),
         F.min("number").alias("min_number"), F.max("number").alias("max_number"), F.count("number").alias("n_numbers"),
         F.min("day").alias("min_day"), F.max("day").alias("max_day"), F.count("day").alias("n_days"))
+
+
+def conflict_groups(per_text: DataFrame) -> DataFrame:
+    """Figures per group of at least two rows, with the kind of its first row. No list of rows is ever built."""
     has_text = F.col("norm") != ""
     groups = per_text.groupBy(*KEYS).agg(
-        F.sum("n").alias("n"), F.min_by("reading", "first").alias("reading"),
+        F.sum("n").alias("n"), F.min_by("kind", "first").alias("_kind"),
         F.min("min_number").alias("min_number"), F.max("max_number").alias("max_number"), F.sum("n_numbers").alias("n_numbers"),
         F.min("min_day").alias("min_day"), F.max("max_day").alias("max_day"), F.sum("n_days").alias("n_days"),
         F.sum(F.when(has_text, F.col("n")).otherwise(0)).alias("n_texts"), F.count_if(has_text).alias("n_distinct"))
-    kind = F.when(F.col("reading.number").isNotNull(), "number").when(F.col("reading.day").isNotNull(), "date").otherwise("text")
-    return per_text, groups.filter("n >= 2").withColumn("kind", kind).drop("reading")
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return groups.filter("n >= 2").withColumn("kind", F.get(names, F.col("_kind"))).drop("_kind")
 
 
 def _conflict(df: DataFrame, title: Column, description: Column, action: Column) -> DataFrame:
@@ -190,29 +207,30 @@ def _titled(prefix: str) -> Column:
     return F.concat(F.lit(f"Conflicting {prefix} for '"), title_case("field_name"), F.lit("'"))
 
 
-def numeric_conflicts(groups: DataFrame) -> DataFrame:
-    low, high = F.col("min_number"), F.col("max_number")
+def figure_conflicts(groups: DataFrame, kinds: tuple[str, ...] = ("number", "date")) -> DataFrame:
+    """Numbers more than 5 % apart and dates more than 7 days apart, in one pass over the groups."""
+    low, high, name = F.col("min_number"), F.col("max_number"), F.col("field_name")
     relative = F.abs(high - low) / F.greatest(F.abs(low), F.abs(high), F.lit(1e-9))
-    found = groups.filter("kind = 'number' and n_numbers >= 2").filter((low != 0) | (high != 0)) \
-        .withColumn("_relative", relative).filter(F.col("_relative") > fixed.NUMERIC_TOLERANCE)
-    name = F.col("field_name")
-    return _conflict(
-        found, _titled("values"),
-        F.concat(F.lit("Documents report different values for '"), name, F.lit("'. Range: "), F.format_number(low, 2),
-                 F.lit(" – "), F.format_number(high, 2), F.lit(" ("), fixed_point(F.col("_relative") * 100, 1), F.lit("% difference).")),
-        F.concat(F.lit("Review all documents and confirm the correct value for '"), name,
-                 F.lit("'. Contact the broker for clarification.")))
+    numeric = (F.col("kind") == "number") & (F.col("n_numbers") >= 2) & (relative > fixed.NUMERIC_TOLERANCE)
+    dated = (F.col("kind") == "date") & (F.col("n_days") >= 2) & (F.col("_span") > fixed.DATE_TOLERANCE_DAYS)
+    found = groups.filter(F.col("kind").isin(*kinds)).withColumn("_span", F.datediff("max_day", "min_day")).filter(numeric | dated)
+    by_number = F.col("kind") == "number"
+    range_text = F.concat(F.lit("Documents report different values for '"), name, F.lit("'. Range: "), F.format_number(low, 2), F.lit(" – "),
+                          F.format_number(high, 2), F.lit(" ("), fixed_point(relative * 100, 1), F.lit("% difference)."))
+    span_text = F.concat(F.lit("Documents show different dates for '"), name, F.lit("'. Dates span "), F.col("_span").cast("string"),
+                         F.lit(" days: "), F.col("min_day").cast("string"), F.lit(" – "), F.col("max_day").cast("string"), F.lit("."))
+    ask_number = F.concat(F.lit("Review all documents and confirm the correct value for '"), name, F.lit("'. Contact the broker for clarification."))
+    ask_date = F.concat(F.lit("Confirm the correct "), F.replace(name, F.lit("_"), F.lit(" ")), F.lit(" with the broker."))
+    return _conflict(found, F.when(by_number, _titled("values")).otherwise(_titled("dates")),
+                     F.when(by_number, range_text).otherwise(span_text), F.when(by_number, ask_number).otherwise(ask_date))
+
+
+def numeric_conflicts(groups: DataFrame) -> DataFrame:
+    return figure_conflicts(groups, ("number",))
 
 
 def date_conflicts(groups: DataFrame) -> DataFrame:
-    found = groups.filter("kind = 'date' and n_days >= 2").withColumn("_span", F.datediff("max_day", "min_day")) \
-        .filter(F.col("_span") > fixed.DATE_TOLERANCE_DAYS)
-    name = F.col("field_name")
-    return _conflict(
-        found, _titled("dates"),
-        F.concat(F.lit("Documents show different dates for '"), name, F.lit("'. Dates span "), F.col("_span").cast("string"),
-                 F.lit(" days: "), F.col("min_day").cast("string"), F.lit(" – "), F.col("max_day").cast("string"), F.lit(".")),
-        F.concat(F.lit("Confirm the correct "), F.replace(name, F.lit("_"), F.lit(" ")), F.lit(" with the broker.")))
+    return figure_conflicts(groups, ("date",))
 
 
 def text_conflicts(per_text: DataFrame, groups: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from bindery.operators import validate as V
+from bindery.session import shared_dir
 
 
 @dataclass
@@ -18,29 +19,33 @@ class Validation:
     report: DataFrame              # counts per submission
 
 
+def _table(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def run(fields: DataFrame, documents: DataFrame, submissions: DataFrame, as_of: str | None = None,
         compare_texts: bool = True, scratch: str | None = None) -> Validation:
     """Validates every submission in ``submissions``.
 
-    ``documents`` carries ``is_current_version``. With ``scratch`` (a shared
-    folder) the assembled fields are written once and read by all rules;
-    without it Spark reuses the exchanges the rules have in common.
+    ``documents`` carries ``is_current_version``. Three results feed several
+    rules each: the assembled fields, the facts per document and the distinct
+    texts per field. They are written once below ``scratch`` (by default a new
+    folder under the cluster's checkpoint folder) and read from there, so no
+    rule repeats the joins and a lost executor costs only its own tasks.
     """
-    assembled = V.assemble(fields, documents)
-    if scratch:
-        assembled.write.mode("overwrite").parquet(scratch)
-        assembled = assembled.sparkSession.read.parquet(scratch)
-    facts = V.document_facts(V.last_values(assembled))
+    scratch = scratch or shared_dir(fields.sparkSession, "validation")
+    assembled = _table(V.assemble(fields, documents), f"{scratch}/assembled")
+    facts = _table(V.document_facts(V.last_values(assembled)), f"{scratch}/facts")
     candidates = V.conflict_candidates(assembled)
-    per_text, groups = V.conflict_stats(candidates)
-    found = [V.numeric_conflicts(groups), V.date_conflicts(groups)]
+    texts = _table(V.conflict_texts(candidates), f"{scratch}/texts")
+    groups = V.conflict_groups(texts)
+    conflicts = V.figure_conflicts(groups)
     if compare_texts:
-        found.append(V.text_conflicts(per_text, groups))
-    conflicts = reduce(DataFrame.unionByName, found)
+        conflicts = conflicts.unionByName(V.text_conflicts(texts, groups))
     types = V.present_types(documents)
-    missing = V.deduplicate(V.missing_in_documents(facts))
     violations = reduce(DataFrame.unionByName, [
         V.field_violations(assembled, as_of), V.date_order_violations(facts), V.revenue_per_employee_violations(facts),
-        conflicts, V.missing_everywhere(submissions, facts), missing,
+        conflicts, V.missing_everywhere(submissions, facts), V.deduplicate(V.missing_in_documents(facts)),
         V.missing_forms(V.lines_requested(assembled), types), V.submission_rule_violations(submissions, types)])
     return Validation(violations, conflicts, V.conflict_members(candidates, conflicts), V.report_counts(submissions, violations))

@@ -35,3 +35,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """``checkpoint()`` needs a folder; the cluster's setting wins, tests get a temporary one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))

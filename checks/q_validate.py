@@ -180,7 +180,7 @@ def candidates(t):
 
 
 def groups(t):
-    return V.conflict_stats(candidates(t))[1]
+    return V.conflict_groups(V.conflict_texts(candidates(t)))
 
 
 @query("g12_conflict_candidates", VIEWS, [*BASE, CAND], "select submission_id, field_name, count(*) as n from candidates group by all having count(*) >= 2")
@@ -222,7 +222,8 @@ def _(t):
 
 @query("g16_text_conflicts")
 def _(t):
-    return V.text_conflicts(*V.conflict_stats(candidates(t)))
+    texts = V.conflict_texts(candidates(t)).checkpoint()
+    return V.text_conflicts(texts, V.conflict_groups(texts))
 
 
 MEMBERS = ("members", """select submission_id, field_name, document_id, arg_max(value, field_ordinal) as value, count(*) as occurrences from candidates
@@ -232,8 +233,7 @@ MEMBERS = ("members", """select submission_id, field_name, document_id, arg_max(
 @query("g17_conflict_members", VIEWS, [*BASE, CAND, GROUPS, NUMERIC, DATED, MEMBERS], "select * from members")
 def _(t):
     c = candidates(t)
-    g = V.conflict_stats(c)[1]
-    return V.conflict_members(c, V.numeric_conflicts(g).unionByName(V.date_conflicts(g)))
+    return V.conflict_members(c, V.figure_conflicts(V.conflict_groups(V.conflict_texts(c))))
 
 
 EVERYWHERE = ("missing_everywhere", f"""select submission_id, 'MISSING' as issue_type, 'ERROR' as severity, field_name, 'Required Field Missing: ' || {title('field_name')} as title,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from bindery.session import ensure_checkpoint_dir
 from bindery.sources.derived import Tables, duck_ctes
 
 QUERIES: dict[str, Callable] = {}
@@ -13,7 +14,11 @@ ORACLES: dict[str, str] = {}
 def query(name: str, views: str = "", ctes: list[tuple[str, str]] | None = None, sql: str | None = None):
     """Registers ``fn(tables) -> DataFrame``; ``sql`` is the oracle's final SELECT."""
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        def run(spark, sf_dir):
+            ensure_checkpoint_dir(spark)
+            return fn(Tables(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             prefix = duck_ctes(*views.split()) if views else ""
             for cte, body in ctes or []:
