@@ -25,7 +25,9 @@ def unwrap(c: Column | str) -> Column:
     out as JSON text; text that is no JSON stays as it is.
     """
     v = wrapped_variant(c)
-    return F.when(v.isNotNull(), F.try_variant_get(v, "$", "string")).otherwise(col(c))
+    # one streaming look for the usual wrapper; the full parse only where that finds nothing
+    return F.coalesce(F.get_json_object(col(c), "$.value"),
+                      F.when(v.isNotNull(), F.try_variant_get(v, "$", "string")).otherwise(col(c)))
 
 
 def is_zero(c: Column | str) -> Column:
