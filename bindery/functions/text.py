@@ -66,33 +66,28 @@ def literal_prefixes(pattern: str) -> list[str] | None:
     return sorted(set(prefixes))
 
 
-def matches(lowered: Column, pattern: str, text: Column | None = None) -> Column:
-    """``text`` (default: the lowered text) matches ``pattern``.
+def matches_sql(lowered: str, pattern: str, text: str | None = None) -> str:
+    """SQL condition: column ``text`` (default: the lowered text) matches ``pattern``.
 
     A byte search for the pattern's literal prefix on the lowered text spares
     the regular expression wherever it cannot match.
     """
-    found = lowered.rlike(pattern) if text is None else text.rlike(f"(?i){pattern}")
+    found = f"{lowered} rlike r'{pattern}'" if text is None else f"{text} rlike r'(?i){pattern}'"
     prefixes = literal_prefixes(pattern)
     if prefixes is None:
-        return found
-    guard = lowered.contains(prefixes[0])
-    for p in prefixes[1:]:
-        guard = guard | lowered.contains(p)
-    return guard & found
+        return f"({found})"
+    guard = " or ".join(f"contains({lowered}, '{p}')" for p in prefixes)
+    return f"(({guard}) and {found})"
 
 
-def count_matches(lowered: Column, patterns: list[str]) -> Column:
-    """How many of ``patterns`` occur in the lowered text."""
-    total = F.lit(0)
-    for p in patterns:
-        total = total + matches(lowered, p).cast("int")
-    return total
+def count_matches_sql(lowered: str, patterns: list[str]) -> str:
+    """SQL integer: how many of ``patterns`` occur in the lowered text."""
+    return " + ".join(f"cast({matches_sql(lowered, p)} as int)" for p in patterns) or "0"
 
 
-def first_match(text: Column, lowered: Column, patterns: list[str]) -> Column:
-    """1-based number of the first pattern found ignoring case, null when none matches."""
-    return F.coalesce(*[F.when(matches(lowered, p, text), F.lit(i)) for i, p in enumerate(patterns, 1)])
+def first_match_sql(text: str, lowered: str, patterns: list[str]) -> str:
+    """SQL integer: number of the first pattern found ignoring case, null when none matches."""
+    return "case " + " ".join(f"when {matches_sql(lowered, p, text)} then {i}" for i, p in enumerate(patterns, 1)) + " end"
 
 
 def preview(c: Column | str, size: int) -> Column:

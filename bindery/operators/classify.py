@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bindery import fixed
 from bindery.functions.barrier import compute_once
 from bindery.functions.jsontext import object_keys
-from bindery.functions.text import count_matches, first_match, fixed_point, is_blank, lower_extension, matches, strip
+from bindery.functions.text import (count_matches_sql, first_match_sql, fixed_point, is_blank, lower_extension,
+                                    matches_sql, strip)
 
 
 
@@ -24,34 +25,29 @@ def effective_extension(extension: Column, filename: Column) -> Column:
     return F.when(ext != "", ext).otherwise(lower_extension(F.coalesce(filename, F.lit(""))))
 
 
-def _feature(sample: Column, ext: Column, ordinal: int) -> Column:
-    """(required_ok, bonus bit string, negatives, ext_hit) of one rule.
+def _feature(ordinal: int) -> Column:
+    """(required_ok, bonus bit string, negatives, ext_hit) of one rule over ``_sample`` and ``_ext``.
 
     Bonus and negative patterns are only looked at once the required ones hold:
     a rule without its required pattern scores zero whatever else matches.
     """
     _, required, bonus, negative, extensions = fixed.CLASSIFICATION_RULES[ordinal - 1]
-    ok = F.lit(True)
-    for p in required:
-        ok = ok & matches(sample, p)
-    hit = ext.isin(extensions).alias("ext_hit")
-    looked_up = F.struct(
-        F.lit(True).alias("required_ok"),
-        F.concat(*[F.when(matches(sample, p), "1").otherwise("0") for p in bonus]).alias("bonus"),
-        count_matches(sample, negative).alias("negatives"), hit)
-    missed = F.struct(F.lit(False).alias("required_ok"), F.lit(None).cast("string").alias("bonus"),
-                      F.lit(0).alias("negatives"), hit)
-    return F.when(ok, looked_up).otherwise(missed)
-
-
-def _score(feature: Column, ordinal: int) -> Column:
-    _, required, bonus, _, _ = fixed.CLASSIFICATION_RULES[ordinal - 1]
-    hits = F.length(F.regexp_replace(feature.bonus, "0", ""))
-    raw = (feature.ext_hit.cast("int") * fixed.EXTENSION_SCORE
-           + (fixed.REQUIRED_SCORE if required else 0.0)
-           + hits / len(bonus) * fixed.BONUS_SCORE
-           - feature.negatives * fixed.NEGATIVE_SCORE)
-    return F.when(feature.required_ok, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4)).otherwise(0.0)
+    ok = " and ".join(matches_sql("_sample", p) for p in required) or "true"
+    hit = "_ext in (" + ", ".join(f"'{e}'" for e in extensions) + ")"
+    bits = ", ".join(f"if({matches_sql('_sample', p)}, '1', '0')" for p in bonus)
+    return F.expr(f"""if({ok},
+        named_struct('required_ok', true, 'bonus', concat({bits}), 'negatives', {count_matches_sql('_sample', negative)}, 'ext_hit', {hit}),
+        named_struct('required_ok', false, 'bonus', cast(null as string), 'negatives', 0, 'ext_hit', {hit}))""")
+
+
+def _score(ordinal: int) -> str:
+    """SQL: the rule's weighted score in [0, 1], 4 decimals."""
+    document_type, required, bonus, _, _ = fixed.CLASSIFICATION_RULES[ordinal - 1]
+    f = f"f_{document_type}"
+    hits = f"length(replace({f}.bonus, '0', ''))"
+    raw = (f"cast({f}.ext_hit as int) * {fixed.EXTENSION_SCORE}D + {fixed.REQUIRED_SCORE if required else 0.0}D"
+           f" + {hits} / {len(bonus)}.0D * {fixed.BONUS_SCORE}D - {f}.negatives * {fixed.NEGATIVE_SCORE}D")
+    return f"if({f}.required_ok, round(greatest(0D, least(1D, {raw})), 4), 0D)"
 
 
 def rule_names() -> list[str]:
@@ -65,22 +61,21 @@ def features(docs: DataFrame, text: str = "text", extension: str = "file_extensi
     staged = compute_once(docs, _sample=F.lower(sample_text(F.coalesce(F.col(text), F.lit("")))),
                           _ext=effective_extension(F.col(extension), name))
     return compute_once(staged, **{
-        f"f_{t}": _feature(F.col("_sample"), F.col("_ext"), i) for i, t in enumerate(rule_names(), 1)
+        f"f_{t}": _feature(i) for i, t in enumerate(rule_names(), 1)
     }).drop("_sample", "_ext")
 
 
 def scores(featured: DataFrame) -> DataFrame:
     """Feature structs -> ``scores``: array of (ordinal, document_type, score) in rule order."""
-    entries = [F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("document_type"),
-                        _score(F.col(f"f_{t}"), i).alias("score"), F.col(f"f_{t}.bonus").alias("bonus"))
-               for i, t in enumerate(rule_names(), 1)]
-    return featured.withColumn("scores", F.array(*entries)).drop(*[f"f_{t}" for t in rule_names()])
+    entries = ", ".join(f"named_struct('ordinal', {i}, 'document_type', '{t}', 'score', {_score(i)}, 'bonus', f_{t}.bonus)"
+                        for i, t in enumerate(rule_names(), 1))
+    return featured.withColumn("scores", F.expr(f"array({entries})")).drop(*[f"f_{t}" for t in rule_names()])
 
 
 def _matched_bonus(top: Column) -> Column:
     """First four matched bonus patterns of the winning rule, joined by ``; ``."""
-    patterns = F.array(*[F.array(*[F.lit(p) for p in r[2]]) for r in fixed.CLASSIFICATION_RULES])
-    mine = F.element_at(patterns, top.ordinal)
+    listed = ", ".join("array(" + ", ".join(f"r'{p}'" for p in r[2]) + ")" for r in fixed.CLASSIFICATION_RULES)
+    mine = F.element_at(F.expr(f"array({listed})"), top.ordinal)
     hits = F.filter(mine, lambda p, i: F.substring(top.bonus, i + 1, 1) == "1")
     return F.array_join(F.slice(hits, 1, 4), "; ")
 
@@ -136,12 +131,11 @@ def decide(classified: DataFrame, text: str = "text") -> DataFrame:
     everything = F.array(*[F.lit(t) for t in fixed.DOCUMENT_TYPES])
     narrowed = F.array(F.col("rules_type"), F.col("rules_alternative"), F.lit("OTHER"))
     undecided = F.col("decision") == "second_opinion"
-    head = F.substring(F.col(text), 1, fixed.SECOND_OPINION_CHARS)
-    return (classified
-            .withColumn("decision", decision)
+    head = F.when(undecided, F.substring(F.col(text), 1, fixed.SECOND_OPINION_CHARS))
+    staged = compute_once(classified.withColumn("decision", decision), _head=head, _lowered=F.lower(head))
+    hit = F.expr(first_match_sql("_head", "_lowered", fixed.SHORT_INJECTION_PATTERNS)).isNotNull()
+    return (compute_once(staged, is_blocked=hit).drop("_head", "_lowered")
             .withColumn("candidate_types", F.when(undecided, F.when(F.col("is_ambiguous"), narrowed).otherwise(everything)))
-            .withColumn("is_blocked", F.when(undecided, first_match(head, F.lower(head), fixed.SHORT_INJECTION_PATTERNS).isNotNull())
-                        .otherwise(False))
             .withColumn("document_type", F.when(blank, "OTHER").otherwise(F.col("rules_type")))
             .withColumn("confidence", F.when(blank, 0.0).otherwise(F.col("rules_confidence")))
             .withColumn("reason", F.when(blank, fixed.NO_TEXT_REASON).otherwise(F.col("rules_reason"))))

@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from bindery import fixed
 from bindery.functions.barrier import compute_once
 from bindery.functions.jsontext import object_keys, strip_fences
-from bindery.functions.text import first_match, is_blank
+from bindery.functions.text import first_match_sql, is_blank
 
 
 def scan_injection(df: DataFrame, text: str = "text", out: str = "injection_pattern") -> DataFrame:
     """Adds the number of the first injection pattern found (null: none)."""
     lowered = compute_once(df, _lowered=F.lower(F.col(text)))
-    return compute_once(lowered, **{out: first_match(F.col(text), F.col("_lowered"), fixed.INJECTION_PATTERNS)}) \
+    return compute_once(lowered, **{out: F.expr(first_match_sql(f"`{text}`", "_lowered", fixed.INJECTION_PATTERNS))}) \
         .drop("_lowered")
 
 
@@ -21,7 +21,7 @@ def scan_injection_head(df: DataFrame, text: str = "text", out: str = "injection
     """The narrower scan used before classification: six patterns, first 2 000 characters."""
     head = F.substring(F.col(text), 1, fixed.SECOND_OPINION_CHARS)
     staged = compute_once(df, _head=head, _lowered=F.lower(head))
-    return compute_once(staged, **{out: first_match(F.col("_head"), F.col("_lowered"), fixed.SHORT_INJECTION_PATTERNS)}) \
+    return compute_once(staged, **{out: F.expr(first_match_sql("_head", "_lowered", fixed.SHORT_INJECTION_PATTERNS))}) \
         .drop("_head", "_lowered")
 
 

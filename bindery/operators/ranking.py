@@ -39,8 +39,8 @@ def _same_key(keys: list[str]) -> Column:
 def _split_points(df: DataFrame, keys: list[str], order: list[str], ranges: int) -> list:
     """Some order tuples that cut the rows into similar ranges; any choice is correct.
 
-    Built per executor-side aggregate: a small sample picked by hash, then every
-    n-th of it, so only ``ranges`` rows reach the driver.
+    Every n-th of a sample of some thousand tuples, so about ``ranges`` of them
+    reach the driver.
     """
     total = df.count()
     wanted = ranges * 200
@@ -66,25 +66,35 @@ def _range_of(df: DataFrame, keys: list[str], order: list[str], ranges: int) ->
     return F.size(F.filter(cuts, lambda c: c <= me))
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], out: str,
+def number_within(df: DataFrame, keys: list[str], order: list[str], out: str, last: str | None = None,
                   hot_rows: int = HOT_ROWS, ranges: int = RANGES) -> DataFrame:
-    """``row_number()`` over ``keys`` by ``order`` (ascending, a total order) as column ``out``."""
+    """``row_number()`` over ``keys`` by ``order`` (ascending, a total order) as column ``out``.
+
+    ``last`` names a flag column for the last row of each group.
+    """
     plain = Window.partitionBy(*keys).orderBy(*order)
+    columns = {out: F.row_number().over(plain)}
+    if last:
+        columns[last] = F.lead(F.lit(True)).over(plain).isNull()
     hot = _hot_keys(df, keys, hot_rows)
     if hot is None:
-        return df.withColumn(out, F.row_number().over(plain))
-    d, h = df.alias("d"), F.broadcast(hot.alias("h"))
-    cold = d.join(h, _same_key(keys), "left_anti").withColumn(out, F.row_number().over(plain))
+        return df.withColumns(columns)
+    d, h = df.alias("d"), F.broadcast(hot.alias("h"))      # at most 2 * rows / hot_rows keys
+    cold = d.join(h, _same_key(keys), "left_anti").withColumns(columns)
     busy = d.join(h, _same_key(keys), "left_semi")
     busy = busy.withColumn("_range", _range_of(busy, keys, order, ranges))
     counts = busy.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per hot key and range: at most hot keys x ranges rows
-    shift = counts.select(*keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per hot key and range
+    shift = counts.select(*keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+                          F.sum("_rows").over(group).alias("_total"))
     inside = busy.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
     on = _same_key(keys) & (F.col("d._range") == F.col("h._range"))
+    number = F.col("d._rn") + F.col("h._before")
+    flags = [(number == F.col("h._total")).alias(last)] if last else []
     numbered = inside.alias("d").join(F.broadcast(shift.alias("h")), on).select(
-        *[F.col(f"d.{c}") for c in df.columns], (F.col("d._rn") + F.col("h._before")).cast("int").alias(out))
+        *[F.col(f"d.{c}") for c in df.columns], number.cast("int").alias(out), *flags)
     return cold.unionByName(numbered)
 
 
@@ -98,7 +108,7 @@ def next_within(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     d, h = df.alias("d"), F.broadcast(hot.alias("h"))
     cold = d.join(h, _same_key(keys), "left_anti").withColumn(out, F.lead(value).over(plain))
     busy = d.join(h, _same_key(keys), "left_semi")
-    busy = number_within(busy, keys, order, "_rn", hot_rows, ranges)
+    busy = number_within(busy, keys, order, "_rn", hot_rows=hot_rows, ranges=ranges)
     # (keys, number) is unique, so this join cannot be skewed
     follower = busy.select(*keys, (F.col("_rn") - 1).alias("_rn"), F.col(value).alias(out))
     on = _same_key(keys) & (F.col("d._rn") == F.col("h._rn"))

@@ -134,13 +134,9 @@ def documents_of(documents: DataFrame, submission_id, current_only: bool = True)
 
 
 def assign_versions(documents: DataFrame) -> DataFrame:
-    """Uploads of one filename get versions 1, 2, ...; the newest is current."""
-    keys, order = ["submission_id", "original_filename"], ["uploaded_at", "document_id"]
-    numbered = number_within(documents, keys, order, "version_number")
-    newest = documents.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
-    return numbered.join(newest, keys).withColumn(
-        "is_current_version", F.struct(*order) == F.col("_last")).select(
-        *documents.columns, "version_number", "is_current_version")
+    """Uploads of one filename get versions 1, 2, ...; the newest is current. One shuffle."""
+    return number_within(documents, ["submission_id", "original_filename"], ["uploaded_at", "document_id"],
+                         "version_number", last="is_current_version")
 
 
 def append_version(documents: DataFrame, uploads: DataFrame) -> DataFrame:

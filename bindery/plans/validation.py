@@ -28,13 +28,15 @@ def run(fields: DataFrame, documents: DataFrame, submissions: DataFrame, as_of:
         compare_texts: bool = True, scratch: str | None = None) -> Validation:
     """Validates every submission in ``submissions``.
 
-    ``documents`` carries ``is_current_version``. Three results feed several
-    rules each: the assembled fields, the facts per document and the distinct
-    texts per field. They are written once below ``scratch`` (by default a new
+    ``documents`` carries ``is_current_version``. Four results feed several
+    rules each: the current documents, the assembled fields, the facts per
+    document and the distinct texts per field. They are written once below ``scratch`` (by default a new
     folder under the cluster's checkpoint folder) and read from there, so no
     rule repeats the joins and a lost executor costs only its own tasks.
     """
     scratch = scratch or shared_dir(fields.sparkSession, "validation")
+    documents = _table(documents.filter("is_current_version").select(
+        "submission_id", "document_id", "document_type", "is_current_version"), f"{scratch}/documents")
     assembled = _table(V.assemble(fields, documents), f"{scratch}/assembled")
     facts = _table(V.document_facts(V.last_values(assembled)), f"{scratch}/facts")
     candidates = V.conflict_candidates(assembled)

@@ -28,6 +28,13 @@ def test_number_within_hot_key(spark):
     assert as_set(ranking.number_within(df, ["key"], ["at", "id"], "n")) == want
 
 
+def test_last_flag(spark):
+    df = skewed(spark)
+    want = as_set(plain(plain(df, "n", lambda w: F.row_number().over(w)), "last", lambda w: F.lead("id").over(w).isNull()))
+    assert as_set(ranking.number_within(df, ["key"], ["at", "id"], "n", last="last", hot_rows=50, ranges=8)) == want
+    assert as_set(ranking.number_within(df, ["key"], ["at", "id"], "n", last="last")) == want
+
+
 def test_next_within_hot_key(spark):
     df = skewed(spark)
     want = as_set(plain(df, "nxt", lambda w: F.lead("id").over(w)).fillna(-1))
