@@ -34,4 +34,5 @@ def ratio_at_least(least: float):
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([bounded(x, y) for x, y in zip(a, b)], dtype="float64")
-    return run
+    # not "deterministic" to the optimizer: a filter on the result must not run it a second time
+    return run.asNondeterministic()

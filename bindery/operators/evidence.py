@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery import fixed
@@ -71,44 +69,52 @@ def _result(df: DataFrame, page: Column, matched: Column, method: Column, confid
                      method.alias("match_method"), confidence.alias("confidence"))
 
 
-def locate_verbatim(citations: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(citations found exactly or ignoring case, citations still to be found with their pages)."""
-    looked = _locate(with_pages(citations, pages))
-    found = looked.filter("_hit is not null")
-    located = _result(found, F.col("_hit"), F.col("_citation"),
-                      F.when(F.col("_exact").isNotNull(), "exact").otherwise("case_insensitive"),
-                      F.when(F.col("_exact").isNotNull(), 1.0).otherwise(0.9))
-    return located, looked.filter("_hit is null").drop("_exact", "_hit")
 
+def locate_verbatim(citations: DataFrame, pages: DataFrame) -> DataFrame:
+    """Citations found exactly or, failing that, ignoring case."""
+    found = _locate(with_pages(citations, pages)).filter("_hit is not null")
+    exact = F.col("_exact").isNotNull()
+    return _result(found, F.col("_hit"), F.col("_citation"), F.when(exact, "exact").otherwise("case_insensitive"),
+                   F.when(exact, 1.0).otherwise(0.9))
+
+
+ID = ["document_id", "field_name", "source_text"]
 
-def locate_fuzzy(open_citations: DataFrame) -> DataFrame:
-    """Best window of at least 0.75 similarity, the first one on ties, else not_found.
+
+def fuzzy_matches(open_citations: DataFrame) -> DataFrame:
+    """(id columns, best): the window of at least 0.75 similarity, the first one on ties.
 
     Windows of max(length, 300) characters every quarter window. The length
     bound 2·min/(sum) discards windows that cannot reach the ratio before any
     text reaches Python.
     """
-    numbered = open_citations.withColumn("_id", F.struct("document_id", "field_name", "source_text"))
     size = F.greatest(F.length("_citation"), F.lit(fixed.FUZZY_WINDOW))
     step = F.greatest(F.lit(1), F.floor(size / 4).cast("int"))
-    searchable = numbered.filter(F.length("_citation") >= fixed.FUZZY_MIN_CITATION).select(
-        "_id", "_citation", F.explode("pages").alias("page")).filter(F.length("page.text") > 0)
+    searchable = open_citations.filter(F.length("_citation") >= fixed.FUZZY_MIN_CITATION).select(
+        *ID, "_citation", F.explode("pages").alias("page")).filter(F.length("page.text") > 0)
     last = F.greatest(F.length("page.text") - size, F.lit(0))
-    windows = searchable.select("_id", "_citation", "page", size.alias("_size"), F.explode(F.sequence(F.lit(0), last, step)).alias("start"))
+    windows = searchable.select(*ID, "_citation", "page", size.alias("_size"), F.explode(F.sequence(F.lit(0), last, step)).alias("start"))
     a = F.length("_citation")
     b = F.least(F.col("_size"), F.length("page.text") - F.col("start"))
     near = windows.filter(2 * F.least(a, b) / (a + b) >= fixed.FUZZY_MIN_RATIO).select(
-        "_id", "_citation", "page.page_number", "start", F.substring("page.text", F.col("start") + 1, F.col("_size")).alias("window"))
+        *ID, "_citation", "page.page_number", "start", F.substring("page.text", F.col("start") + 1, F.col("_size")).alias("window"))
     scored = near.withColumn("ratio", ratio_at_least(fixed.FUZZY_MIN_RATIO)("_citation", "window")).filter("ratio is not null")
-    best = scored.groupBy("_id").agg(F.max_by(F.struct("page_number", "window", "ratio"), F.struct(
+    return scored.groupBy(*ID).agg(F.max_by(F.struct("page_number", "window", "ratio"), F.struct(
         "ratio", (-F.col("page_number")).alias("p"), (-F.col("start")).alias("s"))).alias("best"))
-    joined = numbered.join(best, "_id", "left")
-    page = F.get(F.filter("pages", lambda p: p.page_number == F.col("best.page_number")), F.lit(0))
-    return _result(compute_once(joined, _page=page), F.col("_page"), F.col("best.window"),
-                   F.when(F.col("best").isNull(), "not_found").otherwise("fuzzy"), F.coalesce(F.round("best.ratio", 3), F.lit(0.0)))
 
 
 def map_citations(citations: DataFrame, pages: DataFrame) -> DataFrame:
-    """All non-empty citations with page, section, method and confidence."""
-    located, still_open = locate_verbatim(citations.filter("source_text <> ''"), pages)
-    return reduce(DataFrame.unionByName, [located, locate_fuzzy(still_open)]).select(*LOCATED)
+    """All non-empty citations with page, section, method and confidence.
+
+    ``match_method``: exact, case_insensitive, fuzzy or not_found.
+    """
+    looked = _locate(with_pages(citations.filter("source_text <> ''"), pages))
+    joined = looked.join(fuzzy_matches(looked.filter("_hit is null")), ID, "left")
+    fuzzy_page = F.get(F.filter("pages", lambda p: p.page_number == F.col("best.page_number")), F.lit(0))
+    placed = compute_once(joined, _page=F.coalesce("_hit", fuzzy_page),
+                          _matched=F.when(F.col("_hit").isNotNull(), F.col("_citation")).otherwise(F.col("best.window")))
+    method = (F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_hit").isNotNull(), "case_insensitive")
+              .when(F.col("best").isNotNull(), "fuzzy").otherwise("not_found"))
+    confidence = (F.when(F.col("_exact").isNotNull(), 1.0).when(F.col("_hit").isNotNull(), 0.9)
+                  .otherwise(F.coalesce(F.round("best.ratio", 3), F.lit(0.0))))
+    return _result(placed, F.col("_page"), F.col("_matched"), method, confidence).select(*LOCATED)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindery import fixed
+from bindery.functions.barrier import compute_once
 from bindery.functions.text import clean_text, is_blank, lower_extension, strip
 
 EMPTY = "cast(array() as array<string>)"
@@ -90,7 +91,7 @@ def to_table(raw: DataFrame, cells: str = "raw") -> DataFrame:
     of equal headers the last value counts, as in a dictionary.
     """
     norm = F.transform(cells, lambda row: F.transform(row, lambda c: strip(F.coalesce(c, F.lit("")))))
-    staged = raw.withColumn("_norm", norm).withColumn("_first", F.coalesce(F.get("_norm", F.lit(0)), F.expr(EMPTY)))
+    staged = compute_once(raw, _norm=norm).withColumn("_first", F.coalesce(F.get("_norm", F.lit(0)), F.expr(EMPTY)))
     is_header = (F.size("_first") > 0) & F.forall("_first", lambda c: c != "")
     width = F.size("_first")
     names = F.when(width == 0, F.expr(EMPTY)).when(is_header, F.col("_first")).otherwise(
@@ -99,7 +100,7 @@ def to_table(raw: DataFrame, cells: str = "raw") -> DataFrame:
     staged = staged.withColumn("headers", names).withColumn("_data", data) \
         .withColumn("_last_of", F.transform("headers", lambda h: F.size("headers") - F.array_position(F.reverse("headers"), h)))
     rows = F.transform("_data", lambda row: F.transform("_last_of", lambda i: F.coalesce(F.get(row, i.cast("int")), F.lit(""))))
-    return staged.withColumn("rows", rows).drop("_norm", "_first", "_data", "_last_of")
+    return compute_once(staged, rows=rows).drop("_norm", "_first", "_data", "_last_of")
 
 
 def row_maps(headers: Column, rows: Column) -> Column:

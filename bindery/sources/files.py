@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from bindery import fixed
@@ -65,6 +67,31 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encodin
     return df if max_rows is None else df.limit(max_rows)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _csv_rows(texts: pd.Series, delimiters: pd.Series) -> pd.Series:
+    """One uploaded file each: cells as text, empty cells null, blank lines and over-long rows left out."""
+    def one(text, delimiter):
+        rows = [r for r in csv.reader(io.StringIO(text or ""), delimiter=delimiter or ",") if r]
+        width = len(rows[0]) if rows else 0
+        return [[c or None for c in r] + [None] * (width - len(r)) for r in rows if len(r) <= width]
+    return pd.Series([one(t, d) for t, d in zip(texts, delimiters)], dtype=object)
+
+
+def csv_documents(files: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Delimited files of any encoding and delimiter, one row per file: encoding, delimiter, raw cells.
+
+    For uploads, which are at most 50 MB each; large tables go through
+    ``read_delimited``, which splits files. ``max_rows`` (off by default) cuts
+    a file and says so in ``truncated``.
+    """
+    text, encoding = decode(F.col("content"))
+    decoded = files.select(*[c for c in files.columns if c != "content"], text.alias("_text"), encoding.alias("encoding"))
+    rows = sniff_delimiters(decoded, "_text").withColumn("raw", _csv_rows("_text", "delimiter")).drop("_text")
+    if max_rows is None:
+        return rows.withColumn("truncated", F.lit(False))
+    return rows.withColumn("truncated", truncated_flag(F.size("raw") - 1, max_rows)).withColumn("raw", F.slice("raw", 1, max_rows + 1))
+
+
 def truncated_flag(row_count: Column, max_rows: int = fixed.CSV_MAX_ROWS) -> Column:
     return row_count > max_rows
 

@@ -165,7 +165,7 @@ def location_query(name, method, code):
     @query(name, "v_citations v_pages", [MATCHED], f"""
     select document_id, field_name, page_number, cit as matched_text, {1.0 if code == 1 else 0.9}e0 as confidence from matched where rn = 1 and method = {code}""")
     def _(t):
-        located = V.locate_verbatim(t.v_citations, t.v_pages)[0]
+        located = V.locate_verbatim(t.v_citations, t.v_pages)
         return located.filter(F.col("match_method") == method).select("document_id", "field_name", "page_number", "matched_text", "confidence")
 
 
@@ -182,7 +182,7 @@ def noisy(t):
 
 @query("e14_fuzzy_location")
 def _(t):
-    return V.locate_fuzzy(V.locate_verbatim(noisy(t), t.v_pages)[1]).drop("section")
+    return V.map_citations(noisy(t), t.v_pages).drop("section")
 
 
 TITLED = """select document_id, page_number, '# Part ' || cast(page_number as varchar) || chr(10) || 'short line' || chr(10) || text as text from v_pages"""
@@ -197,7 +197,7 @@ select document_id, field_name, page_number, case when h > 0 and (stop is null o
 def _(t):
     t.v_pages.createOrReplaceTempView("v_pages")
     titled = t.spark.sql(TITLED.replace("as varchar", "as string"))
-    return V.locate_verbatim(t.v_citations, titled)[0].select("document_id", "field_name", "page_number", "section")
+    return V.locate_verbatim(t.v_citations, titled).select("document_id", "field_name", "page_number", "section")
 
 
 @query("e16_map_citations", "v_citations v_pages", [MATCHED], """

@@ -99,6 +99,15 @@ def _(t):
     return S.read_delimited(t.spark, landed(t))
 
 
+@query("a06_csv_documents", sql="""
+select cast(p_partkey as varchar) as p_partkey, p_name, case when p_size % 7 <> 0 then p_type else '' end as p_type, cast(p_size as varchar) as p_size from part""")
+def _(t):
+    files = S.landed_files(t.spark, landed(t, ";"), "*.csv").select("path", "content")
+    parsed = I.to_table(S.csv_documents(files))
+    return parsed.select("headers", F.explode("rows").alias("row")).select(
+        *[F.element_at("row", F.array_position("headers", c).cast("int")).alias(c) for c in ("p_partkey", "p_name", "p_type", "p_size")])
+
+
 @query("a07_sniff_delimiter", sql="select '|' as delimiter, true as found")
 def _(t):
     heads = S.sniff_delimiters(S.file_heads(t.spark, landed(t, "|")))

@@ -192,10 +192,10 @@ def _(t):
 
 
 @query("b16_submission_with_relations", "v_submissions v_documents v_users", sql="""
-select s.submission_id, 0 as segment, ua.full_name as assigned_name, uc.full_name as creator_name, coalesce(n, 0) as n_documents, coalesce(docs, '') as documents
+select s.submission_id, coalesce(segment, 0) as segment, ua.full_name as assigned_name, uc.full_name as creator_name, coalesce(n, 0) as n_documents, coalesce(docs, '') as documents
  from v_submissions s left join v_users ua on s.assigned_to = ua.user_id left join v_users uc on s.created_by = uc.user_id
-  left join (select submission_id, count(*) as n, string_agg(cast(document_id as varchar) || ':' || original_filename || ':' || coalesce(document_type, '-'), ',' order by document_id) as docs
-     from v_documents group by submission_id) d using (submission_id)""")
+  left join (select submission_id, segment, count(*) as n, string_agg(cast(document_id as varchar) || ':' || original_filename || ':' || coalesce(document_type, '-'), ',' order by document_id) as docs
+     from (select *, (row_number() over (partition by submission_id order by document_id) - 1) // 1000 as segment from v_documents) group by submission_id, segment) d using (submission_id)""")
 def _(t):
     nested = R.nest_documents(t.v_submissions, t.v_documents, t.v_users)
     shown = F.transform("documents", lambda d: F.concat_ws(":", d.document_id.cast("string"), d.original_filename, F.coalesce(d.document_type, F.lit("-"))))

@@ -97,3 +97,14 @@ def test_redaction_order(spark):
     got = [r.text for r in G.redact_pii(df).orderBy("i").collect()]
     assert got == ["card [CARD-REDACTED]", "ssn [SSN-REDACTED]", "id [ROUTING-REDACTED]", "key [SECRET-REDACTED]",
                    "café123-45-6789", "Bearer [TOKEN-REDACTED]"]
+
+
+def test_csv_documents(spark):
+    rows = [("a", "x,y\n1,\n\n2,3,4\n5\n".encode()), ("b", b"h;k\ncaf\xe9;2\n"), ("c", b"")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: r for r in S.csv_documents(df).collect()}
+    assert got["a"].raw == [["x", "y"], ["1", None], ["5", None]]
+    assert (got["b"].encoding, got["b"].delimiter, got["b"].raw) == ("latin-1", ";", [["h", "k"], ["café", "2"]])
+    assert got["c"].raw == []
+    cut = {r.path: r for r in S.csv_documents(df, max_rows=1).collect()}
+    assert cut["a"].truncated and len(cut["a"].raw) == 2 and not cut["b"].truncated
