@@ -93,6 +93,16 @@ def fill_templates(documents: DataFrame, templates: DataFrame, **values: Column)
     return joined.select(*documents.columns, fill(F.coalesce("_own", "_generic"), **values).alias("prompt"))
 
 
+def fill_guarded(documents: DataFrame, template: str, max_tokens: int, text: str = "document_text", **values: Column) -> DataFrame:
+    """Summaries and score explanations: ``text`` is sanitised before it goes into the template, the other values are not.
+
+    Flagged texts leave the prompt null; the guardrail columns say why.
+    """
+    safe = guardrails.sanitise_input(documents, max_tokens, text)
+    prompt = fill(F.lit(template), **{text: F.col(text)}, **values)
+    return safe.withColumn("prompt", F.when(F.col("injection_pattern").isNull(), prompt))
+
+
 # --- responses --------------------------------------------------------------
 def parse_responses(responses: DataFrame, raw: str = "raw_response") -> DataFrame:
     """Adds ``json_text``: the fence-free JSON of any kind, null when it is none."""

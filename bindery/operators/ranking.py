@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bindery.session import shared_dir
+
 HOT_ROWS = 2_000_000
 RANGES = 64
 
@@ -28,8 +30,11 @@ def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None
     seen = max(1, int(hot_rows * fraction / 2)) if fraction < 1 else hot_rows
     sample = df.select(*keys) if fraction == 1 else df.select(*keys).sample(fraction=fraction, seed=7)
     hot = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > seen).select(*keys)
-    found = hot.collect()          # at most 2 * rows / hot_rows keys
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+    # a small table of its own: Spark sees its size and broadcasts it only if that is small
+    path = shared_dir(df.sparkSession, "hot-keys")
+    hot.coalesce(1).write.parquet(path)
+    found = df.sparkSession.read.schema(hot.schema).parquet(path)
+    return None if found.isEmpty() else found
 
 
 def _same_key(keys: list[str]) -> Column:
@@ -57,12 +62,9 @@ def _range_of(df: DataFrame, keys: list[str], order: list[str], ranges: int) ->
     if not points:
         return F.lit(0)
     me = F.struct(*keys, *order)
-    dtype = df.select(me.alias("p")).schema["p"].dataType
-    table = df.sparkSession.createDataFrame([(p,) for p in points], f"p {dtype.simpleString()}")
+    fields = df.select(*keys, *order).schema.fields
     # a literal array keeps the lookup inside the projection, without a join
-    fields = dtype.fields
-    cuts = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r.p, fields)])
-                     for r in table.collect()])
+    cuts = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(p, fields)]) for p in points])
     return F.size(F.filter(cuts, lambda c: c <= me))
 
 
@@ -79,7 +81,7 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str, la
     hot = _hot_keys(df, keys, hot_rows)
     if hot is None:
         return df.withColumns(columns)
-    d, h = df.alias("d"), F.broadcast(hot.alias("h"))      # at most 2 * rows / hot_rows keys
+    d, h = df.alias("d"), hot.alias("h")
     cold = d.join(h, _same_key(keys), "left_anti").withColumns(columns)
     busy = d.join(h, _same_key(keys), "left_semi")
     busy = busy.withColumn("_range", _range_of(busy, keys, order, ranges))
@@ -93,7 +95,7 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str, la
     on = _same_key(keys) & (F.col("d._range") == F.col("h._range"))
     number = F.col("d._rn") + F.col("h._before")
     flags = [(number == F.col("h._total")).alias(last)] if last else []
-    numbered = inside.alias("d").join(F.broadcast(shift.alias("h")), on).select(
+    numbered = inside.alias("d").join(shift.alias("h"), on).select(
         *[F.col(f"d.{c}") for c in df.columns], number.cast("int").alias(out), *flags)
     return cold.unionByName(numbered)
 
@@ -105,7 +107,7 @@ def next_within(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     hot = _hot_keys(df, keys, hot_rows)
     if hot is None:
         return df.withColumn(out, F.lead(value).over(plain))
-    d, h = df.alias("d"), F.broadcast(hot.alias("h"))
+    d, h = df.alias("d"), hot.alias("h")
     cold = d.join(h, _same_key(keys), "left_anti").withColumn(out, F.lead(value).over(plain))
     busy = d.join(h, _same_key(keys), "left_semi")
     busy = number_within(busy, keys, order, "_rn", hot_rows=hot_rows, ranges=ranges)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bindery import fixed
 from bindery.operators import catalogue, evidence as V, extract as E, relational as R
-from checks.q_guardrails import STRIPPED, redaction
+from checks.q_guardrails import SCANNED, STRIPPED, redaction
 from checks.q_relational import VERSIONED
 from checks.q_validate import CATALOGUE, UNWRAPPED, title
 from checks.registry import lit, lits, query
@@ -53,6 +53,17 @@ def _(t):
                             field_list=F.lit("a, b"), rag_context=F.lit(E.NO_CONTEXT), document_text=F.col("text")).select("document_id", "prompt")
 
 
+@query("e03_guarded_summaries", "v_insurance_text", [SCANNED, *redaction("scanned")], f"""
+select document_id, injection_pattern, pii_redactions, case when injection_pattern is null then 'Ref SUB-' || cast(document_id as varchar) || chr(10) || '{E.NO_CONTEXT}' || chr(10)
+   || case when length(text) > 9904 then substring(text, 1, 6932) || {lit(fixed.TRUNCATION_MARKER)} || right(text, 2971) else text end end as prompt from redacted""")
+def _(t):
+    template = "Ref ${submission_number}\n${rag_context}\n${document_text}"
+    docs = t.v_insurance_text.select("document_id", F.col("text").alias("document_text"))
+    number = F.concat(F.lit("SUB-"), F.col("document_id").cast("string"))
+    return E.fill_guarded(docs, template, 4000, submission_number=number, rag_context=F.lit(E.NO_CONTEXT)).select(
+        "document_id", "injection_pattern", "pii_redactions", "prompt")
+
+
 @query("e04_parse_responses", "v_responses", [STRIPPED], "select document_id, case when json_valid(j) then j end as json_text from stripped")
 def _(t):
     return E.parse_responses(t.v_responses).select("document_id", "json_text")
