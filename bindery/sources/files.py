@@ -59,7 +59,7 @@ def file_heads(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", max_rows: int | None = None) -> DataFrame:
     """All columns as text, empty cells null, malformed rows tolerated.
 
-    ``max_rows`` is off by default: it is the reference's memory guard, and
+    ``max_rows`` is off by default: it guards a single machine's memory, and
     Spark needs none.
     """
     df = (spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("mode", "PERMISSIVE")

@@ -7,7 +7,7 @@ from bindery.operators import catalogue, evidence as V, extract as E, relational
 from checks.q_guardrails import SCANNED, STRIPPED, redaction
 from checks.q_relational import VERSIONED
 from checks.q_validate import CATALOGUE, UNWRAPPED, title
-from checks.registry import lit, lits, query
+from checks.registry import lit, query
 
 
 @query("e01_field_catalogue", "v_documents", sql=f"""

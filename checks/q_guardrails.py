@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bindery import fixed
 from bindery.operators import guardrails as G
-from checks.registry import lit, lits, query
+from checks.registry import lit, query
 
 MAX_TOKENS = 2000
 AVAILABLE = (MAX_TOKENS - 1524) * 4

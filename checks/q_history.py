@@ -12,7 +12,7 @@ from checks.q_guardrails import redaction
 from checks.q_ingest import CLEAN
 from checks.q_relational import VERSIONED
 from checks.q_validate import ASSEMBLED, UNWRAPPED, currency
-from checks.registry import lit, lits, query
+from checks.registry import lits, query
 
 SCORES = ("scores", """select s.submission_id, total_delta, coalesce(n_factors, 0) as n_factors, greatest(0, least(100, 50 + total_delta)) as final_score from v_submissions s
   left join (select submission_id, cast(sum(delta) as bigint) as total_delta, count(*) as n_factors from v_risk_factors group by submission_id) using (submission_id)""")

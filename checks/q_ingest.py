@@ -7,7 +7,7 @@ from bindery.operators import ingest as I, relational as R
 from bindery.session import shared_dir
 from bindery.sources import files as S
 from checks.q_relational import VERSIONED
-from checks.registry import lit, lits, query
+from checks.registry import lits, query
 
 
 def landed(t, sep=","):
