@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bindery.llm import langid, minhash, mixing, packing, quality, secrets, topk
+from bindery.llm import chat, html, langid, minhash, mixing, packing, quality, secrets, suffix, topk
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,11 +30,23 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -45,7 +57,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_vector_packing, op3_exact_top_k, op4_pfair_mixing, op6_secret_scans, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_near_dedup, op2_vector_packing, op3_exact_top_k, op4_pfair_mixing, op5_suffix_dedup, op6_secret_scans,
+    op7_html_extraction, op8_chat_formatting, op9_quality_rules, op10_language_id)}
 
 ORACLES = {
     "op3_exact_top_k": """

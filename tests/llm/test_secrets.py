@@ -1,0 +1,62 @@
+import random
+import re
+
+from bindery.llm import secrets
+from tests.llm import helpers
+
+KEYS = ("token", "api_key", "password", "SECRET")
+
+
+def corpus():
+    rng = random.Random(8)
+    rows, planted = [], {}
+    for i in range(200):
+        text = helpers.prose(rng, rng.randint(5, 80))
+        if i % 4 == 0:
+            value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+            planted[i] = value
+            text += f' {rng.choice(KEYS)} = "{value}" ' + helpers.prose(rng, 5)
+        if i % 5 == 0:
+            text += " " + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(16, 30)))
+        if i % 7 == 0:
+            text += " 4785380592391139"
+        rows.append((i, text, "en", "a"))
+    return rows, planted
+
+
+def test_findings_and_places(spark):
+    rows, planted = corpus()
+    docs = helpers.documents(spark, rows)
+    got = secrets.candidates(docs).collect()
+    texts = {i: t for i, t, _, _ in rows}
+    want = sorted((i, k, m.start(), m.group()) for i, t in texts.items() for k, m in enumerate(re.finditer(secrets.CANDIDATE, t)))
+    assert sorted((r.doc_id, r.place, r.start, r.value) for r in got) == want
+    assert all(texts[r.doc_id][:r.start].endswith(r.before) and texts[r.doc_id][r.start + len(r.value):].startswith(r.after) for r in got)
+
+
+def test_forest_keeps_secrets_only(spark):
+    rows, planted = corpus()
+    docs = helpers.documents(spark, rows)
+    score = secrets.train(docs)
+    found = secrets.scan(docs, score).filter("is_secret").collect()
+    assert {r.doc_id for r in found} == set(planted) and len(found) == len(planted)
+    plan = secrets.scan(docs, score)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, score).collect()}
+    for i, t, _, _ in rows:
+        assert clean[i] == (t.replace(planted[i], secrets.MARKER) if i in planted else t)
+
+
+def test_given_findings_and_single_class(spark):
+    docs = helpers.documents(spark, [(1, 'token = "0123456789abcdef0123"', "en", "a"), (2, "abcdefghijabcdefghij", "en", "a")])
+    none = spark.createDataFrame([], "value string, before string, after string, label double")
+    assert {(r.doc_id, r.is_secret) for r in secrets.scan(docs, secrets.train(docs, findings=none)).collect()} == {(1, True), (2, False)}
+
+
+def test_edges(spark):
+    docs = helpers.edge_documents(spark)
+    score = secrets.train(docs)
+    assert secrets.scan(docs, score).count() == 0
+    assert sorted((r.doc_id or 0, r.text or "") for r in secrets.redact(docs, score).collect()) == sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    empty = helpers.documents(spark, [])
+    assert secrets.scan(empty, secrets.train(empty)).count() == 0
