@@ -7,12 +7,13 @@ Bands of the compressed registers propose candidates, the Jaccard estimate
 full sets decide.
 
 No group is ever expanded into its pairs. Documents with equal sets form a
-class first. A band bucket then compares its members with one pivot, its
-smallest member; next, where the bucket still spans several components, with
-the member that has most links; what is still apart after that is compared
-block by block inside tasks, and only pairs with a sufficient estimate leave
-them. So all links that join different components are found, whatever the
-size of a group.
+class first. Each member is then compared with one pivot, of the smallest
+members of its band buckets the one it meets most often; next, where buckets
+still span several components, with one of their best-linked members. What is
+still apart after that is compared block by block inside tasks, by matrix
+products over the shingles that a block's members share, and only links that
+join two components leave a task. So all components come out whole, whatever
+the size of a group.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from bindery.llm.components import components
 K = 128  # buckets
 BANDS = 32  # of K / BANDS registers: at a Jaccard of 0.8 a pair shares no band once in 2e7
 MANTISSA = 10  # bits kept beside the leading-zero count
-BLOCK = 512  # members of a bucket compared with as many others in one go
+BLOCK = 1024  # members of a bucket compared with as many others in one go
+SLICE = 4096  # shared shingles that a matrix product takes at a time
 SIGMAS = 5  # an estimate this far below the threshold ends a candidate
 
 _WORDS: dict[bytes, int] = {}
@@ -50,7 +52,7 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > 150_000:
         _WORDS.clear()
     hashes = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
@@ -108,7 +110,8 @@ def _sign(size: int):
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["_id"], "hashes": [shingle_set(t, size).tobytes() for t in batch["_text"]]})
+            sets = [shingle_set(t, size) for t in batch["_text"]]
+            yield pd.DataFrame({"id": batch["_id"], "n": [len(x) for x in sets], "hashes": [x.tobytes() for x in sets]})
     return run
 
 
@@ -141,41 +144,72 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int, purp
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), f"{purpose}-ids")
     needed = texts.join(broadcast_if_small(ids), "_id", "left_semi")
-    sets = written(needed.mapInPandas(_sets(size), "id long, hashes binary"), f"{purpose}-sets")
+    sets = written(needed.mapInPandas(_sets(size), "id long, n long, hashes binary"), f"{purpose}-sets")
     first = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
     second = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
     return written(pairs.join(first, "a").join(second, "b").filter(linked("ha", "hb")).select("a", "b").distinct(), f"{purpose}-links")
 
 
-def _blocks(percent: int):
-    """Pairs between two blocks of a bucket: other component, sizes that allow a link, a sufficient estimate."""
-    floor = least_estimate(percent)
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left with the right sets."""
+    both = np.union1d(left, right)
+    rows = np.repeat(np.arange(len(both)), [len(sets[i]) for i in both])
+    _, column, count = np.unique(np.concatenate([sets[i] for i in both]), return_inverse=True, return_counts=True)
+    often = count > 1  # others are in no intersection
+    names = np.cumsum(often) - 1
+    rows, column = rows[often[column]], names[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    l, r = np.searchsorted(both, left), np.searchsorted(both, right)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(often.sum()), SLICE):
+        s, e = np.searchsorted(column, [at, at + SLICE])
+        m = np.zeros((len(both), SLICE), np.float32)
+        m[rows[s:e], column[s:e] - at] = 1
+        out += m[l] @ m[r].T
+    return out
+
 
+def _blocks(percent: int):
+    """Links on full sets between two blocks of a bucket, as many as join components."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in grouped(batches, ["key", "low", "high"]):
             ids, comp, n = (frame[c].to_numpy() for c in ("id", "component", "n"))
             block, low, high = (frame[c].to_numpy() for c in ("block", "low", "high"))
-            sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(-1, K)
-            change = (frame[["key", "low", "high"]].to_numpy()[1:] != frame[["key", "low", "high"]].to_numpy()[:-1]).any(axis=1)
-            starts = np.flatnonzero(np.r_[True, change, True])
-            a, b = [], []
+            sets = [np.frombuffer(x, np.uint64) for x in frame["hashes"]]
+            names = frame[["key", "low", "high"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1), True])
+            found: set[tuple[int, int]] = set()
             for s, e in zip(starts[:-1], starts[1:]):
                 left = np.arange(s, e)[block[s:e] == low[s]]
                 right = left if low[s] == high[s] else np.arange(s, e)[block[s:e] == high[s]]
-                for i in left:
-                    with_ = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-                    if low[s] == high[s]:
-                        with_ = with_[ids[with_] > ids[i]]
-                    if len(with_):
-                        with_ = with_[estimate((sig[with_] == sig[i]).sum(axis=1), n[with_], n[i]) >= floor]
-                        a.append(np.full(len(with_), ids[i]))
-                        b.append(ids[with_])
-            if a:
-                found = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-                yield found.drop_duplicates()
+                if not len(left) or not len(right) or len(np.unique(comp[s:e])) < 2:
+                    continue
+                common = _shared(sets, left, right)
+                x, y = np.nonzero((100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (comp[left][:, None] != comp[right][None, :]))
+                parent: dict[int, int] = {}
+
+                def find(c: int) -> int:
+                    while parent.setdefault(c, c) != c:
+                        parent[c] = c = parent[parent[c]]
+                    return c
+
+                for i, j in zip(left[x], right[y]):
+                    p, q = find(int(comp[i])), find(int(comp[j]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        found.add((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+            if found:
+                yield pd.DataFrame(sorted(found), columns=["a", "b"])
     return run
 
 
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of the rows (a, b), one for each bucket that they share, the b that a meets most often; the smallest of equals."""
+    met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("a").agg(F.max(F.struct("n", F.negative("b").alias("minus"))).alias("m")).select("a", F.negative("m.minus").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -195,11 +229,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("id", F.xxhash64("band", "part").alias("key"))
     floor = least_estimate(percent)
 
-    # first: every member of a bucket against the smallest
+    # first: every member against one of the smallest members of its buckets
     pivots = bands.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b != top").select("key", "b")
-    stars = written(bands.withColumnRenamed("id", "a").join(pivots, "key").filter("a != b").select("a", "b").distinct(), "star-pairs")
-    tried = written(_promising(stars, classes, floor), "star-candidates")
-    links = _confirmed(tried, texts, percent, size, "stars")
+    stars = written(_one_each(bands.withColumnRenamed("id", "a").join(pivots, "key").filter("a != b").select("a", "b")), "star-pairs")
+    stars = written(_promising(stars, classes, floor), "star-candidates")
+    links = _confirmed(stars, texts, percent, size, "stars")
     groups = written(components(links), "star-components")
 
     # then, where a bucket spans components: against the member with most links
@@ -218,25 +252,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = rows.join(degree, "id", "left").select("key", "id", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", F.negative("id").alias("minus"), "component")).alias("h")) \
         .select("key", F.negative("h.minus").alias("b"), F.col("h.component").alias("hub"))
-    spokes = rows.join(hubs, "key").filter("component != hub").select(F.col("id").alias("a"), "b").distinct()
-    spokes = written(spokes.join(tried, ["a", "b"], "left_anti"), "hub-pairs")
-    more = written(_promising(spokes, classes, floor), "hub-candidates")
-    tried = tried.union(more)
-    links = links.union(_confirmed(more, texts, percent, size, "hubs"))
+    spokes = written(_one_each(rows.join(hubs, "key").filter("component != hub").select(F.col("id").alias("a"), "b")), "hub-pairs")
+    spokes = written(_promising(spokes, classes, floor), "hub-candidates")
+    links = links.union(_confirmed(spokes, texts, percent, size, "hubs"))
     groups = written(components(links), "hub-components")
 
     # last: everything that is still apart, block against block
     rows = mixed(groups).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    ids = written(rows.select(F.col("id").alias("_id")).distinct(), "rest-ids")
+    sets = written(texts.join(broadcast_if_small(ids), "_id", "left_semi").mapInPandas(_sets(size), "id long, n long, hashes binary"), "rest-sets")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = rows.join(classes.select("id", "n", "sig"), "id")
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    rest = rows.mapInPandas(_blocks(percent), "a long, b long").distinct()
-    swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    rest = written(rest.join(tried.union(swapped), ["a", "b"], "left_anti"), "rest-candidates")
-    links = links.union(_confirmed(rest, texts, percent, size, "rest"))
-    groups = components(links)
+    rows = rows.join(sets, "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rest = written(rows.mapInPandas(_blocks(percent), "a long, b long").distinct(), "rest-links")
+    groups = components(links.union(rest))
 
     # a class of one that is linked with nothing needs no entry
     settled = classes.select("set_hash", "copies", "id").join(groups.withColumnRenamed("node", "id"), "id", "left") \
