@@ -40,6 +40,14 @@ def lower_extension(filename: Column | str) -> Column:
     return F.when(f.contains("."), F.lower(F.substring_index(f, ".", -1))).otherwise("")
 
 
+def unicode_pattern(pattern: str, ignore_case: bool = False) -> str:
+    """A pattern whose classes, boundaries and letter cases are those of Unicode, as in Python.
+
+    White space is Python's: a no-break space separates words like any other.
+    """
+    return ("(?iU)" if ignore_case else "(?U)") + pattern.replace(r"\s", SPACE)
+
+
 def literal_prefixes(pattern: str) -> list[str] | None:
     """Literals of which any match of ``pattern`` must contain one; None if there are none.
 
@@ -72,7 +80,7 @@ def matches_sql(lowered: str, pattern: str, text: str | None = None) -> str:
     A byte search for the pattern's literal prefix on the lowered text spares
     the regular expression wherever it cannot match.
     """
-    found = f"{lowered} rlike r'{pattern}'" if text is None else f"{text} rlike r'(?i){pattern}'"
+    found = f"{lowered} rlike r'{unicode_pattern(pattern)}'" if text is None else f"{text} rlike r'{unicode_pattern(pattern, True)}'"
     prefixes = literal_prefixes(pattern)
     if prefixes is None:
         return f"({found})"

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from bindery import fixed
 from bindery.functions.barrier import compute_once
 from bindery.functions.jsontext import object_keys, strip_fences
-from bindery.functions.text import first_match_sql, is_blank
+from bindery.functions.text import first_match_sql, is_blank, unicode_pattern
 
 
 def scan_injection(df: DataFrame, text: str = "text", out: str = "injection_pattern") -> DataFrame:
@@ -34,7 +34,7 @@ def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """Redacts in pattern order; each count is taken on the text as redacted so far."""
     names = []
     for name, pattern, replacement, ignore_case in fixed.PII_PATTERNS:
-        p = f"(?i){pattern}" if ignore_case else pattern
+        p = unicode_pattern(pattern, ignore_case)
         found = F.regexp_count(F.col(text), F.lit(p))
         df = compute_once(df, **{f"n_{name}": found})
         df = compute_once(df, **{text: F.when(F.col(f"n_{name}") > 0, F.regexp_replace(text, p, replacement))
@@ -69,16 +69,19 @@ def sanitise_input(df: DataFrame, max_tokens: int, text: str = "text") -> DataFr
 
 
 def check_output(df: DataFrame, content: str = "raw_response", expect_json: bool = False) -> DataFrame:
-    """Forbidden patterns -> violations, length cap, optional JSON check, passed flag."""
+    """Forbidden patterns -> violations, length cap, optional JSON check, passed flag.
+
+    The response is capped as downstream columns expect; ``full_<content>`` keeps it whole.
+    """
     c = F.col(content)
-    found = [F.when(c.rlike(f"(?i){p}"), F.lit(f"Forbidden pattern in LLM output: {p[:60]}"))
+    found = [F.when(c.rlike(unicode_pattern(p, True)), F.lit(f"Forbidden pattern in LLM output: {p[:60]}"))
              for p in fixed.FORBIDDEN_OUTPUT_PATTERNS]
     capped = F.substring(c, 1, fixed.MAX_OUTPUT_CHARS)
     if expect_json:
         found.append(F.when(~is_blank(capped) & F.try_parse_json(capped).isNull(), "LLM returned invalid JSON"))
     return (df.withColumn("violations", F.array_compact(F.array(*found)))
             .withColumn("was_truncated", F.length(content) > fixed.MAX_OUTPUT_CHARS)
-            .withColumn(content, capped)
+            .withColumns({f"full_{content}": c, content: capped})
             .withColumn("passed", F.size("violations") == 0))
 
 

@@ -15,7 +15,8 @@ EMPTY = "cast(array() as array<string>)"
 def admit(uploads: DataFrame) -> DataFrame:
     """Adds ``extension`` and ``reject_reason`` (null: accepted).
 
-    ``uploads``: upload_id, submission_id, uploaded_at, filename, size_bytes.
+    ``uploads``: upload_id, submission_id, uploaded_at, filename, size_bytes and,
+    if the content is to be judged too, mime_type (see ``resolve_mime``).
     The count limit is checked first and counts the distinct filenames accepted
     before: once 20 are in, every later upload of the submission is refused.
     """
@@ -26,6 +27,8 @@ def admit(uploads: DataFrame) -> DataFrame:
                  .when(~extension.isin(fixed.ALLOWED_EXTENSIONS), "extension not allowed")
                  .when(F.col("size_bytes") > fixed.MAX_UPLOAD_BYTES, "file too large")
                  .when(F.col("size_bytes") == 0, "file is empty"))
+    if "mime_type" in uploads.columns:
+        own_fault = own_fault.when(~F.coalesce(F.col("mime_type").isin(fixed.ALLOWED_MIMES), F.lit(False)), "type not allowed")
     checked = uploads.withColumn("extension", extension).withColumn("_fault", own_fault)
     arrival = F.struct("uploaded_at", "upload_id")
     # first good upload of each filename, then the 20th of them; both pre-aggregated

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.operators.ranking import number_within
 
-NEST_ROWS = 1000
-
 
 # --- pages of a listing -----------------------------------------------------
 def page_of(items: DataFrame, order: list[Column], page: int = 1, page_size: int = 50) -> DataFrame:
@@ -102,19 +100,15 @@ def patch(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
         *[(merged[c].alias(c) if c in merged else F.col(c)) for c in base.columns])
 
 
-def nest_documents(submissions: DataFrame, documents: DataFrame, users: DataFrame,
-                   rows_per_segment: int = NEST_ROWS) -> DataFrame:
-    """Submission with its documents and people nested in one row.
+def with_documents(submissions: DataFrame, documents: DataFrame, users: DataFrame) -> DataFrame:
+    """Each submission with its people and its documents, one row a document in ``ordinal`` order.
 
-    A submission with more than ``rows_per_segment`` documents gets several
-    rows (``segment`` 0, 1, ...), so that no group is collected without bound.
+    A submission without documents has one row whose ordinal is null. The shape
+    is the same whatever the number of documents.
     """
-    numbered = number_within(documents, ["submission_id"], ["document_id"], "_n")
-    segments = (numbered.withColumn("segment", F.floor((F.col("_n") - 1) / rows_per_segment).cast("int"))
-                .groupBy("submission_id", "segment")
-                .agg(F.array_sort(F.collect_list(F.struct("document_id", "original_filename", "document_type"))).alias("documents")))
-    joined = with_user_names(submissions, users).join(segments, "submission_id", "left")
-    return joined.withColumn("segment", F.coalesce("segment", F.lit(0)))
+    numbered = number_within(documents.select("submission_id", "document_id", "original_filename", "document_type"),
+                             ["submission_id"], ["document_id"], "ordinal")
+    return with_user_names(submissions, users).join(numbered, "submission_id", "left")
 
 
 def dashboard(submissions: DataFrame) -> DataFrame:
@@ -158,9 +152,10 @@ def append_version(documents: DataFrame, uploads: DataFrame) -> DataFrame:
 
 
 def version_history(versioned: DataFrame) -> DataFrame:
-    """All versions of every filename, in rows, oldest first within a filename."""
+    """All versions of every filename, sorted by submission and filename, oldest first within a filename."""
     return versioned.select("submission_id", "original_filename", "version_number", "document_id", "uploaded_at",
-                            "file_size_bytes", "is_current_version")
+                            "file_size_bytes", "is_current_version") \
+        .orderBy("submission_id", "original_filename", "version_number")
 
 
 # --- users ------------------------------------------------------------------

@@ -41,16 +41,15 @@ def risk_scores(submissions: DataFrame, factors: DataFrame, base: int = fixed.RI
         F.lit(source).alias("threshold_source"))
 
 
-def score_breakdown(scores: DataFrame, factors: DataFrame, rows_per_segment: int = 1000) -> DataFrame:
-    """Scores as one JSON document each, factors in name order.
+def score_breakdown(scores: DataFrame, factors: DataFrame) -> DataFrame:
+    """Scores beside their factors: ``score_breakdown`` (JSON of the score) and one row a factor, by name and delta.
 
-    Very many factors of one submission spread over several ``segment`` rows.
+    A submission without factors has one row whose ordinal is null.
     """
-    numbered = number_within(factors, ["submission_id"], ["name", "delta"], "_n")
-    lists = (numbered.withColumn("segment", F.floor((F.col("_n") - 1) / rows_per_segment).cast("int"))
-             .groupBy("submission_id", "segment").agg(F.array_sort(F.collect_list(F.struct("name", "delta"))).alias("factors")))
-    return scores.join(lists, "submission_id", "left").select("submission_id", F.coalesce("segment", F.lit(0)).alias("segment"), F.to_json(F.struct(
-        "base_score", "factors", "final_score", "category", "thresholds_used", "threshold_source")).alias("score_breakdown"))
+    numbered = number_within(factors.select("submission_id", "name", "delta"), ["submission_id"], ["name", "delta"], "ordinal")
+    score = F.to_json(F.struct("base_score", "final_score", "category", "thresholds_used", "threshold_source"))
+    return scores.withColumn("score_breakdown", score).join(numbered, "submission_id", "left").select(
+        "submission_id", "score_breakdown", "ordinal", "name", "delta")
 
 
 # --- claims -----------------------------------------------------------------

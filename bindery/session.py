@@ -1,6 +1,8 @@
 """Session helpers: local sessions for tests and shared scratch folders."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,23 +24,26 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "bin
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's ``spark.checkpoint.dir``.
+def _shared_base(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, or the context's folder; one machine may do with a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(base)
+    return base
+
 
-    Only where that setting is absent (tests on one machine) does it fall back
-    to a temporary folder, which it then also makes the checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the cluster's ``spark.checkpoint.dir``."""
+    return f"{_shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """``checkpoint()`` needs a folder; the cluster's setting wins, tests get a temporary one."""
+    """``checkpoint()`` needs a folder; the cluster's setting wins, a single machine gets a temporary one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        spark.sparkContext.setCheckpointDir(_shared_base(spark))

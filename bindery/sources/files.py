@@ -56,40 +56,63 @@ def file_heads(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
     return files.select("path", head.alias("content")).select("path", decode(F.col("content"))[0].alias("text"))
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", max_rows: int | None = None) -> DataFrame:
-    """All columns as text, empty cells null, malformed rows tolerated.
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """All columns as text, empty cells null, malformed rows tolerated."""
+    return (spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("mode", "PERMISSIVE")
+            .option("nullValue", "").option("recursiveFileLookup", "true").csv(path))
+
+
+def unique_names(header: list[str]) -> list[str]:
+    """A blank name becomes ``Unnamed: <place>``; a repeated one gets the first free ``.1``, ``.2``, ..."""
+    names: list[str] = []
+    for i, name in enumerate(header):
+        name = name or f"Unnamed: {i}"
+        free, n = name, 0
+        while free in names:
+            n += 1
+            free = f"{name}.{n}"
+        names.append(free)
+    return names
 
-    ``max_rows`` is off by default: it guards a single machine's memory, and
-    Spark needs none.
-    """
-    df = (spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("nullValue", "").option("recursiveFileLookup", "true").csv(path))
-    return df if max_rows is None else df.limit(max_rows)
 
+_CELLS = T.ArrayType(T.StringType())
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _csv_rows(texts: pd.Series, delimiters: pd.Series) -> pd.Series:
-    """One uploaded file each: cells as text, empty cells null, blank lines and over-long rows left out."""
+
+@F.pandas_udf(T.StructType([T.StructField("raw", T.ArrayType(_CELLS)), T.StructField("rejects", T.ArrayType(T.StructType([
+    T.StructField("line", T.IntegerType()), T.StructField("cells", _CELLS)])))]))
+def _csv_rows(texts: pd.Series, delimiters: pd.Series) -> pd.DataFrame:
+    """One uploaded file each: unique header names, cells as text, empty cells null, blank lines left out; longer rows apart."""
     def one(text, delimiter):
-        rows = [r for r in csv.reader(io.StringIO(text or ""), delimiter=delimiter or ",") if r]
-        width = len(rows[0]) if rows else 0
-        return [[c or None for c in r] + [None] * (width - len(r)) for r in rows if len(r) <= width]
-    return pd.Series([one(t, d) for t, d in zip(texts, delimiters)], dtype=object)
+        reader, rows, rejects = csv.reader(io.StringIO(text or ""), delimiter=delimiter or ","), [], []
+        for r in reader:
+            if not rows and r:
+                rows.append(unique_names(r))
+            elif r and len(r) > len(rows[0]):
+                rejects.append({"line": reader.line_num, "cells": r})
+            elif r:
+                rows.append([c or None for c in r] + [None] * (len(rows[0]) - len(r)))
+        return rows, rejects
+    return pd.DataFrame([one(t, d) for t, d in zip(texts, delimiters)], columns=["raw", "rejects"])
 
 
 def csv_documents(files: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Delimited files of any encoding and delimiter, one row per file: encoding, delimiter, raw cells.
+    """Delimited files of any encoding and delimiter, one row per file: encoding, delimiter, raw cells, rejects.
 
-    For uploads, which are at most 50 MB each; large tables go through
-    ``read_delimited``, which splits files. ``max_rows`` (off by default) cuts
-    a file and says so in ``truncated``.
+    ``rejects`` are the rows with more cells than the header (``csv_rejects``
+    lists them). All rows are kept; ``truncated`` only says that there are more
+    than ``max_rows``. For uploads, which are at most 50 MB each; large tables
+    go through ``read_delimited``, which splits files.
     """
     text, encoding = decode(F.col("content"))
     decoded = files.select(*[c for c in files.columns if c != "content"], text.alias("_text"), encoding.alias("encoding"))
-    rows = sniff_delimiters(decoded, "_text").withColumn("raw", _csv_rows("_text", "delimiter")).drop("_text")
-    if max_rows is None:
-        return rows.withColumn("truncated", F.lit(False))
-    return rows.withColumn("truncated", truncated_flag(F.size("raw") - 1, max_rows)).withColumn("raw", F.slice("raw", 1, max_rows + 1))
+    parsed = sniff_delimiters(decoded, "_text").withColumn("_parsed", _csv_rows("_text", "delimiter")).drop("_text")
+    over = F.lit(False) if max_rows is None else truncated_flag(F.size("_parsed.raw") - 1, max_rows)
+    return parsed.select(*[c for c in parsed.columns if c != "_parsed"], "_parsed.raw", "_parsed.rejects", over.alias("truncated"))
+
+
+def csv_rejects(parsed: DataFrame, key: str = "path") -> DataFrame:
+    """Rows that did not fit their header: file, line number, cells."""
+    return parsed.select(key, F.explode("rejects").alias("r")).select(key, "r.line", "r.cells")
 
 
 def truncated_flag(row_count: Column, max_rows: int = fixed.CSV_MAX_ROWS) -> Column:

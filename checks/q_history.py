@@ -25,15 +25,12 @@ def _(t):
 
 
 @query("i01_score_breakdown", "v_submissions v_risk_factors", [SCORES], f"""
-select s.submission_id, coalesce(segment, 0) as segment, final_score, {CATEGORY} as category, coalesce(factors, '') as factors from scores s left join (
-  select submission_id, segment, string_agg(name || ':' || cast(delta as varchar), ',' order by name, delta) as factors from (
-    select *, (row_number() over (partition by submission_id order by name, delta) - 1) // 1000 as segment from v_risk_factors) group by submission_id, segment) using (submission_id)""")
+select s.submission_id, final_score, {CATEGORY} as category, ordinal, name, delta from scores s left join (
+  select submission_id, name, delta, row_number() over (partition by submission_id order by name, delta) as ordinal from v_risk_factors) using (submission_id)""")
 def _(t):
     broken = K.score_breakdown(K.risk_scores(t.v_submissions, t.v_risk_factors), t.v_risk_factors)
-    b = F.from_json("score_breakdown", "final_score bigint, category string, factors array<struct<name:string,delta:bigint>>")
-    return broken.select("submission_id", "segment", b.alias("b")).select(
-        "submission_id", "segment", "b.final_score", "b.category",
-        F.coalesce(F.array_join(F.transform("b.factors", lambda f: F.concat_ws(":", f["name"], f["delta"].cast("string"))), ","), F.lit("")).alias("factors"))
+    b = F.from_json("score_breakdown", "final_score bigint, category string")
+    return broken.withColumn("b", b).select("submission_id", "b.final_score", "b.category", "ordinal", "name", "delta")
 
 
 @query("i02_risk_category", "v_submissions v_risk_factors", [SCORES], f"select {CATEGORY} as category, count(*) as n from scores group by 1")

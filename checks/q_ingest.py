@@ -54,6 +54,17 @@ admission("a02_admission_limit", """select upload_id, submission_id // 200 as su
               "submission_id": F.floor(F.col("submission_id") / 200)}))
 
 
+TYPED = """select *, case upload_id % 3 when 0 then 'application/pdf' when 1 then 'application/x-msdownload' end as mime_type from v_uploads"""
+
+
+@query("a02_mime_rejection", "v_uploads", [("uploads", TYPED), (FAULTS[0], FAULTS[1].replace(
+    "when size_bytes = 0 then 'file is empty'", f"when size_bytes = 0 then 'file is empty' when coalesce(mime_type not in {lits(fixed.ALLOWED_MIMES)}, true) then 'type not allowed'")), ADMITTED],
+    "select upload_id, extension, reject_reason from admitted")
+def _(t):
+    mime = F.when(F.col("upload_id") % 3 == 0, "application/pdf").when(F.col("upload_id") % 3 == 1, "application/x-msdownload")
+    return I.admit(t.v_uploads.withColumn("mime_type", mime)).select("upload_id", "extension", "reject_reason")
+
+
 @query("a02_accepted_rejected_split", "v_uploads", [("uploads", "select * from v_uploads"), FAULTS, ADMITTED], """
 select coalesce(reject_reason, 'accepted') as outcome, count(*) as n from admitted group by 1""")
 def _(t):
@@ -108,6 +119,28 @@ def _(t):
         *[F.element_at("row", F.array_position("headers", c).cast("int")).alias(c) for c in ("p_partkey", "p_name", "p_type", "p_size")])
 
 
+def ragged(t):
+    """Parts as files with a repeated and a blank name in the header; every ninth row has a cell too many."""
+    path = shared_dir(t.spark, "ragged")
+    line = F.concat_ws(",", "p_partkey", "p_brand", F.when(F.col("p_partkey") % 9 == 0, F.lit("x,y")).otherwise(F.lit("x")))
+    header = t.part.agg(F.lit("key,key,").alias("line"))
+    rows = t.part.select(line.alias("line"))
+    header.union(rows).coalesce(1).write.text(path)
+    return S.csv_documents(S.landed_files(t.spark, path, "*.txt").select("path", "content"))
+
+
+@query("a06_csv_rejects", sql="select p_partkey, p_brand, 4 as n_cells from part where p_partkey % 9 = 0")
+def _(t):
+    cells = S.csv_rejects(ragged(t)).select("cells")
+    return cells.select(F.col("cells")[0].cast("long").alias("p_partkey"), F.col("cells")[1].alias("p_brand"), F.size("cells").alias("n_cells"))
+
+
+@query("a06_csv_header_names", sql="""select cast(p_partkey as varchar) as "key", p_brand as "key.1", 'x' as "Unnamed: 2" from part where p_partkey % 9 <> 0""")
+def _(t):
+    return I.to_table(ragged(t)).select("headers", F.explode("rows").alias("row")).select(
+        *[F.element_at("row", F.array_position("headers", c).cast("int")).alias(c) for c in ("key", "key.1", "Unnamed: 2")])
+
+
 @query("a07_sniff_delimiter", sql="select '|' as delimiter, true as found")
 def _(t):
     heads = S.sniff_delimiters(S.file_heads(t.spark, landed(t, "|")))

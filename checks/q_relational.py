@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bindery.operators import knowledge as K, relational as R
-from checks.registry import query
+from checks.registry import in_order, query
 
 VERSIONED = ("versioned", """select *, cast(row_number() over (partition by submission_id, original_filename order by uploaded_at, document_id) as int) as version_number,
   lead(document_id) over (partition by submission_id, original_filename order by uploaded_at, document_id) is null as is_current_version from v_documents""")
@@ -50,13 +50,13 @@ def _(t):
 
 
 @query("b04_documents_of_submission", "v_documents", [VERSIONED], """
-select document_id, original_filename, version_number from versioned
+select document_id, original_filename, version_number, row_number() over (order by uploaded_at, document_id) as place from versioned
 where is_current_version and submission_id = (select min(o_orderkey) from orders)""")
 def _(t):
     first = t.orders.agg(F.min("o_orderkey")).scalar()
     chosen = t.v_documents.filter(F.col("submission_id") == first)
-    return R.assign_versions(chosen).filter("is_current_version").orderBy("uploaded_at", "document_id").select(
-        "document_id", "original_filename", "version_number")
+    current = R.documents_of(R.assign_versions(chosen), first)
+    return in_order(current.select("document_id", "original_filename", "version_number"))
 
 
 @query("b05_assign_versions", "v_documents", [VERSIONED],
@@ -84,9 +84,10 @@ def _(t):
 
 
 @query("b06_version_history", "v_documents", [VERSIONED], """
-select submission_id, original_filename, version_number, document_id, file_size_bytes, is_current_version from versioned""")
+select submission_id, original_filename, version_number, document_id, file_size_bytes, is_current_version,
+  row_number() over (order by submission_id, original_filename, version_number) as place from versioned""")
 def _(t):
-    return R.version_history(versioned(t)).drop("uploaded_at")
+    return in_order(R.version_history(versioned(t)).drop("uploaded_at"))
 
 
 @query("b07_list_knowledge_documents", "v_knowledge_documents", sql="""
@@ -124,11 +125,11 @@ def _(t):
 
 
 @query("b10_chunks_in_order", "v_knowledge_chunks", sql="""
-select chunk_index, chunk_id, chunk_text from v_knowledge_chunks where document_id = (select min(vec_id % 200) from embeddings)""")
+select chunk_index, chunk_id, chunk_text, row_number() over (order by chunk_index) as place from v_knowledge_chunks where document_id = (select min(vec_id % 200) from embeddings)""")
 def _(t):
     chunks = t.v_knowledge_chunks
-    return chunks.filter(F.col("document_id") == chunks.agg(F.min("document_id")).scalar()).orderBy("chunk_index").select(
-        "chunk_index", "chunk_id", "chunk_text")
+    return in_order(chunks.filter(F.col("document_id") == chunks.agg(F.min("document_id")).scalar()).orderBy("chunk_index").select(
+        "chunk_index", "chunk_id", "chunk_text"))
 
 
 @query("b11_user_directory", "v_users v_roles", sql="""
@@ -192,16 +193,12 @@ def _(t):
 
 
 @query("b16_submission_with_relations", "v_submissions v_documents v_users", sql="""
-select s.submission_id, coalesce(segment, 0) as segment, ua.full_name as assigned_name, uc.full_name as creator_name, coalesce(n, 0) as n_documents, coalesce(docs, '') as documents
+select s.submission_id, ua.full_name as assigned_name, uc.full_name as creator_name, ordinal, document_id, original_filename, document_type
  from v_submissions s left join v_users ua on s.assigned_to = ua.user_id left join v_users uc on s.created_by = uc.user_id
-  left join (select submission_id, segment, count(*) as n, string_agg(cast(document_id as varchar) || ':' || original_filename || ':' || coalesce(document_type, '-'), ',' order by document_id) as docs
-     from (select *, (row_number() over (partition by submission_id order by document_id) - 1) // 1000 as segment from v_documents) group by submission_id, segment) d using (submission_id)""")
-def _(t):
-    nested = R.nest_documents(t.v_submissions, t.v_documents, t.v_users)
-    shown = F.transform("documents", lambda d: F.concat_ws(":", d.document_id.cast("string"), d.original_filename, F.coalesce(d.document_type, F.lit("-"))))
-    return nested.select("submission_id", "segment", "assigned_name", "creator_name",
-                         F.coalesce(F.size("documents"), F.lit(0)).cast("long").alias("n_documents"),
-                         F.coalesce(F.array_join(shown, ","), F.lit("")).alias("documents"))
+  left join (select *, row_number() over (partition by submission_id order by document_id) as ordinal from v_documents) d using (submission_id)""")
+def _(t):
+    return R.with_documents(t.v_submissions, t.v_documents, t.v_users).select(
+        "submission_id", "assigned_name", "creator_name", "ordinal", "document_id", "original_filename", "document_type")
 
 
 @query("b17_dashboard", "v_submissions", sql="""

@@ -48,15 +48,23 @@ def test_hot_null_key(spark):
     assert sorted(r.n for r in got.filter("key is null").collect()) == list(range(1, 101))
 
 
-def test_nested_documents_come_in_segments(spark):
-    docs = spark.createDataFrame([(1, i, f"d{i}", "OTHER") for i in range(25)] + [(2, 100, "x", "OTHER")],
+def test_one_shape_for_any_number_of_documents(spark):
+    docs = spark.createDataFrame([(1, i, f"d{i}", "OTHER") for i in range(1500)] + [(2, 9000, "x", "OTHER")],
                                  "submission_id long, document_id long, original_filename string, document_type string")
     subs = spark.createDataFrame([(1, 7, 7), (2, 7, None), (3, 7, 7)], "submission_id long, created_by long, assigned_to long")
     users = spark.createDataFrame([(7, "Jo")], "user_id long, full_name string")
-    rows = R.nest_documents(subs, docs, users, rows_per_segment=10).collect()
-    one = sorted((r.segment, [d.document_id for d in r.documents]) for r in rows if r.submission_id == 1)
-    assert one == [(0, list(range(10))), (1, list(range(10, 20))), (2, list(range(20, 25)))]
-    assert len([r for r in rows if r.submission_id == 3]) == 1
+    rows = R.with_documents(subs, docs, users).collect()
+    assert sorted((r.ordinal, r.document_id) for r in rows if r.submission_id == 1) == [(i + 1, i) for i in range(1500)]
+    assert [(r.ordinal, r.document_id) for r in rows if r.submission_id == 3] == [(None, None)]
+    assert {r.assigned_name for r in rows} == {"Jo", None}
+
+
+def test_breakdown_keeps_every_factor(spark):
+    subs = spark.createDataFrame([(1,), (2,)], "submission_id long")
+    factors = spark.createDataFrame([(1, f"f{i:04d}", 1) for i in range(1200)], "submission_id long, name string, delta long")
+    rows = risk.score_breakdown(risk.risk_scores(subs, factors), factors).collect()
+    assert sorted((r.ordinal, r.name) for r in rows if r.submission_id == 1) == [(i + 1, f"f{i:04d}") for i in range(1200)]
+    assert [r.ordinal for r in rows if r.submission_id == 2] == [None] and '"final_score":100' in rows[0].score_breakdown + rows[-1].score_breakdown
 
 
 def test_thresholds_must_increase():

@@ -34,7 +34,6 @@ def test_read_delimited_keeps_text_and_short_rows(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b,c\n007,,x\n1,2\n")
     rows = [tuple(r) for r in S.read_delimited(spark, str(tmp_path)).collect()]
     assert rows == [("007", None, "x"), ("1", "2", None)]
-    assert S.read_delimited(spark, str(tmp_path), max_rows=1).count() == 1
 
 
 def test_landed_files(spark, tmp_path):
@@ -107,4 +106,19 @@ def test_csv_documents(spark):
     assert (got["b"].encoding, got["b"].delimiter, got["b"].raw) == ("latin-1", ";", [["h", "k"], ["café", "2"]])
     assert got["c"].raw == []
     cut = {r.path: r for r in S.csv_documents(df, max_rows=1).collect()}
-    assert cut["a"].truncated and len(cut["a"].raw) == 2 and not cut["b"].truncated
+    assert cut["a"].truncated and len(cut["a"].raw) == 3 and not cut["b"].truncated
+    assert [tuple(r) for r in S.csv_rejects(S.csv_documents(df)).collect()] == [("a", 4, ["2", "3", "4"])]
+
+
+def test_csv_header_names(spark):
+    df = spark.createDataFrame([("d", b"a,a,b\n1,2,3\n"), ("e", b"a,,b\n1,2,3\n"), ("f", b"a,a.1,a,a\n1,2,3,4\n")], "path string, content binary")
+    got = {r.path: (r.headers, r.rows) for r in I.to_table(S.csv_documents(df)).collect()}
+    assert got["d"] == (["a", "a.1", "b"], [["1", "2", "3"]])
+    assert got["e"] == (["a", "Unnamed: 1", "b"], [["1", "2", "3"]])
+    assert got["f"] == (["a", "a.1", "a.2", "a.3"], [["1", "2", "3", "4"]])
+
+
+def test_mime_rejection(spark):
+    rows = [(1, "a.pdf", "application/pdf"), (2, "b.pdf", "application/x-msdownload"), (3, "c.pdf", None)]
+    df = spark.createDataFrame([(i, 1, i, n, 10, m) for i, n, m in rows], "upload_id long, submission_id long, uploaded_at long, filename string, size_bytes long, mime_type string")
+    assert {r.upload_id: r.reject_reason for r in I.admit(df).collect()} == {1: None, 2: "type not allowed", 3: "type not allowed"}
