@@ -409,3 +409,6 @@ RISK_SOURCE = "DEMO RULE — NOT APPROVED POLICY"
 DECISIONS = ["APPROVED", "DECLINED", "REFERRED", "ADDITIONAL_INFO", "WITHDRAWN"]
 RECOMMENDATIONS = ["STANDARD_REVIEW", "SENIOR_REVIEW", "ADDITIONAL_INFO_REQUIRED",
                    "SPECIALIST_REVIEW", "INSUFFICIENT_EVIDENCE"]
+
+# Characters counted one by one where texts are compared by their letters.
+FREQUENT_CHARACTERS = " etaoinsrhldu"

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bindery.functions.text import col
 
@@ -46,9 +47,8 @@ def encode(df: DataFrame, text: str, make_encoder: Callable[[], Callable[[list[s
 
 
 # --- many queries against many vectors --------------------------------------
-BLOCK = "ids array<bigint>, matrix binary, dim int"
-PAIR = "query_id bigint, chunk_id bigint, score double"
 ROWS_AT_ONCE = 256                 # score matrices stay around 20 MB
+SLICES = 16                        # parts into which the chunk side of each query block is dealt
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,29 +59,29 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = batch.column(0), batch.column(1)
         flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float32")
         yield pa.RecordBatch.from_arrays(
-            [pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([flat.tobytes()], pa.binary()),
+            [pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([flat.tobytes()], pa.binary()),
              pa.array([len(flat) // batch.num_rows], pa.int32())], names=["ids", "matrix", "dim"])
 
 
-def _best(k: int, floor: float, digits: int):
+def _best(k: int, floor: float, digits: int, q_type: pa.DataType, c_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 queries = np.frombuffer(row["q_matrix"], dtype="float32").reshape(-1, row["q_dim"])
                 vectors = np.frombuffer(row["matrix"], dtype="float32").reshape(-1, row["dim"])
                 # ties go to the smaller id: sort the block by id, then cut a stable order at k
-                order = np.argsort(row["ids"], kind="stable")
-                ids, vectors = np.asarray(row["ids"])[order], vectors[order].astype("float64")
+                ids = np.empty(len(row["ids"]), object)
+                ids[:] = row["ids"]
+                order = np.argsort(np.asarray(row["ids"]), kind="stable")
+                ids, vectors = ids[order], vectors[order].astype("float64")
                 for at in range(0, len(queries), ROWS_AT_ONCE):
-                    q_ids = np.asarray(row["q_ids"][at:at + ROWS_AT_ONCE])
                     scores = np.round(queries[at:at + ROWS_AT_ONCE].astype("float64") @ vectors.T, digits)
                     ranked = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                     top = np.take_along_axis(scores, ranked, axis=1)
-                    keep = (top >= floor).ravel()
+                    q_at, c_at = np.nonzero(top >= floor)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(q_ids, ranked.shape[1])[keep], pa.int64()),
-                         pa.array(ids[ranked].ravel()[keep], pa.int64()),
-                         pa.array(top.ravel()[keep], pa.float64())], names=["query_id", "chunk_id", "score"])
+                        [pa.array([row["q_ids"][at + i] for i in q_at], q_type), pa.array(ids[ranked[q_at, c_at]].tolist(), c_type),
+                         pa.array(top[q_at, c_at], pa.float64())], names=["query_id", "chunk_id", "score"])
     return run
 
 
@@ -89,25 +89,31 @@ def block_top_k(queries: DataFrame, chunks: DataFrame, k: int, floor: float,
                 queries_per_block: int = 2048, digits: int = 7) -> DataFrame:
     """The k best (query_id, chunk_id, score) candidates per query and chunk block.
 
-    ``queries``: (query_id, vector); ``chunks``: (chunk_id, vector). Chunks are
+    ``queries``: (query_id, vector); ``chunks``: (chunk_id, vector), ids of any
+    type that has an order. Every query is scored against every chunk: chunks are
     packed batch by batch where they lie, queries into blocks of bounded size;
     every chunk block meets every query block as one row, and a matrix product
-    leaves k rows per query. Scores are rounded to float32 resolution so that
-    equal vectors tie. Spark broadcasts the query blocks if they are small
-    enough and shuffles chunk blocks to them otherwise.
+    leaves k rows per query. The chunk blocks of a query block are dealt into
+    ``SLICES`` keys, so the blocks shuffle over many tasks however few queries
+    there are. Scores are rounded to float32 resolution so that equal vectors tie.
     """
     count = queries.count()
     n_blocks = max(1, -(-count // queries_per_block))
-    q = queries.select(F.col(queries.columns[0]).cast("long").alias("id"), F.col(queries.columns[1]).alias("v"),
+    q = queries.select(F.col(queries.columns[0]).alias("id"), F.col(queries.columns[1]).alias("v"),
                        F.pmod(F.xxhash64(queries.columns[0]), F.lit(n_blocks)).cast("int").alias("block"))
     # about queries_per_block vectors each, whatever the number of queries
     packed_q = q.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(
         "block", F.col("rows.id").alias("q_ids"), F.col("rows.v").alias("vs"))
-    packed_q = packed_q.select("block", "q_ids", _matrix("vs").alias("q_matrix"), F.size(F.element_at("vs", 1)).alias("q_dim"))
-    c = chunks.select(F.col(chunks.columns[0]).cast("long").alias("id"), F.col(chunks.columns[1]).alias("v"))
-    packed_c = c.mapInArrow(_pack, BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = packed_c.join(packed_q, "block").select("ids", "matrix", "dim", "q_ids", "q_matrix", "q_dim")
-    return pairs.mapInArrow(_best(k, floor, digits), PAIR)
+    packed_q = packed_q.select("block", "q_ids", _matrix("vs").alias("q_matrix"), F.size(F.element_at("vs", 1)).alias("q_dim")) \
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    q_type, c_type = queries.schema[0].dataType, chunks.schema[0].dataType
+    packed = T.StructType([T.StructField("ids", T.ArrayType(c_type)), T.StructField("matrix", T.BinaryType()), T.StructField("dim", T.IntegerType())])
+    packed_c = chunks.select(F.col(chunks.columns[0]).alias("id"), F.col(chunks.columns[1]).alias("v")).mapInArrow(_pack, packed) \
+        .withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(SLICES)).cast("int")) \
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    pairs = packed_c.join(packed_q, ["block", "slice"]).select("ids", "matrix", "dim", "q_ids", "q_matrix", "q_dim")
+    found = T.StructType([T.StructField("query_id", q_type), T.StructField("chunk_id", c_type), T.StructField("score", T.DoubleType())])
+    return pairs.mapInArrow(_best(k, floor, digits, to_arrow_type(q_type), to_arrow_type(c_type)), found)
 
 
 @F.pandas_udf(T.BinaryType())

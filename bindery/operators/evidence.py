@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery import fixed
-from bindery.functions.barrier import compute_once
 from bindery.functions.similarity import ratio_at_least
 from bindery.functions.text import is_blank, strip
 
 LOCATED = ["document_id", "field_name", "source_text", "page_number", "section", "matched_text", "match_method", "confidence"]
 
 
-def page_arrays(pages: DataFrame) -> DataFrame:
-    """One row per document with its pages in order (what a parsed document is)."""
-    return pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("pages"))
-
-
 def find_heading(text: Column, citation: Column) -> Column:
     """Nearest heading above the citation on its page.
 
@@ -44,63 +38,77 @@ def find_heading(text: Column, citation: Column) -> Column:
     return F.when(at > 0, F.aggregate(lines, start, step).found)
 
 
-def _first_page(found: Column) -> Column:
-    return F.get(F.filter("pages", lambda p: found(p)), F.lit(0))
+def _keyed(citations: DataFrame) -> DataFrame:
+    """Citations with _cite, a short key of their text, and _citation, the text to look for (null if blank)."""
+    return citations.withColumns({"_cite": F.md5(F.coalesce("source_text", F.lit(""))),
+                                  "_citation": F.when(~is_blank("source_text"), strip("source_text"))})
 
 
-def with_pages(citations: DataFrame, pages: DataFrame) -> DataFrame:
-    """Citations beside their document's pages; a citation without text finds nothing."""
-    return compute_once(citations, _citation=F.when(~is_blank("source_text"), strip("source_text"))) \
-        .join(page_arrays(pages), "document_id", "left")
+KEY = ["document_id", "_cite"]
 
 
-def _locate(joined: DataFrame) -> DataFrame:
-    """Exact match first, then ignoring case: the first page that contains the citation."""
-    exact = _first_page(lambda p: F.contains(p.text, F.col("_citation")))
-    folded = F.lower(F.col("_citation"))
-    loose = _first_page(lambda p: F.contains(F.lower(p.text), folded))
-    staged = compute_once(joined, _exact=exact)
-    return compute_once(staged, _hit=F.coalesce("_exact", F.when(F.col("_exact").isNull(), loose)))
+def _locate(keyed: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, _cite, page_number, exact): the first page with the text as it is, else the first ignoring case.
 
+    Every citation meets the pages of its document as rows, once however often it is quoted.
+    """
+    wanted = keyed.filter("_citation is not null").select(*KEY, "_citation").distinct()
+    met = wanted.join(pages.select("document_id", "page_number", "text"), "document_id")
+    loose = met.filter(F.contains(F.lower("text"), F.lower("_citation")) | F.contains("text", F.col("_citation")))
+    hits = loose.select(*KEY, "page_number", F.contains("text", F.col("_citation")).alias("exact"))
+    return hits.groupBy(*KEY).agg(F.min(F.struct((~F.col("exact")).alias("loose"), "page_number")).alias("h")).select(
+        *KEY, "h.page_number", (~F.col("h.loose")).alias("exact"))
 
-def _result(df: DataFrame, page: Column, matched: Column, method: Column, confidence: Column) -> DataFrame:
-    return df.select("document_id", "field_name", "source_text", page.page_number.alias("page_number"),
-                     find_heading(page.text, matched).alias("section"), matched.alias("matched_text"),
-                     method.alias("match_method"), confidence.alias("confidence"))
 
+def _placed(found: DataFrame, pages: DataFrame, columns: list[str]) -> DataFrame:
+    """``found`` (with page_number and matched_text) and the section on the one page that was found."""
+    page = pages.select("document_id", "page_number", F.col("text").alias("_text"))
+    return found.join(page, ["document_id", "page_number"], "left").withColumn(
+        "section", find_heading(F.col("_text"), F.col("matched_text"))).select(*columns)
 
 
 def locate_verbatim(citations: DataFrame, pages: DataFrame) -> DataFrame:
     """Citations found exactly or, failing that, ignoring case."""
-    found = _locate(with_pages(citations, pages)).filter("_hit is not null")
-    exact = F.col("_exact").isNotNull()
-    return _result(found, F.col("_hit"), F.col("_citation"), F.when(exact, "exact").otherwise("case_insensitive"),
-                   F.when(exact, 1.0).otherwise(0.9))
+    keyed = _keyed(citations)
+    found = keyed.join(_locate(keyed, pages), KEY).select(
+        "document_id", "field_name", "source_text", "page_number", F.col("_citation").alias("matched_text"),
+        F.when(F.col("exact"), "exact").otherwise("case_insensitive").alias("match_method"), F.when(F.col("exact"), 1.0).otherwise(0.9).alias("confidence"))
+    return _placed(found, pages, LOCATED)
+
 
+def _letters_in_common(a: Column, b: Column) -> Column:
+    """No sequence of matching characters is longer than this: frequent characters one by one, all others together."""
+    def count(text: Column, letter: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
 
-ID = ["document_id", "field_name", "source_text"]
+    pairs = [(count(a, c), count(b, c)) for c in fixed.FREQUENT_CHARACTERS]
+    rest = F.least(F.length(a) - sum((x for x, _ in pairs), F.lit(0)), F.length(b) - sum((y for _, y in pairs), F.lit(0)))
+    return sum((F.least(x, y) for x, y in pairs), rest)
 
 
-def fuzzy_matches(open_citations: DataFrame) -> DataFrame:
-    """(id columns, best): the window of at least 0.75 similarity, the first one on ties.
+def fuzzy_matches(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, _cite, page_number, window, ratio): the window of at least 0.75 similarity, the first one on ties.
 
-    Windows of max(length, 300) characters every quarter window. The length
-    bound 2·min/(sum) discards windows that cannot reach the ratio before any
-    text reaches Python.
+    ``wanted``: document_id, _cite, _citation. Windows of max(length, 300)
+    characters every quarter window are cut inside the page's row, so only
+    windows cross the explode. Bounds on length and on common letters discard
+    most of them before any text reaches Python.
     """
     size = F.greatest(F.length("_citation"), F.lit(fixed.FUZZY_WINDOW))
     step = F.greatest(F.lit(1), F.floor(size / 4).cast("int"))
-    searchable = open_citations.filter(F.length("_citation") >= fixed.FUZZY_MIN_CITATION).select(
-        *ID, "_citation", F.explode("pages").alias("page")).filter(F.length("page.text") > 0)
-    last = F.greatest(F.length("page.text") - size, F.lit(0))
-    windows = searchable.select(*ID, "_citation", "page", size.alias("_size"), F.explode(F.sequence(F.lit(0), last, step)).alias("start"))
-    a = F.length("_citation")
-    b = F.least(F.col("_size"), F.length("page.text") - F.col("start"))
-    near = windows.filter(2 * F.least(a, b) / (a + b) >= fixed.FUZZY_MIN_RATIO).select(
-        *ID, "_citation", "page.page_number", "start", F.substring("page.text", F.col("start") + 1, F.col("_size")).alias("window"))
+    met = wanted.filter(F.length("_citation") >= fixed.FUZZY_MIN_CITATION).join(
+        pages.filter(F.length("text") > 0).select("document_id", "page_number", "text"), "document_id")
+    last = F.greatest(F.length("text") - size, F.lit(0))
+    windows = F.transform(F.sequence(F.lit(0), last, step), lambda i: F.struct(
+        i.alias("start"), F.substring(F.col("text"), i + 1, size).alias("window")))
+    cut = met.select(*KEY, "_citation", "page_number", F.explode(windows).alias("w")).select(*KEY, "_citation", "page_number", "w.*")
+    a, b = F.col("_citation"), F.col("window")
+    total = F.length(a) + F.length(b)
+    near = cut.filter(2 * F.least(F.length(a), F.length(b)) / total >= fixed.FUZZY_MIN_RATIO)
+    near = near.filter(2 * _letters_in_common(a, b) / total >= fixed.FUZZY_MIN_RATIO)
     scored = near.withColumn("ratio", ratio_at_least(fixed.FUZZY_MIN_RATIO)("_citation", "window")).filter("ratio is not null")
-    return scored.groupBy(*ID).agg(F.max_by(F.struct("page_number", "window", "ratio"), F.struct(
-        "ratio", (-F.col("page_number")).alias("p"), (-F.col("start")).alias("s"))).alias("best"))
+    return scored.groupBy(*KEY).agg(F.max_by(F.struct("page_number", "window", "ratio"), F.struct(
+        "ratio", (-F.col("page_number")).alias("p"), (-F.col("start")).alias("s"))).alias("best")).select(*KEY, "best.*")
 
 
 def map_citations(citations: DataFrame, pages: DataFrame) -> DataFrame:
@@ -108,13 +116,15 @@ def map_citations(citations: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``match_method``: exact, case_insensitive, fuzzy or not_found.
     """
-    looked = _locate(with_pages(citations.filter("source_text <> ''"), pages))
-    joined = looked.join(fuzzy_matches(looked.filter("_hit is null")), ID, "left")
-    fuzzy_page = F.get(F.filter("pages", lambda p: p.page_number == F.col("best.page_number")), F.lit(0))
-    placed = compute_once(joined, _page=F.coalesce("_hit", fuzzy_page),
-                          _matched=F.when(F.col("_hit").isNotNull(), F.col("_citation")).otherwise(F.col("best.window")))
-    method = (F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_hit").isNotNull(), "case_insensitive")
-              .when(F.col("best").isNotNull(), "fuzzy").otherwise("not_found"))
-    confidence = (F.when(F.col("_exact").isNotNull(), 1.0).when(F.col("_hit").isNotNull(), 0.9)
-                  .otherwise(F.coalesce(F.round("best.ratio", 3), F.lit(0.0))))
-    return _result(placed, F.col("_page"), F.col("_matched"), method, confidence).select(*LOCATED)
+    keyed = _keyed(citations.filter("source_text <> ''"))
+    found = _locate(keyed, pages)
+    still = keyed.filter("_citation is not null").select(*KEY, "_citation").distinct().join(found, KEY, "left_anti")
+    fuzzy = fuzzy_matches(still, pages).withColumnRenamed("page_number", "_fuzzy_page")
+    looked = keyed.join(found, KEY, "left").join(fuzzy, KEY, "left")
+    hit, near = F.col("page_number").isNotNull(), F.col("_fuzzy_page").isNotNull()
+    placed = looked.select(
+        "document_id", "field_name", "source_text", F.coalesce("page_number", "_fuzzy_page").alias("page_number"),
+        F.when(hit, F.col("_citation")).otherwise(F.col("window")).alias("matched_text"),
+        F.when(F.col("exact"), "exact").when(hit, "case_insensitive").when(near, "fuzzy").otherwise("not_found").alias("match_method"),
+        F.when(F.col("exact"), 1.0).when(hit, 0.9).otherwise(F.coalesce(F.round("ratio", 3), F.lit(0.0))).alias("confidence"))
+    return _placed(placed, pages, LOCATED)

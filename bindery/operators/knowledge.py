@@ -60,6 +60,7 @@ def chunk_texts(documents: DataFrame, text: str = "text", size: int = fixed.CHUN
 
     A last window below ``least`` words is appended to the window before it; a
     whole text below ``least`` words is one chunk, trimmed. Blank texts yield none.
+    The columns of ``documents`` other than the text come along.
     """
     stride = size - overlap
     words = F.split(strip(text), f"(?U){SPACE}+")
@@ -68,20 +69,23 @@ def chunk_texts(documents: DataFrame, text: str = "text", size: int = fixed.CHUN
     opened = F.ceil(n / stride).cast("int")
     tail = n - (opened - 1) * stride
     merges = (tail < least) & (opened > 1)
-    short = n < least
     kept = documents.filter(~is_blank(text)).withColumn("_words", words)
     staged = kept.withColumns({"_n": n, "_windows": F.when(merges, opened - 1).otherwise(opened), "_merges": merges})
-    rows = staged.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("_windows") - 1)))
-    start = F.col("chunk_index") * stride
-    joined = F.array_join(F.slice("_words", start + 1, F.lit(size)), " ")
-    extra = F.array_join(F.slice("_words", F.col("_windows") * stride + 1, F.lit(size)), " ")
-    is_last = F.col("chunk_index") == F.col("_windows") - 1
-    chunk = F.when(short, strip(text)).when(F.col("_merges") & is_last, F.concat_ws(" ", joined, extra)).otherwise(joined)
-    section = F.when(short, section_of(text)).otherwise(section_of(joined))
-    return rows.select(
-        *documents.columns, "chunk_index", chunk.alias("chunk_text"),
-        F.when(~short, start).alias("word_start"),
-        F.when(~short, F.least(start + size, F.col("_n"))).alias("word_end"), section.alias("section"))
+
+    def window(i: Column) -> Column:
+        """A chunk is cut inside the array: neither text nor words cross the explode."""
+        start = i * stride
+        joined = F.array_join(F.slice("_words", start + 1, F.lit(size)), " ")
+        extra = F.array_join(F.slice("_words", F.col("_windows") * stride + 1, F.lit(size)), " ")
+        whole = F.when(F.col("_merges") & (i == F.col("_windows") - 1), F.concat_ws(" ", joined, extra)).otherwise(joined)
+        return F.struct(i.alias("chunk_index"), F.when(short, strip(text)).otherwise(whole).alias("chunk_text"),
+                        F.when(~short, start).alias("word_start"), F.when(~short, F.least(start + size, F.col("_n"))).alias("word_end"),
+                        F.when(short, strip(text)).otherwise(joined).alias("_head"))
+
+    short = F.col("_n") < least
+    columns = [c for c in documents.columns if c != text]
+    rows = staged.select(*columns, F.explode(F.transform(F.sequence(F.lit(0), F.col("_windows") - 1), window)).alias("_c"))
+    return rows.select(*columns, "_c.chunk_index", "_c.chunk_text", "_c.word_start", "_c.word_end", section_of(F.col("_c._head")).alias("section"))
 
 
 def with_metadata(chunks: DataFrame, model: str) -> DataFrame:

@@ -197,10 +197,11 @@ def conflict_groups(per_text: DataFrame) -> DataFrame:
     return groups.filter("n >= 2").withColumn("kind", F.get(names, F.col("_kind"))).drop("_kind")
 
 
+# Rows without a document carry a null text: it takes the type of the ids they are united with, UUIDs included.
 def _conflict(df: DataFrame, title: Column, description: Column, action: Column) -> DataFrame:
     return df.select("submission_id", F.lit("CONFLICT").alias("issue_type"), F.lit("ERROR").alias("severity"), "field_name",
                      title.alias("title"), description.alias("description"), action.alias("suggested_action"),
-                     F.lit(None).cast("long").alias("document_id"))
+                     F.lit(None).cast("string").alias("document_id"))
 
 
 def _titled(prefix: str) -> Column:
@@ -283,7 +284,7 @@ def missing_everywhere(submissions: DataFrame, facts: DataFrame) -> DataFrame:
         F.concat(F.lit("'"), label, F.lit("' was not found in any document in this submission. "
                                           "This field is required for underwriting.")).alias("description"),
         F.concat(F.lit("Request the "), label, F.lit(" from the broker.")).alias("suggested_action"),
-        F.lit(None).cast("long").alias("document_id"))
+        F.lit(None).cast("string").alias("document_id"))
 
 
 def missing_in_documents(facts: DataFrame) -> DataFrame:
@@ -337,7 +338,7 @@ def missing_forms(lines: DataFrame, types: DataFrame) -> DataFrame:
         F.concat(F.lit("Coverage '"), "line", F.lit("' was requested but the corresponding form ("), "_form",
                  F.lit(") was not found in the submission.")).alias("description"),
         F.concat(F.lit("Request the "), title_case("_form"), F.lit(" form from the broker.")).alias("suggested_action"),
-        F.lit(None).cast("long").alias("document_id"))
+        F.lit(None).cast("string").alias("document_id"))
 
 
 SUBMISSION_RULES = [
@@ -362,7 +363,7 @@ def submission_rule_violations(submissions: DataFrame, types: DataFrame) -> Data
     found = F.array_compact(F.array(*[F.when(b, t) for b, t in zip(broken, texts)]))
     return has.select("submission_id", F.explode(found).alias("r")).select(
         "submission_id", F.lit("MISSING").alias("issue_type"), F.lit("WARNING").alias("severity"),
-        F.lit(None).cast("string").alias("field_name"), "r.*", F.lit(None).cast("long").alias("document_id"))
+        F.lit(None).cast("string").alias("field_name"), "r.*", F.lit(None).cast("string").alias("document_id"))
 
 
 # --- issues -----------------------------------------------------------------

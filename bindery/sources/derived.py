@@ -255,16 +255,7 @@ class Tables:
         return self.spark.sql(SQL[name])
 
     def _scan(self, name: str) -> DataFrame:
-        """A table; long texts in fewer splits than cores are spread once.
-
-        A small file has one row group, hence one task for all the regular
-        expressions. Tables with enough splits are never shuffled here.
-        """
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name == "documents" and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores, "doc_id")
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
 def fields_one_pass(t: Tables) -> DataFrame:

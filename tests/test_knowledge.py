@@ -51,6 +51,25 @@ def test_block_top_k_many_blocks(spark):
     assert got == sorted(want)
 
 
+def test_more_query_blocks_than_partitions(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(60, 4))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"id-{i:03d}", v.tolist()) for i, v in enumerate(vectors)], "chunk_id string, embedding array<double>").repartition(3)
+    got = block_top_k(df, df, 1, -1.0, queries_per_block=3)
+    best = {}
+    for r in got.collect():
+        best[r.query_id] = max(best.get(r.query_id, (-2, "")), (r.score, r.chunk_id))
+    assert {q: c for q, (_, c) in best.items()} == {f"id-{i:03d}": f"id-{i:03d}" for i in range(60)}
+
+
+def test_chunks_do_not_carry_the_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 900)], "document_id long, text string")
+    plan = K.chunk_texts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Generate")]
+    assert "_words" not in above and "text#" not in above.replace("chunk_text#", "")
+
+
 def test_encoder_yields_unit_vectors(spark):
     def make():
         return lambda texts: np.array([[len(t), 1.0, 0.0] for t in texts])

@@ -5,6 +5,7 @@ import itertools
 import re
 
 from bindery.operators import validate as V
+from bindery.plans import validation
 
 NAMES = ["Acme Roofing, Inc.", "ACME ROOFING INC", "Acme Roofing", "Borealis Foods", "", "Zeta & Sons", "zeta sons", "Acme Rofing Inc"]
 
@@ -57,3 +58,9 @@ def test_string_document_ids(spark):
     docs = fields.selectExpr("document_id", "submission_id", "'ACORD_AUTO' as document_type", "true as is_current_version")
     groups = V.conflict_groups(V.conflict_texts(V.conflict_candidates(V.assemble(fields, docs)))).collect()
     assert [g.kind for g in groups] == ["number"]
+    subs = spark.createDataFrame([(1,), (2,)], "submission_id long")
+    wrong = spark.createDataFrame([(1, "a", 2, "contact_email", '{"value": "none"}', 1.0)], fields.schema)
+    result = validation.run(fields.union(wrong), docs.dropDuplicates(["document_id"]), subs)
+    ids = {r.document_id for r in result.violations.collect()}
+    assert None in ids and ids <= {None, "a", "b", "c"} and len(ids) > 1
+    assert {r.submission_id: r.conflict_count for r in result.report.collect()} == {1: 1, 2: 0}
