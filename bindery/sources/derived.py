@@ -231,7 +231,9 @@ def duck_ctes(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "with " + ",\n".join(f"{n} as ({DUCK.get(n, SQL[n])})" for n in ordered)
+    # the widest view is read by several branches of most queries: once is enough
+    once = {"v_fields": "materialized "}
+    return "with " + ",\n".join(f"{n} as {once.get(n, '')}({DUCK.get(n, SQL[n])})" for n in ordered)
 
 
 class Tables:

@@ -60,11 +60,14 @@ def hashing_encoder():
     return run
 
 
-@query("h04_embed_chunks")
+@query("h04_embed_chunks", "v_knowledge_documents", [WORDS, CHUNKS], r"""
+select document_id, chunk_index, dimension, cast(cast(n / sqrt(sum(n * n) over (partition by document_id, chunk_index)) as float) as double) as value from (
+  select document_id, chunk_index, cast('0x' || left(md5(word), 2) as int) % 32 as dimension, count(*) as n
+  from (select document_id, chunk_index, unnest(regexp_extract_all(chunk_text, '\S+')) as word from chunked) group by all)""")
 def _(t):
     vectors = encode(chunked(t).select("document_id", "chunk_index", "chunk_text"), "chunk_text", hashing_encoder)
-    return vectors.select("document_id", "chunk_index", F.size("embedding").alias("dimensions"),
-                          F.round(K.dot("embedding", "embedding"), 4).alias("squared_norm"))
+    return vectors.select("document_id", "chunk_index", F.posexplode("embedding").alias("dimension", "value")).filter("value != 0") \
+        .withColumn("value", F.col("value").cast("double"))
 
 
 @query("h05_build_index", "v_knowledge_documents v_knowledge_chunks", sql="""
@@ -106,6 +109,17 @@ def _(t):
     return hits(t).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "similarity")
 
 
+@query("h07_string_ids", "v_knowledge_documents v_knowledge_chunks v_queries", [ELIGIBLE, SCORED],
+       "select 'q' || lpad(cast(query_id as varchar), 12, '0') as query_id, rank, 'c' || lpad(cast(chunk_id as varchar), 12, '0') as chunk_id, similarity from hits")
+def _(t):
+    def text(c, letter):
+        return F.concat(F.lit(letter), F.lpad(F.col(c).cast("string"), 12, "0")).alias(c)
+
+    chunks = index(t).withColumn("chunk_id", text("chunk_id", "c"))
+    found = K.search_batch(chunks, t.v_queries.select(text("query_id", "q"), "query_embedding"))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "similarity")
+
+
 @query("h08_assemble_context", "v_knowledge_documents v_knowledge_chunks v_queries", [ELIGIBLE, SCORED], """
 select query_id, coalesce(context, '') as context from v_queries left join (select query_id,
    string_agg('[' || cast(rank as varchar) || '] ' || title || ' ' || version || ' — ' || coalesce(section, 'Section Unknown') || chr(10) || chunk_text, chr(10) || chr(10) order by rank) as context

@@ -313,6 +313,13 @@ def _(t):
     return validation(t, compare_texts=False).report
 
 
+@query("g23_string_ids", MISSING_VIEWS, ALL, "select * from report")
+def _(t):
+    def text(df):
+        return df.withColumn("document_id", F.format_string("%012d-id", "document_id"))
+    return P.run(text(t.v_fields), text(R.assign_versions(t.v_documents)), t.v_submissions, AS_OF, compare_texts=False).report
+
+
 @query("g23_report_counts_with_texts")
 def _(t):
     return validation(t).report
