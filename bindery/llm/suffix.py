@@ -223,20 +223,27 @@ def repeated_windows(group: np.ndarray, contexts: list[bytes], anchor: np.ndarra
 
 # ---- jobs
 
-ROWS = "gram long, whole long, doc long, twin long, first long, span int, anchor int"
+ROWS = "gram long, whole long, doc long, twin long, first long, span int, anchor int, again boolean"
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of runs. A run that a place before it in the same batch equals is settled here, and dealt by its place."""
     for batch in batches:
-        for at in range(0, len(batch), 500):
-            part, out = batch.iloc[at:at + 500], []
+        for at in range(0, len(batch), 2000):
+            part, out = batch.iloc[at:at + 2000], []
             for doc, twin, text in zip(part["doc"], part["twin"], part["text"]):
                 gram, whole, first, last, anchor = runs(text.encode("utf-8", "surrogatepass"))
                 if len(gram):
-                    out.append(pd.DataFrame({"gram": gram.view(np.int64), "whole": whole.view(np.int64), "doc": doc, "twin": twin, "first": first,
-                                             "span": (last - first).astype(np.int32), "anchor": (anchor - first).astype(np.int32)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    out.append(np.array([gram.view(np.int64), whole.view(np.int64), np.full(len(gram), doc), np.full(len(gram), twin), first, last - first, anchor - first]))
+            if not out:
+                continue
+            rows = np.concatenate(out, axis=1)
+            rows = rows[:, np.lexsort(rows[4::-1])]
+            rows = rows[:, np.r_[True, (rows[:5, 1:] != rows[:5, :-1]).any(axis=0)]]  # repeated rows once
+            again = np.r_[False, (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)]
+            rows[0, again] = mix(mix(rows[2, again].view(np.uint64)) ^ rows[4, again].view(np.uint64)).view(np.int64)
+            found = pd.DataFrame(rows.T, columns=["gram", "whole", "doc", "twin", "first", "span", "anchor"])
+            yield found.astype({"span": np.int32, "anchor": np.int32}).assign(again=again)
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,11 +251,16 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     Only the last row, and the first of its gram, are kept from batch to batch.
     """
+    names_of = ["gram", "whole", "doc", "twin", "first"]
     previous = opening = None  # its (gram, whole, place); the first row of the gram as long as no other run of it was seen
     for batch in batches:
+        done = batch["again"].to_numpy()
+        if done.any():
+            yield batch[done].drop(columns="whole")
+            batch = batch[~done]
         if batch.empty:
             continue
-        names = batch[["gram", "whole", "doc", "twin", "first"]].to_numpy()
+        names = batch[names_of].to_numpy()
         repeat = np.r_[previous is not None and (names[0] == previous).all(), (names[1:] == names[:-1]).all(axis=1)]  # of a repeated row
         batch, names = batch[~repeat], names[~repeat]
         if batch.empty:
@@ -345,7 +357,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = rows.filter(F.octet_length("text") >= LENGTH).join(broadcast_if_small(later), ["doc", "twin"], "left_anti").select("doc", "twin", "text")
 
     found = firsts.mapInPandas(_runs, ROWS).repartition("gram").sortWithinPartitions("gram", "whole", "doc", "twin", "first")
-    settled = written(found.mapInPandas(_settle, ROWS.replace("whole long, ", "") + ", again boolean"), "runs")
+    settled = written(found.mapInPandas(_settle, ROWS.replace("whole long, ", "")), "runs")
     again = settled.filter("again").select("doc", "twin", F.col("first").alias("start"), (F.col("span") + LENGTH).cast("long").alias("length"))
 
     # grams whose runs differ: the bytes around the anchor
