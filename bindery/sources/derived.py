@@ -72,10 +72,23 @@ union all select submission_id, document_id, 9, 'total_paid', confidence, '{"val
 union all select submission_id, document_id, 10, 'lines_requested', confidence, case when k % 3 = 0 then '{"value": ["GL", "Property", "umbrella"]}' else '{"value": "Workers Comp"}' end from d where document_type = 'ACORD_APPLICATION'
 """)
 
-_view("v_citations", "", """
+_view("v_pages", "", """
+select doc_id as document_id, n as page_number, substring(text, (n - 1) * 1500 + 1, 1500) as text
+from (select doc_id, text, explode(sequence(1, cast(greatest(1, ceil(length(text) / 1500)) as int))) as n from documents)
+where length(text) > 0
+""", """
+select doc_id as document_id, n as page_number, substring(text, (n - 1) * 1500 + 1, 1500) as text
+from (select doc_id, text, unnest(generate_series(1, cast(greatest(1, ceil(length(text) / 1500.0)) as int))) as n from documents)
+where length(text) > 0
+""")
+
+# Quotes near the start of each longer text as it is, in another case or absent; one from every page; short texts whole.
+_view("v_citations", "v_pages", """
 select doc_id as document_id, 'field_' || cast(doc_id % 5 as string) as field_name,
   case doc_id % 3 when 0 then substring(text, 21, 40) when 1 then case lang when 'de' then lower(substring(text, 21, 40)) else upper(substring(text, 21, 40)) end else 'passage that is nowhere in the corpus' end as source_text
 from documents where length(text) > 80
+union all select document_id, 'page_' || cast(page_number as string), case page_number % 2 when 0 then lower(substring(text, 5, 40)) else substring(text, 5, 40) end from v_pages where length(text) > 60
+union all select doc_id, 'whole', text from documents where length(text) between 1 and 80
 """)
 
 _view("v_insurance_text", "", """
@@ -101,16 +114,6 @@ from documents
 """)
 
 # Whole texts: as many 1 500-character pages as a text needs.
-_view("v_pages", "", """
-select doc_id as document_id, n as page_number, substring(text, (n - 1) * 1500 + 1, 1500) as text
-from (select doc_id, text, explode(sequence(1, cast(greatest(1, ceil(length(text) / 1500)) as int))) as n from documents)
-where length(text) > 0
-""", """
-select doc_id as document_id, n as page_number, substring(text, (n - 1) * 1500 + 1, 1500) as text
-from (select doc_id, text, unnest(generate_series(1, cast(greatest(1, ceil(length(text) / 1500.0)) as int))) as n from documents)
-where length(text) > 0
-""")
-
 # Every word of every text as an OCR word; two pages of alternating words.
 _view("v_ocr_words", "", """
 select doc_id as document_id, 1 + n % 2 as page_number, n as word_seq, case when n % 5 = 0 then 3 else 5 end as level,
