@@ -39,7 +39,7 @@ SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530,
 _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
 _CODES = np.array([_NAMES.index(n) for _, n in SCRIPTS])
-_WORD = regex.compile(r"\p{L}+")
+_WORD = regex.compile(r"\p{L}{1,64}")
 
 
 def script(word: str) -> int:
@@ -182,7 +182,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, carry: bool = False) -> DataFrame:
     """Per row: id, lang_pred, score; with ``spans`` also the spans (lang, first word, words, letters); with ``carry`` all columns first.
 
-    Words are runs of letters of the whole text. ``und`` and a score of 0 stand
+    Words are runs of letters of the whole text (longer runs in pieces of 64). ``und`` and a score of 0 stand
     for a text that is null or has no letter, or a model without languages. Ties
     go to the first language in alphabetical order. Null ids stay null; repeated
     rows get the same answer. Only id and text are read unless ``carry`` is set.

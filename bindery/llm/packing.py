@@ -42,12 +42,13 @@ def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
         _CACHE.clear()
     words = [(t or "").replace("\n", " ").split(" ") for t in texts]
     new = list({w for ws in words for w in ws if w not in _CACHE})
+    long_: dict[str, np.ndarray] = {}  # not worth remembering
     for at in range(0, len(new), 20_000):
         part = new[at:at + 20_000]
         for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
-            _CACHE[w] = np.array(e.ids, np.uint32)
+            (_CACHE if len(w) <= 64 else long_)[w] = np.array(e.ids, np.uint32)
     empty = np.empty(0, np.uint32)
-    return [np.concatenate([_CACHE[w] for w in ws] or [empty]) for ws in words]
+    return [np.concatenate([_CACHE[w] if len(w) <= 64 else long_[w] for w in ws] or [empty]) for ws in words]
 
 
 class _Packer:

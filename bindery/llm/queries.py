@@ -62,9 +62,20 @@ QUERIES = {f.__name__: f for f in (
     op7_html_extraction, op8_chat_formatting, op9_quality_rules, op10_language_id)}
 
 ORACLES = {
+    "op1_minhash_near_dedup": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') as ws from documents),
+        s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as shingle
+              from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        common as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id != b.doc_id group by all),
+        links as (select x, y from common join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+        reached as (select doc_id, doc_id as other from w union select links.y, reached.other from reached join links on links.x = reached.doc_id)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+        from (select doc_id, min(other) as component_id from reached group by doc_id) left join n using (doc_id)""",
     "op3_exact_top_k": """
-        with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e from embeddings
-                   where embedding is not null and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))),
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+                   where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
         s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
               from v q join v c on q.vec_id % 100 = 0 and c.vec_id != q.vec_id)
         select query_id, rank::int as rank, vec_id, score
