@@ -55,7 +55,6 @@ PREVIEW_ROWS = 100
 SCANNED_CHARS_PER_PAGE = 50
 OCR_LOW_CONFIDENCE = 60.0
 OCR_MARKER = "\n\n[OCR TEXT]\n"
-FAILURE_REASON_CHARS = 2000
 
 # --- classification rules ---------------------------------------------------
 # One row per type, in rule order: (type, required, bonus, negative, extensions).
@@ -396,7 +395,6 @@ EXPERIENCE_MOD_RANGE = (0.5, 3.0)
 COINSURANCE_RANGE = (50.0, 100.0)
 STALE_DAYS = 90
 REVENUE_PER_EMPLOYEE_RANGE = (5_000.0, 50_000_000.0)
-TITLE_CHARS, DESCRIPTION_CHARS, ACTION_CHARS = 255, 4000, 2000
 
 # --- knowledge base ---------------------------------------------------------
 CHUNK_WORDS, CHUNK_OVERLAP, CHUNK_MIN_WORDS = 400, 40, 20

@@ -98,6 +98,11 @@ def first_match_sql(text: str, lowered: str, patterns: list[str]) -> str:
     return "case " + " ".join(f"when {matches_sql(lowered, p, text)} then {i}" for i, p in enumerate(patterns, 1)) + " end"
 
 
+def limited(c: Column | str, chars: int | None) -> Column:
+    """At most ``chars`` characters, for stores with fixed column widths; None keeps all."""
+    return col(c) if chars is None else F.substring(col(c), 1, chars)
+
+
 def preview(c: Column | str, size: int) -> Column:
     c = col(c)
     return F.when(F.length(c) > size, F.concat(F.substring(c, 1, size), F.lit("..."))).otherwise(c)

@@ -169,7 +169,7 @@ def normalise_responses(responses: DataFrame, raw: str = "raw_response", model:
         F.when(valid, F.when(stated.isin(known), stated).otherwise("OTHER")).alias("so_type"),
         F.when(valid, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(
             given, F.lit(fixed.SECOND_OPINION_CONFIDENCE))))).alias("so_confidence"),
-        F.when(valid, F.concat(F.lit("[LLM: "), used, F.lit("] "), F.substring(reason, 1, 500))).alias("so_reason"),
+        F.when(valid, F.concat(F.lit("[LLM: "), used, F.lit("] "), reason)).alias("so_reason"),
         F.when(valid & alternative.isin(known), alternative).alias("so_alternative"),
         F.when(valid, used).alias("so_model"))
 
@@ -202,7 +202,7 @@ def merge_opinions(decided: DataFrame, normalised: DataFrame, key: str = "docume
         F.when(answered & second_wins, F.col("_type")).otherwise(F.col("document_type")).alias("document_type"),
         F.when(answered, F.round(F.when(agree, F.least(merged + fixed.AGREEMENT_BONUS, F.lit(1.0))).otherwise(merged), 3))
          .otherwise(F.col("confidence")).alias("confidence"),
-        F.when(answered, F.substring(said, 1, 1000)).when(asked, F.concat("reason", failure))
+        F.when(answered, said).when(asked, F.concat("reason", failure))
          .otherwise(F.col("reason")).alias("reason"),
         F.when(answered & second_wins, F.coalesce("_alt", "rules_alternative"))
          .when(answered, F.coalesce("rules_alternative", "_alt")).otherwise(F.col("rules_alternative"))

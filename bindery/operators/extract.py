@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bindery import fixed
 from bindery.functions.barrier import compute_once
 from bindery.functions.jsontext import is_object, strip_fences
-from bindery.functions.text import title_case
+from bindery.functions.text import limited, title_case
 from bindery.functions.values import unwrap
 from bindery.operators import catalogue, guardrails
 
@@ -62,7 +62,7 @@ def extraction_requests(documents: DataFrame, fields: DataFrame, max_tokens: int
                   field_list=F.coalesce("field_list", F.lit("Extract all relevant insurance information.")),
                   document_text=F.col(text))
     built = compute_once(joined, prompt=prompt).select(
-        "document_id", "document_type", "prompt", F.substring("prompt", 1, 2000).alias("prompt_used"))
+        "document_id", "document_type", "prompt", F.col("prompt").alias("prompt_used"))
     return guardrails.sanitise_input(built, max_tokens, "prompt").select(
         "document_id", "document_type", "prompt", "prompt_used", "injection_pattern", "pii_redactions", "was_truncated")
 
@@ -129,9 +129,9 @@ def field_rows(responses: DataFrame, raw: str = "raw_response") -> DataFrame:
     return raw_rows.unionByName(keys)
 
 
-def output_evidence(responses: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Evidence row of each response: the first 500 characters of its prompt, no page."""
-    used = prompts.select("document_id", F.substring("prompt_used", 1, 500).alias("source_text"))
+def output_evidence(responses: DataFrame, prompts: DataFrame, prompt_chars: int | None = None) -> DataFrame:
+    """Evidence row of each response: its prompt, no page."""
+    used = prompts.select("document_id", limited("prompt_used", prompt_chars).alias("source_text"))
     return responses.select("submission_id", "document_id").join(used, "document_id", "left").select(
         "submission_id", "document_id", F.lit(fixed.RAW_OUTPUT_FIELD).alias("field_name"), F.lit(None).cast("int").alias("page_number"),
         F.lit(None).cast("string").alias("section"), "source_text", F.lit(True).alias("is_active"))
@@ -151,13 +151,13 @@ def retire_evidence(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return old.unionByName(fresh, allowMissingColumns=True)
 
 
-def fill_applicant(submissions: DataFrame, fields: DataFrame) -> DataFrame:
+def fill_applicant(submissions: DataFrame, fields: DataFrame, name_chars: int | None = None) -> DataFrame:
     """A missing applicant_name is filled from the first document naming one, by key priority."""
     priority = F.array_position(F.array(*[F.lit(k) for k in fixed.APPLICANT_KEYS]), F.col("field_name"))
     named = fields.filter(F.col("field_name").isin(fixed.APPLICANT_KEYS)).withColumn("_value", unwrap("field_value")) \
         .filter("_value is not null and _value <> ''")
     best = named.groupBy("submission_id").agg(
-        F.min_by(F.substring("_value", 1, 255), F.struct("document_id", priority)).alias("_found"))
+        F.min_by(limited("_value", name_chars), F.struct("document_id", priority)).alias("_found"))
     return submissions.join(best, "submission_id", "left").withColumn(
         "applicant_name", F.coalesce("applicant_name", "_found")).drop("_found")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindery import fixed
 from bindery.functions.barrier import compute_once
-from bindery.functions.text import clean_text, is_blank, lower_extension, strip
+from bindery.functions.text import clean_text, is_blank, limited, lower_extension, strip
 
 EMPTY = "cast(array() as array<string>)"
 
@@ -222,7 +222,7 @@ def choose_extraction(primary: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 # --- status and reports -----------------------------------------------------
-def process_pending(documents: DataFrame, results: DataFrame) -> DataFrame:
+def process_pending(documents: DataFrame, results: DataFrame, reason_chars: int | None = None) -> DataFrame:
     """New status of current PENDING documents from their parse results.
 
     ``results``: document_id, needs_ocr, page_count, error.
@@ -231,7 +231,7 @@ def process_pending(documents: DataFrame, results: DataFrame) -> DataFrame:
     failed = F.col("error").isNotNull()
     return pending.join(results, "document_id").withColumns({
         "processing_status": F.when(failed, "FAILED").when(F.col("needs_ocr"), "OCR_PROCESSING").otherwise("COMPLETED"),
-        "failure_reason": F.when(failed, F.substring("error", 1, fixed.FAILURE_REASON_CHARS)),
+        "failure_reason": F.when(failed, limited("error", reason_chars)),
         "is_scanned": F.when(~failed, F.col("needs_ocr"))}).drop("error", "needs_ocr")
 
 

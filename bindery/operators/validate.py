@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bindery import fixed
 from bindery.functions.barrier import compute_once
 from bindery.functions.similarity import sequence_ratio
-from bindery.functions.text import fixed_point, strip, title_case
+from bindery.functions.text import fixed_point, limited, strip, title_case
 from bindery.functions.values import (normalise_string, parse_currency, parse_date, to_double, to_number,
                                       wrapped_variant)
 from bindery.operators import catalogue
@@ -376,14 +376,15 @@ def report_counts(submissions: DataFrame, violations: DataFrame) -> DataFrame:
     return submissions.select("submission_id").join(counts, "submission_id", "left").fillna(0, names)
 
 
-def refresh_issues(issues: DataFrame, violations: DataFrame, validated: DataFrame) -> DataFrame:
+def refresh_issues(issues: DataFrame, violations: DataFrame, validated: DataFrame, title_chars: int | None = None,
+                   description_chars: int | None = None, action_chars: int | None = None) -> DataFrame:
     """Unresolved issues of validated submissions give way to the new violations; resolved ones stay."""
     marked = validated.select("submission_id").distinct().withColumn("_validated", F.lit(True))
     kept = issues.join(marked, "submission_id", "left").filter(F.col("is_resolved") | F.col("_validated").isNull()).drop("_validated")
     fresh = violations.select(
-        "submission_id", "issue_type", "severity", "field_name", F.substring("title", 1, fixed.TITLE_CHARS).alias("title"),
-        F.substring("description", 1, fixed.DESCRIPTION_CHARS).alias("description"),
-        F.substring("suggested_action", 1, fixed.ACTION_CHARS).alias("suggested_action"), "document_id",
+        "submission_id", "issue_type", "severity", "field_name", limited("title", title_chars).alias("title"),
+        limited("description", description_chars).alias("description"),
+        limited("suggested_action", action_chars).alias("suggested_action"), "document_id",
         F.lit(False).alias("is_resolved"))
     return kept.unionByName(fresh, allowMissingColumns=True)
 

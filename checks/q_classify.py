@@ -57,7 +57,7 @@ CHAIN = [BASE, SCORED, RANKED, TOP, MATCHED, RULES, DECIDED]
 RESPONSES = ("normal", f"""select document_id, raw_response, ok as so_valid,
     case when ok then case when upper(trim(j->>'$.document_type')) in {lits(fixed.DOCUMENT_TYPES)} then upper(trim(j->>'$.document_type')) else 'OTHER' end end as so_type,
     case when ok then greatest(0e0, least(1e0, coalesce(try_cast(j->>'$.confidence' as double), 0.72e0))) end as so_confidence,
-    case when ok then '[LLM: unknown] ' || substring(coalesce(j->>'$.reason', 'LLM classification'), 1, 500) end as so_reason,
+    case when ok then '[LLM: unknown] ' || coalesce(j->>'$.reason', 'LLM classification') end as so_reason,
     case when ok and upper(trim(j->>'$.alternative_type')) in {lits(fixed.DOCUMENT_TYPES)} then upper(trim(j->>'$.alternative_type')) end as so_alternative
   from (select *, case when json_valid(raw_response) then cast(raw_response as json) end as j, json_valid(raw_response) as ok from v_class_responses)""")
 
@@ -137,7 +137,7 @@ def _(t):
 MERGED = ("merged", f"""select d.document_id, answered, second, agree,
     case when answered and second then ty else d.document_type end as document_type,
     case when answered then round(case when agree then least(mx + 0.05e0, 1e0) else mx end, 3) else confidence end as confidence,
-    case when answered then substring(case when second then rs else rules_reason end || case when agree then ' [rules and LLM agree]' else '' end, 1, 1000)
+    case when answered then case when second then rs else rules_reason end || case when agree then ' [rules and LLM agree]' else '' end
       when decision = 'second_opinion' then reason || case when responded then {lit(fixed.INVALID_RESPONSE_NOTE)} else {lit(fixed.NO_RESPONSE_NOTE)} end else reason end as reason,
     case when answered and second then coalesce(al, rules_alternative) when answered then coalesce(rules_alternative, al) else rules_alternative end as alternative_type,
     case when not answered then 'deterministic' when second and not agree then 'llm:' || mo else 'deterministic+llm' end as classified_by

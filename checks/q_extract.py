@@ -32,7 +32,7 @@ def typed(t):
 
 
 @query("e02_extraction_requests", "v_insurance_text", [LINES, TYPED, PROMPT, *redaction("prompts")], """
-select r.document_id, r.document_type, substring(p.text, 1, 2000) as prompt_used, pii_redactions, length(r.text) > 9904 as was_truncated
+select r.document_id, r.document_type, p.text as prompt_used, pii_redactions, length(r.text) > 9904 as was_truncated
 from redacted r join prompts p using (document_id)""")
 def _(t):
     return E.extraction_requests(typed(t), catalogue.table(t.spark), 4000).select(
@@ -90,7 +90,7 @@ def _(t):
 
 
 @query("e06_output_evidence", "v_responses", sql="""
-select submission_id, document_id, substring('Prompt of ' || raw_response, 1, 500) as source_text, true as is_active from v_responses""")
+select submission_id, document_id, 'Prompt of ' || raw_response as source_text, true as is_active from v_responses""")
 def _(t):
     prompts = t.v_responses.select("document_id", F.concat(F.lit("Prompt of "), "raw_response").alias("prompt_used"))
     return E.output_evidence(t.v_responses, prompts).select("submission_id", "document_id", "source_text", "is_active")
@@ -120,7 +120,7 @@ def _(t):
 
 @query("e08_fill_applicant", "v_submissions v_responses", [STRIPPED, ROWS], """
 select s.submission_id, coalesce(s.applicant_name, f) as applicant_name from v_submissions s left join (
-  select submission_id, arg_min(left(shown, 255), document_id * 10 + case field_name when 'applicant_name' then 1 when 'named_insured' then 2 else 3 end) as f
+  select submission_id, arg_min(shown, document_id * 10 + case field_name when 'applicant_name' then 1 when 'named_insured' then 2 else 3 end) as f
   from field_rows where field_name in ('applicant_name', 'named_insured', 'insured_name') and shown <> '' group by submission_id) using (submission_id)""")
 def _(t):
     return E.fill_applicant(t.v_submissions, response_fields(t)).select("submission_id", "applicant_name")

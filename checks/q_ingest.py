@@ -269,7 +269,7 @@ def results(t):
 
 
 @query("a17_process_pending", "v_documents", [VERSIONED, ("results", RESULTS)], """
-select document_id, page_count, case when error is not null then 'FAILED' when needs_ocr then 'OCR_PROCESSING' else 'COMPLETED' end as processing_status, left(error, 2000) as failure_reason
+select document_id, page_count, case when error is not null then 'FAILED' when needs_ocr then 'OCR_PROCESSING' else 'COMPLETED' end as processing_status, error as failure_reason
 from versioned join results using (document_id) where is_current_version and processing_status = 'PENDING'""")
 def _(t):
     return I.process_pending(R.assign_versions(t.v_documents), results(t)).select("document_id", "page_count", "processing_status", "failure_reason")

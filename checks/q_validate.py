@@ -328,7 +328,7 @@ def _(t):
 @query("g24_refresh_issues", MISSING_VIEWS + " v_issues", ALL, """
 select submission_id, issue_type, severity, title, description, document_id, is_resolved, issue_id from (
   select submission_id, issue_type, severity, null as title, null as description, null as document_id, is_resolved, issue_id from v_issues where is_resolved
-  union all select submission_id, issue_type, severity, left(title, 255), left(description, 4000), document_id, false, null from violations)""")
+  union all select submission_id, issue_type, severity, title, description, document_id, false, null from violations)""")
 def _(t):
     fresh = V.refresh_issues(t.v_issues, validation(t, compare_texts=False).violations, t.v_submissions)
     return fresh.select("submission_id", "issue_type", "severity", "title", "description", "document_id", "is_resolved", "issue_id")
