@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindery.llm import langid, minhash, mixing, packing, secrets
-from bindery.llm.common import written
+from bindery.llm.common import broadcast_if_small, written
 from bindery.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = minhash.near_duplicates(docs, percent=80)
     gone = written(found.filter("not kept").select("doc_id"), "near-duplicates")
     # of exact repeats of a row that stays, one is enough
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
