@@ -34,3 +34,18 @@ def test_long_chains_and_repeats(spark):
     assert {r.thread_turn for r in got if r.conv_id == 1} == {0} and len(got) == len(rows)
     assert [r.reply_to for r in got if r.conv_id == 2 and r.turn == 50] == [0, 0]
     assert chat.conversations(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+def test_like_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from bindery.llm.queries import ORACLES
+    from checks.parity import rows_sorted
+
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(MAIL, columns=["conv_id", "turn", "role", "text", "lines"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    found = con.execute(ORACLES["op8_chat_formatting"])
+    columns = [d[0] for d in found.description]
+    df = chat.conversations(spark.createDataFrame(MAIL, SHAPE))
+    assert rows_sorted(df.columns, [tuple(r) for r in df.collect()]) == rows_sorted(columns, found.fetchall())
