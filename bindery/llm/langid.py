@@ -18,10 +18,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bindery.llm.common import once
+from bindery.llm.common import mix, once
 
 BITS = 16  # hashed n-grams a language
 SWITCH = 12.0  # natural-log cost of a change of language
@@ -42,18 +41,28 @@ _CODES = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 _WORD = regex.compile(r"\p{L}{1,64}")
 
 
-def script(word: str) -> int:
-    """Script of most letters of the word, as an index into the script names; ties go to the first letter's."""
-    codes = _CODES[np.searchsorted(_STARTS, np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32), side="right") - 1]
-    counts = np.bincount(codes, minlength=len(_NAMES))
-    return int(codes[0]) if counts[codes[0]] == counts.max() else int(counts.argmax())
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed letter n-grams (2 to 4, with word ends) of lower-cased words, the word of each, and each word's script.
 
-
-def features(word: str) -> np.ndarray:
-    """Hashed letter n-grams (2 to 4, with word ends) of a lower-cased word."""
-    w = f"<{word.lower()}>"
-    grams = [w[i:i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    return np.array([xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams], np.int64)
+    A word's script is that of most of its letters; ties go to the first letter's.
+    """
+    low = [f"<{w.lower()}>" for w in words]
+    lengths = np.array([len(w) for w in low])
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.repeat(np.arange(len(low)), lengths)
+    inside = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grams, owners, acc = [], [], codes.astype(np.uint64)
+    for n in (2, 3, 4):  # acc[i]: the n letters from place i
+        acc = acc[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1:].astype(np.uint64)
+        whole = inside[n - 1:] >= n - 1
+        grams.append((mix(acc[whole]) >> np.uint64(64 - BITS)).astype(np.int64))
+        owners.append(word[n - 1:][whole])
+    letter = (inside > 0) & (inside < np.repeat(lengths, lengths) - 1)
+    kinds = _CODES[np.searchsorted(_STARTS, codes, side="right") - 1]
+    counts = np.bincount(word[letter] * len(_NAMES) + kinds[letter], minlength=len(low) * len(_NAMES)).reshape(len(low), -1) * 2
+    first = np.cumsum(lengths) - lengths + 1
+    counts[np.arange(len(low)), kinds[first]] += 1
+    return np.concatenate(grams), np.concatenate(owners), counts.argmax(axis=1)
 
 
 @dataclass
@@ -65,26 +74,29 @@ class Model:
     index: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
-    def _score(self, word: str) -> np.ndarray:
-        """Log-likelihood of a word in every language; languages of other scripts are far behind."""
-        score = self.logp[features(word)].sum(axis=0)
-        allowed = self.scripts[script(word)]
-        score = np.where(allowed, score, score.min() - 1000.0) if allowed.any() else np.zeros_like(score)
-        return score - score.max()
+    def _score(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word in every language; languages of other scripts are far behind."""
+        grams, owner, script = features(words)
+        score = np.stack([np.bincount(owner, weights=self.logp[grams, i], minlength=len(words)) for i in range(len(self.langs))], axis=1)
+        allowed = self.scripts[script]
+        score = np.where(allowed, score, score.min(axis=1, keepdims=True) - 1000.0)
+        score[~allowed.any(axis=1)] = 0.0
+        return score - score.max(axis=1, keepdims=True)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """One row of scores for each word; each distinct word is scored once and remembered."""
         if self.table is None:
             self.table = np.zeros((WORDS, len(self.langs)), np.float32)
-        new = {w for w in words if w not in self.index}
+        new = list(set(words).difference(self.index))
         if len(self.index) + len(new) > len(self.table):
             self.index.clear()
-            new = set(words)
+            new = list(set(words))
             if len(new) > len(self.table):
                 self.table = np.zeros((len(new), len(self.langs)), np.float32)
-        for w in new:
-            self.table[len(self.index)] = self._score(w)
-            self.index[w] = len(self.index)
+        for at in range(0, len(new), 50_000):
+            part, known = new[at:at + 50_000], len(self.index)
+            self.table[known:known + len(part)] = self._score(part)
+            self.index.update(zip(part, range(known, known + len(part))))
         return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
 
 
@@ -111,9 +123,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for lang, seen in words.items():
                 g = grams.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 s = letters.setdefault(lang, np.zeros(len(_NAMES), np.int64))
-                for w, n in seen.items():
-                    np.add.at(g, features(w), n)
-                    s[script(w)] += n * len(w)
+                distinct, n = list(seen), np.fromiter(seen.values(), np.float64, len(seen))
+                for at in range(0, len(distinct), 50_000):
+                    part, many = distinct[at:at + 50_000], n[at:at + 50_000]
+                    grams_, owner, script = features(part)
+                    g += np.bincount(grams_, weights=many[owner], minlength=1 << BITS).astype(np.int64)
+                    s += np.bincount(script, weights=many * np.array([len(w) for w in part]), minlength=len(_NAMES)).astype(np.int64)
             words.clear()
 
         for batch in batches:
@@ -196,7 +211,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             pred, score, found = [], [], []
             for at in range(0, len(batch), 2000):
                 words = [_WORD.findall(t or "") if m.langs else [] for t in batch.iloc[at:at + 2000]]
-                paths = viterbi([m.scores(ws) for ws in words])
+                table = m.scores([w for ws in words for w in ws]) if m.langs else np.empty((0, 1), np.float32)
+                ends = np.cumsum([len(ws) for ws in words])
+                paths = viterbi(np.split(table, ends[:-1]))
                 for ws, path in zip(words, paths):
                     if not ws:
                         pred.append("und")
