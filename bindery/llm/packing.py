@@ -16,6 +16,7 @@ sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,31 +25,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 256  # examples that wait for a sequence at a time
-_CACHE: dict[str, np.ndarray] = {}
+WORDS = 600_000  # words whose ids a worker remembers
+_CACHE: dict[str, bytes] = {}
 _TOKENIZER: dict[str, object] = {}
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, "
           "loss_tokens long, padded_to long")
 
 
+def _encoded(tok, words: list[str]) -> list[bytes]:
+    """Ids of each word (no token spans white space), encoded as one text of a word a line."""
+    found = tok.encode("\n".join(words), add_special_tokens=False)
+    lines = np.cumsum([0] + [len(w) + 1 for w in words])
+    owner = np.searchsorted(lines, np.array([start for start, _ in found.offsets], np.int64), side="right") - 1
+    ends = np.cumsum(np.bincount(owner, minlength=len(words))) * 4
+    raw = np.array(found.ids, "<u4").tobytes()
+    return [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+
+
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of whole texts. No token spans white space, so each distinct word is encoded once."""
+    """Ids of whole texts. Each distinct word is encoded once; a worker remembers ``WORDS`` short ones."""
     tok = _TOKENIZER.get(path)
     if tok is None:
         from tokenizers import Tokenizer
-        tok = _TOKENIZER[path] = Tokenizer.from_file(path)
-        _CACHE.clear()
-    if len(_CACHE) > 300_000:
+        _TOKENIZER.clear()
         _CACHE.clear()
+        tok = _TOKENIZER[path] = Tokenizer.from_file(path)
     words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = list({w for ws in words for w in ws if w not in _CACHE})
-    long_: dict[str, np.ndarray] = {}  # not worth remembering
-    for at in range(0, len(new), 20_000):
-        part = new[at:at + 20_000]
-        for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
-            (_CACHE if len(w) <= 64 else long_)[w] = np.array(e.ids, np.uint32)
-    empty = np.empty(0, np.uint32)
-    return [np.concatenate([_CACHE[w] if len(w) <= 64 else long_[w] for w in ws] or [empty]) for ws in words]
+    new = list(set().union(*words).difference(_CACHE))
+    other: dict[str, bytes] = {}
+    for at in range(0, len(new), 5000):
+        part = new[at:at + 5000]
+        for w, ids in zip(part, _encoded(tok, part)):
+            (_CACHE if len(w) <= 64 and len(_CACHE) < WORDS else other)[w] = ids
+    known = ChainMap(_CACHE, other).__getitem__ if other else _CACHE.__getitem__
+    return [np.frombuffer(b"".join(map(known, ws)), "<u4") for ws in words]
 
 
 class _Packer:

@@ -13,8 +13,11 @@ from tests.llm import helpers
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
 def check(rows, documents, max_tokens, max_segments, max_loss):
