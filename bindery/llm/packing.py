@@ -71,6 +71,7 @@ class _Packer:
         self.base = TaskContext.get().partitionId() << 40
         self.made = 0
         self.waiting: list[tuple] = []  # (doc, ids, start, doc_tokens, loss mask)
+        self.demand = np.zeros((WINDOW + 2, 3))  # of each that waits, in the same order
         self.rows: list[tuple] = []
         self.open()
 
@@ -96,6 +97,18 @@ class _Packer:
         if min(self.room) <= 0:
             self.close()
 
+    def wait(self, item: tuple) -> None:
+        self.demand[len(self.waiting)] = len(item[1]), 1, item[4].sum()
+        self.waiting.append(item)
+
+    def take(self, i: int) -> tuple:
+        """Removes one that waits; the last takes its place."""
+        item, last = self.waiting[i], self.waiting.pop()
+        if i < len(self.waiting):
+            self.waiting[i] = last
+            self.demand[i] = self.demand[len(self.waiting)]
+        return item
+
     @staticmethod
     def cut(item: tuple, at: int) -> tuple[tuple, tuple]:
         doc, ids, start, total, loss = item
@@ -109,20 +122,20 @@ class _Packer:
 
     def place(self) -> None:
         """Takes the waiting example of the largest dot product that fits, or cuts the best one at the limit."""
-        demand = np.array([(len(w[1]), 1, int(w[4].sum())) for w in self.waiting], float)
-        score = (demand / self.limits) @ (np.array(self.room, float) / self.limits)
-        fits = (demand <= np.array(self.room)).all(axis=1)
+        demand, room = self.demand[:len(self.waiting)], np.array(self.room, float)
+        score = demand @ (room / self.limits / self.limits)
+        fits = (demand <= room).all(axis=1)
         if fits.any():
-            self.put(self.waiting.pop(int(np.argmax(np.where(fits, score, -1)))))
+            self.put(self.take(int(np.argmax(np.where(fits, score, -1)))))
             return
-        item = self.waiting.pop(int(np.argmax(score)))
+        item = self.take(int(np.argmax(score)))
         at = self.head(item, self.room[0])
         if at == 0:  # no loss-bearing token more, and this one starts with one
-            self.waiting.insert(0, item)
+            self.wait(item)
             self.close()
             return
         first, rest = self.cut(item, at)
-        self.waiting.append(rest)
+        self.wait(rest)
         self.put(first)
 
     def add(self, item: tuple) -> None:
@@ -130,7 +143,7 @@ class _Packer:
             first, item = self.cut(item, self.limit[0])  # a full sequence of its own
             self.put(first)
         if len(item[1]):
-            self.waiting.append(item)
+            self.wait(item)
         while len(self.waiting) > WINDOW:
             self.place()
 
