@@ -20,11 +20,28 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of near-duplicates (five-word shingles, Jaccard of 0.8)."""
-    found = minhash.near_duplicates(docs, percent=80)
-    gone = written(found.filter("not kept").select("doc_id"), "near-duplicates")
-    # of exact repeats of a row that stays, one is enough
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of every group of near-duplicates (five-word shingles, Jaccard of 0.8), that with the smallest id.
+
+    Different texts of one id are documents of their own, each judged by its own
+    text. Of rows with equal id and text one stays, that with the smallest other columns.
+    """
+    same = (F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
+    rows = docs.withColumns({"_a": F.xxhash64(*same), "_b": F.xxhash64(F.lit(7), *same)})
+    names = written(rows.groupBy("doc_id", "_a", "_b").agg(F.count(F.lit(1)).alias("n")), "document-keys")
+    repeated = written(names.filter("n > 1").select("_a", "_b"), "repeated-rows")
+    if not repeated.isEmpty():
+        few = broadcast_if_small(repeated)
+        one = rows.join(few, ["_a", "_b"], "left_semi").groupBy("_a", "_b").agg(F.min(F.struct(*COLUMNS)).alias("d"))
+        rows = rows.join(few, ["_a", "_b"], "left_anti").select(*COLUMNS, "_a", "_b").union(written(one.select("d.*", "_a", "_b"), "repeats"))
+    named = names.filter("doc_id is not null")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = rows.withColumn("_name", F.col("doc_id"))
+    else:  # a number for each id and text, in the order of ids
+        numbered = named.orderBy("doc_id", "_a", "_b").select("_a", "_b", F.monotonically_increasing_id().alias("_name"))
+        rows = rows.join(broadcast_if_small(written(numbered, "document-names")), ["_a", "_b"], "left")
+    found = minhash.near_duplicates(rows, id_col="_name", percent=80)
+    gone = written(found.filter("not kept").select("_name"), "near-duplicates")
+    return rows.join(broadcast_if_small(gone), "_name", "left_anti").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +55,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into training sequences."""
-    return packing.pack(docs, TOKENIZER)
+    """Packs the documents into training sequences, in the order of the mix: files that are read again come in any order."""
+    return packing.pack(mixing.mixed(docs), TOKENIZER)
 
 
 STAGES = [("language ID", languages), ("MinHash near-dedup", near_duplicates), ("secret scans", secret_scans),

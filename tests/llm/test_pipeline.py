@@ -66,3 +66,22 @@ def test_empty_table(spark):
     for name, stage in pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_repeated_rows_and_shared_ids(spark):
+    rng = random.Random(4)
+    a, b, c, d = (helpers.prose(rng, 60) for _ in range(4))
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (1, a, "en", "r"),  # repeats: one stays
+            (2, a + " more", "en", "s"), (2, b, "en", "s"),  # the first is a near-duplicate of 1, the second is not
+            (3, c, "en", "s"), (4, d, "en", "s"), (4, c, "en", "s"), (None, "no id", "en", "s"), (None, "no id", "en", "s"), (5, None, "en", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows_of(pipeline.near_duplicates(spark, docs.repartition(4), "").select("doc_id", "text", "source"))
+    assert sorted(got, key=str) == sorted([(1, a, "r"), (2, b, "s"), (3, c, "s"), (4, d, "s"), (None, "no id", "s"), (5, None, "s")], key=str)
+
+
+def test_packing_takes_the_order_of_the_mix(spark, monkeypatch):
+    docs = documents(spark).filter("text is not null")
+    place = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(pipeline.packing, "pack", lambda rows, tokenizer: rows)
+    order = [place[r.doc_id] for r in pipeline.packed(spark, pipeline.mixed_sources(spark, docs, "").repartition(7), "").collect()]
+    assert order == sorted(order) and len(order) == len(place)
