@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from bindery.session import shared_dir
@@ -30,13 +34,33 @@ _LOCAL: dict = {}
 
 
 def once(key, make):
-    """``make()``, kept in this worker process until another key is asked for."""
+    """``make()``, kept in this worker process until another key is asked for: workers are used again by other operators.
+
+    All that an operator remembers between tasks hangs on this one entry, so a
+    change of operator gives its memory back to the machine.
+    """
     if key not in _LOCAL:
         _LOCAL.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not this C library
+            pass
         _LOCAL[key] = make()
     return _LOCAL[key]
 
 
+def by_size(batches: Iterator[pa.RecordBatch], text: str, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts have about ``size`` bytes, one text at least."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        part = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(int(s), int(e - s))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, elementwise."""
     x = x ^ (x >> np.uint64(30))

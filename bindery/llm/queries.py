@@ -1,13 +1,14 @@
-"""Registered queries of the ten operators, and their oracles."""
+"""Registered queries of the operators, and their oracles."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bindery.llm import chat, html, langid, minhash, mixing, packing, quality, secrets, suffix, topk
+from bindery.llm import alignment, chat, divergence, html, langid, licences, minhash, mixing, packing, quality, secrets, suffix, topk
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZERS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +58,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "obligation")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *TOKENIZERS)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_vector_packing, op3_exact_top_k, op4_pfair_mixing, op5_suffix_dedup, op6_secret_scans,
-    op7_html_extraction, op8_chat_formatting, op9_quality_rules, op10_language_id)}
+    op7_html_extraction, op8_chat_formatting, op9_quality_rules, op10_language_id,
+    op11_license_scans, op12_source_divergence, op13_tokenizer_alignment)}
 
 ORACLES = {
     "op1_minhash_near_dedup": r"""
@@ -110,4 +125,26 @@ ORACLES = {
               from v q join v c on q.vec_id % 100 = 0 and c.vec_id != q.vec_id)
         select query_id, rank::int as rank, vec_id, score
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""",
+    "op12_source_divergence": r"""
+        with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as id,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws
+                   from documents),
+        w as (select lang, source, id, unnest(ws) as term from d),
+        kept as (select lang, term, count(*) as total from w group by all having count(distinct id) >= 30),
+        langs as (select lang, count(*) as v, sum(total)::bigint as n from kept group by all),
+        groups as (select distinct lang, source from d),
+        c as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+        cells as (select g.lang, g.source, k.term, total, coalesce(c.n, 0) as n from groups g join kept k using (lang) left join c using (lang, source, term)),
+        sums as (select lang, source, sum(n)::bigint as sum_n from cells group by all),
+        p as (select cells.lang, source, term, cells.n, (1 + (1000000000::hugeint * (cells.n + 5)) // (sum_n + 5 * v))::bigint as p,
+                (1 + (1000000000::hugeint * (total + 5)) // (langs.n + 5 * v))::bigint as q
+              from (select cells.lang, cells.source, term, total, cells.n, sum_n from cells join sums using (lang, source)) as cells join langs on langs.lang = cells.lang),
+        pair as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value
+                 from p a join p b on a.lang = b.lang and a.term = b.term and a.source != b.source group by all),
+        rows_ as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0) as value
+                  from groups g join groups h on g.lang = h.lang and g.source != h.source
+                    left join pair on pair.lang = g.lang and pair.source = g.source and pair.item = h.source
+                  union all select lang, source, 'term', term, p - q from p where n > 0 and p > q)
+        select * from (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from rows_)
+        where part = 'pair' or rank <= 50""",
 }
