@@ -25,8 +25,9 @@ from bindery.llm.common import mix, once
 BITS = 16  # hashed n-grams a language
 SWITCH = 12.0  # natural-log cost of a change of language
 HELD_OUT = 2  # remainder of crc32(id) mod 4 that is never learned from
-WORDS = 300_000  # distinct words whose scores a worker remembers
-CELLS = 3_000_000  # words times texts that go through Viterbi together
+WORDS = 200_000  # distinct words whose scores a worker remembers
+CELLS = 1_000_000  # words times texts that go through Viterbi together
+CHARS = 2_000_000  # characters of texts that are labelled together
 
 #: First code points of script ranges, in order, with the script from there on.
 SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -93,8 +94,8 @@ class Model:
             new = list(set(words))
             if len(new) > len(self.table):
                 self.table = np.zeros((len(new), len(self.langs)), np.float32)
-        for at in range(0, len(new), 50_000):
-            part, known = new[at:at + 50_000], len(self.index)
+        for at in range(0, len(new), 20_000):
+            part, known = new[at:at + 20_000], len(self.index)
             self.table[known:known + len(part)] = self._score(part)
             self.index.update(zip(part, range(known, known + len(part))))
         return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
@@ -115,6 +116,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once("language-counts", dict)
         grams: dict[str, np.ndarray] = {}
         letters: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
@@ -124,18 +126,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 g = grams.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 s = letters.setdefault(lang, np.zeros(len(_NAMES), np.int64))
                 distinct, n = list(seen), np.fromiter(seen.values(), np.float64, len(seen))
-                for at in range(0, len(distinct), 50_000):
-                    part, many = distinct[at:at + 50_000], n[at:at + 50_000]
+                for at in range(0, len(distinct), 20_000):
+                    part, many = distinct[at:at + 20_000], n[at:at + 20_000]
                     grams_, owner, script = features(part)
                     g += np.bincount(grams_, weights=many[owner], minlength=1 << BITS).astype(np.int64)
                     s += np.bincount(script, weights=many * np.array([len(w) for w in part]), minlength=len(_NAMES)).astype(np.int64)
             words.clear()
 
         for batch in batches:
-            for lang, text in zip(batch["_lang"], batch["_text"]):
+            for i, (lang, text) in enumerate(zip(batch["_lang"], batch["_text"])):
                 words.setdefault(lang, Counter()).update(_WORD.findall(text))
-            if sum(map(len, words.values())) > 300_000:
-                fold()
+                if i % 500 == 0 and sum(map(len, words.values())) > 150_000:
+                    fold()
         fold()
         for lang, g in grams.items():
             at = np.flatnonzero(g)
@@ -209,8 +211,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = once(name, lambda: Model(*shared.value))
         for batch in texts:
             pred, score, found = [], [], []
-            for at in range(0, len(batch), 2000):
-                words = [_WORD.findall(t or "") if m.langs else [] for t in batch.iloc[at:at + 2000]]
+            lengths = np.cumsum(batch.map(lambda t: len(t or "")).to_numpy(np.int64)) // CHARS
+            cuts = np.flatnonzero(np.r_[True, lengths[1:] != lengths[:-1], True]).tolist() if len(batch) else [0]
+            for at, end in zip(cuts, cuts[1:]):
+                words = [_WORD.findall(t or "") if m.langs else [] for t in batch.iloc[at:end]]
                 table = m.scores([w for ws in words for w in ws]) if m.langs else np.empty((0, 1), np.float32)
                 ends = np.cumsum([len(ws) for ws in words])
                 paths = viterbi(np.split(table, ends[:-1]))

@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from bindery.llm.common import broadcast_if_small, grouped, mix, written
+from bindery.llm.common import broadcast_if_small, grouped, mix, once, written
 from bindery.llm.components import components
 
 K = 128  # buckets
@@ -36,7 +36,6 @@ BLOCK = 1024  # members of a bucket compared with as many others in one go
 SLICE = 4096  # shared shingles that a matrix product takes at a time
 SIGMAS = 5  # an estimate this far below the threshold ends a candidate
 
-_WORDS: dict[bytes, int] = {}
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, K, dtype=np.uint64)
@@ -52,13 +51,14 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 150_000:
-        _WORDS.clear()
+    known = once("shingles", dict)
+    if len(known) > 150_000:
+        known.clear()
     hashes = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
-        h = _WORDS.get(w)
+        h = known.get(w)
         if h is None:
-            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
         hashes[i] = h
     size = min(size, len(words))
     n = len(words) - size + 1

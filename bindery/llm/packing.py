@@ -24,10 +24,10 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from bindery.llm.common import once
+
 WINDOW = 256  # examples that wait for a sequence at a time
-WORDS = 600_000  # words whose ids a worker remembers
-_CACHE: dict[str, bytes] = {}
-_TOKENIZER: dict[str, object] = {}
+MEMORY = 48 << 20  # bytes of words and ids that a worker remembers
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, "
           "loss_tokens long, padded_to long")
@@ -43,23 +43,32 @@ def _encoded(tok, words: list[str]) -> list[bytes]:
     return [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
 
 
-def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of whole texts. Each distinct word is encoded once; a worker remembers ``WORDS`` short ones."""
-    tok = _TOKENIZER.get(path)
-    if tok is None:
+class _Words:
+    """A tokenizer and the ids of words that it has met."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
-        _TOKENIZER.clear()
-        _CACHE.clear()
-        tok = _TOKENIZER[path] = Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_file(path)
+        self.ids: dict[str, bytes] = {}
+        self.size = 0
+
+
+def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Ids of whole texts. Each distinct word is encoded once; a worker remembers short ones, ``MEMORY`` bytes in all."""
+    known = once(("packing", path), lambda: _Words(path))
     words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*words).difference(_CACHE))
+    new = list(set().union(*words).difference(known.ids))
     other: dict[str, bytes] = {}
     for at in range(0, len(new), 5000):
         part = new[at:at + 5000]
-        for w, ids in zip(part, _encoded(tok, part)):
-            (_CACHE if len(w) <= 64 and len(_CACHE) < WORDS else other)[w] = ids
-    known = ChainMap(_CACHE, other).__getitem__ if other else _CACHE.__getitem__
-    return [np.frombuffer(b"".join(map(known, ws)), "<u4") for ws in words]
+        for w, ids in zip(part, _encoded(known.tok, part)):
+            if len(w) <= 64 and known.size < MEMORY:
+                known.ids[w] = ids
+                known.size += 190 + len(w) + len(ids)  # with what the two objects and their entry take
+            else:
+                other[w] = ids
+    find = ChainMap(known.ids, other).__getitem__ if other else known.ids.__getitem__
+    return [np.frombuffer(b"".join(map(find, ws)), "<u4") for ws in words]
 
 
 class _Packer:
