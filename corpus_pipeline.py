@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each takes and returns a table of documents, the last returns packed pieces."""
+"""A corpus pipeline of five stages; each takes and returns a table of documents, the last returns packed pieces.
+
+All stages read ``COLUMNS``; other columns of the input end with the first stage.
+Texts are read whole, of any length. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,12 @@ SURE = 0.5  # least share of the letters that must be in one language
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and those without a main language; a missing language is filled in."""
+    """Rejects texts without letters and those without a main language; a missing language is filled in.
+
+    A null or empty text has no letters and goes. Ties between languages go to the
+    first in alphabetical order. Rows with a null id or source, and repeated rows,
+    are judged by their text like any other.
+    """
     found = langid.identify(docs, langid.learn(docs), carry=True)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)) \
         .withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -45,17 +54,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every confirmed secret in the text by a marker."""
+    """Replaces every confirmed secret in the text by a marker.
+
+    Every row stays, null ids, languages and sources included; a null text stays
+    null; repeated rows get equal texts. ``n_chars`` is counted again.
+    """
     return secrets.redact(docs, secrets.train(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the documents into the order of the mix: later stages meet the sources in their target shares."""
+    """Puts the documents into the order of the mix: later stages meet the sources in their target shares.
+
+    Every row stays. Null sources are a source; null ids and repeated rows are rows
+    like any other, in any order among equals.
+    """
     return mixing.mixed(docs).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into training sequences, in the order of the mix: files that are read again come in any order."""
+    """Packs the documents into training sequences, in the order of the mix: files that are read again come in any order.
+
+    A null text is one end id; a null id stays null on its pieces; repeated rows are
+    packed once each.
+    """
     return packing.pack(mixing.mixed(docs), TOKENIZER)
 
 
