@@ -113,6 +113,32 @@ select doc_id as document_id, source, case doc_id % 3 when 0 then 'pdf' when 1 t
 from documents
 """)
 
+# Histories of events: plain, scanned, failed and tried again, out of turn, unknown; and one from each user's events.
+_view("v_document_events", "v_documents", """
+select document_id, n as event_no, uploaded_at + n * interval 1 hour as event_at, event,
+  case when event in ('parsed', 'parsed_scanned', 'ocr_done') then 1 + (k + n) % 9 end as page_count,
+  case when event like '%failed' then 'Error: ' || cast(n as string) end as failure_reason
+from (select document_id, k, uploaded_at, pos + 1 as n, event from (select document_id, k, uploaded_at, case k % 8
+    when 0 then 'parse_started parsed' when 1 then 'parse_started parsed_scanned ocr_done' when 2 then 'parse_started parsed_scanned ocr_failed parse_started parsed'
+    when 3 then 'parse_started parse_failed parse_started parsed_scanned' when 4 then 'ocr_done parsed parse_started' when 5 then 'parse_started parsed ocr_skipped ocr_done'
+    when 6 then 'parse_started renamed parsed_scanned ocr_skipped parse_failed' else 'parse_failed' end as history from v_documents)
+  lateral view posexplode(split(history, ' ')) e as pos, event)
+union all select -1 - user_id, event_id, cast(ts as timestamp), case event_type when 'click' then 'parse_started' when 'view' then 'parsed_scanned' when 'error' then 'parse_failed' when 'signup' then 'ocr_done' else 'ocr_failed' end,
+  case when event_type in ('view', 'signup') then user_id % 9 end, case when event_type not in ('click', 'view', 'signup') then 'Error: ' || cast(event_id as string) end
+from events
+""", """
+select document_id, n as event_no, uploaded_at + n * interval 1 hour as event_at, event,
+  case when event in ('parsed', 'parsed_scanned', 'ocr_done') then 1 + (k + n) % 9 end as page_count,
+  case when event like '%failed' then 'Error: ' || cast(n as string) end as failure_reason
+from (select document_id, k, uploaded_at, unnest(generate_series(1, len(string_split(history, ' ')))) as n, unnest(string_split(history, ' ')) as event from (select document_id, k, uploaded_at, case k % 8
+    when 0 then 'parse_started parsed' when 1 then 'parse_started parsed_scanned ocr_done' when 2 then 'parse_started parsed_scanned ocr_failed parse_started parsed'
+    when 3 then 'parse_started parse_failed parse_started parsed_scanned' when 4 then 'ocr_done parsed parse_started' when 5 then 'parse_started parsed ocr_skipped ocr_done'
+    when 6 then 'parse_started renamed parsed_scanned ocr_skipped parse_failed' else 'parse_failed' end as history from v_documents))
+union all select -1 - user_id, event_id, cast(ts as timestamp), case event_type when 'click' then 'parse_started' when 'view' then 'parsed_scanned' when 'error' then 'parse_failed' when 'signup' then 'ocr_done' else 'ocr_failed' end,
+  case when event_type in ('view', 'signup') then user_id % 9 end, case when event_type not in ('click', 'view', 'signup') then 'Error: ' || cast(event_id as string) end
+from events
+""")
+
 # Whole texts: as many 1 500-character pages as a text needs.
 # Every word of every text as an OCR word; two pages of alternating words.
 _view("v_ocr_words", "", """

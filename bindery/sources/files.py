@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from bindery import fixed
+from bindery.sources import store
 
 
 def landed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -120,18 +121,19 @@ def truncated_flag(row_count: Column, max_rows: int = fixed.CSV_MAX_ROWS) -> Col
 
 
 def save_parsed(documents: DataFrame, path: str, buckets: int = 64) -> None:
-    """Parsed documents as parquet, split by a hash of the submission.
+    """Parsed documents as a stored table, split by a hash of the submission.
 
     A folder per submission would be millions of tiny folders; buckets keep a
     look-up to one of ``buckets`` folders and the file count bounded.
     """
-    (documents.withColumn("bucket", F.pmod(F.xxhash64("submission_id"), F.lit(buckets)).cast("int"))
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    store.create(documents, path, "submission_id", buckets)
 
 
-def load_parsed(spark: SparkSession, path: str, submission_id=None, buckets: int = 64) -> DataFrame:
-    df = spark.read.parquet(path)
-    if submission_id is not None:
-        wanted = F.pmod(F.xxhash64(F.lit(submission_id).cast(df.schema["submission_id"].dataType)), F.lit(buckets)).cast("int")
-        df = df.filter((F.col("bucket") == wanted) & (F.col("submission_id") == F.lit(submission_id)))
-    return df.drop("bucket")
+def replace_parsed(documents: DataFrame, path: str) -> None:
+    """Parsed documents in place of what is stored for the same documents; only their buckets are written."""
+    store.replace(documents, path, ["submission_id", "document_id"])
+
+
+def load_parsed(spark: SparkSession, path: str, submission_id=None) -> DataFrame:
+    """The stored documents, or those of one submission, which lie in one bucket."""
+    return store.load(spark, path, submission_id)

@@ -6,6 +6,7 @@ from bindery import fixed
 from bindery.operators import history as H, relational as R, risk as K, validate as V
 from bindery.session import shared_dir
 from bindery.sources.derived import SQL
+from bindery.sources import store
 from bindery.streaming import pending
 from checks.q_classify import CHAIN
 from checks.q_guardrails import redaction
@@ -203,3 +204,39 @@ def _(t):
     out, checkpoint = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-checkpoint")
     pending.run_available(processed, out, checkpoint)
     return spark.read.parquet(out).select("document_id", "document_type", "confidence", "decision", "pii_redactions")
+
+
+@query("k01_each_document_once", "v_insurance_text", [*STREAM_CHAIN, *redaction("streamed")], """
+select d.document_id, d.document_type, r.pii_redactions, 1::bigint as n_rows from decided d join redacted r using (document_id)
+union all select d.document_id + 1000000, d.document_type, r.pii_redactions, 1 from decided d join redacted r using (document_id) where d.document_id % 3 = 0""")
+def _(t):
+    """Every document lands in two files of a first run and partly in a second, beside new ones."""
+    spark = t.spark
+    landing, out, checkpoint = (shared_dir(spark, n) for n in ("landing", "once-out", "once-checkpoint"))
+
+    def land(rows):
+        rows.write.mode("append").parquet(landing)
+        stream = pending.each_once(pending.stream_documents(spark, landing, texts.schema))
+        pending.run_available(pending.process(stream, 4000), out, checkpoint)
+
+    texts = t.v_insurance_text
+    land(texts.union(texts.filter("document_id % 2 = 0")))
+    late = texts.filter("document_id % 3 = 0")
+    land(late.union(late.withColumn("document_id", F.col("document_id") + 1_000_000)))
+    return spark.read.parquet(out).groupBy("document_id", "document_type", "pii_redactions").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("k01_last_revision", "v_insurance_text", [*STREAM_CHAIN, *redaction("streamed")], """
+select d.document_id, case when d.document_id % 4 = 0 then 'OTHER' else d.document_type end as document_type, case when d.document_id % 4 = 0 then 0 else r.pii_redactions end as pii_redactions
+from decided d join redacted r using (document_id)""")
+def _(t):
+    """A second run brings other contents of some documents: the stored table has each document once, as last seen."""
+    spark = t.spark
+    landing, table, checkpoint = (shared_dir(spark, n) for n in ("landing", "revisions", "revisions-checkpoint"))
+    texts = t.v_insurance_text
+    for rows in (texts, texts.filter("document_id % 2 = 0").withColumn("text", F.when(F.col("document_id") % 4 == 0, "nothing to see").otherwise(F.col("text")))
+                 .withColumn("file_extension", F.when(F.col("document_id") % 4 == 0, "txt").otherwise(F.col("file_extension")))):
+        rows.write.mode("append").parquet(landing)
+        stream = pending.each_once(pending.stream_documents(spark, landing, texts.schema))
+        pending.run_into(pending.process(stream, 4000), table, checkpoint, buckets=8)
+    return store.load(spark, table).select("document_id", "document_type", "pii_redactions")

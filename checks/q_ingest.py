@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from bindery import fixed
-from bindery.operators import ingest as I, relational as R
+from bindery.operators import ingest as I, lifecycle as L, relational as R
 from bindery.session import shared_dir
-from bindery.sources import files as S
+from bindery.sources import files as S, store
 from checks.q_relational import VERSIONED
 from checks.registry import lits, query
 
@@ -257,7 +257,7 @@ def _(t):
     path = shared_dir(t.spark, "parsed")
     docs = I.assemble_documents(t.v_pages).drop("table_count").withColumn("submission_id", F.floor(F.col("document_id") / 5))
     S.save_parsed(docs, path, buckets=8)
-    return S.load_parsed(t.spark, path, buckets=8)
+    return S.load_parsed(t.spark, path)
 
 
 RESULTS = """select document_id, k % 4 = 0 as needs_ocr, k % 7 + 1 as page_count, case when k % 5 = 0 then repeat('ParserError: ', 300) end as error from v_documents"""
@@ -275,6 +275,65 @@ def _(t):
     return I.process_pending(R.assign_versions(t.v_documents), results(t)).select("document_id", "page_count", "processing_status", "failure_reason")
 
 
+# The same table, applied event by event.
+NEXT = "case " + " ".join(f"when event = '{e}' and status in ({', '.join(repr(s) for s in legal)}) then '{after}'" for e, (legal, after, _) in L.TRANSITIONS.items()) + " end"
+FOLDED = ("folded", f"""with recursive numbered as (select *, row_number() over (partition by document_id order by event_at, event_no) as i from v_document_events),
+    step as (select document_id, 0 as i, 'PENDING' as status, cast(null as varchar) as before, false as is_legal from (select distinct document_id from v_document_events)
+      union all select document_id, i, coalesce(to_, status), status, to_ is not null from (
+        select n.document_id, n.i, s.status, {NEXT} as to_ from step s join numbered n on n.document_id = s.document_id and n.i = s.i + 1))
+    select n.*, step.before as status_before, step.status as status_after, step.is_legal from numbered n join step using (document_id, i)""")
+
+
+def folded(t):
+    return L.fold(t.v_document_events, ["event_at", "event_no"])
+
+
+@query("a17_event_fold", "v_document_events", [FOLDED], "select document_id, event_no, event, status_before, status_after, is_legal from folded")
+def _(t):
+    return folded(t).select("document_id", "event_no", "event", "status_before", "status_after", "is_legal")
+
+
+@query("a17_illegal_transitions", "v_document_events", [FOLDED], "select document_id, event_no, event, status_before from folded where not is_legal")
+def _(t):
+    return L.illegal(folded(t)).select("document_id", "event_no", "event", "status_before")
+
+
+LAST = "arg_max(struct_pack(v := {v}), i) filter (where is_legal and event in ({events})).v"
+CURRENT = ("states", f"""select document_id, arg_max(status_after, i) as status, count(*) as n_events, count(*) filter (where not is_legal) as n_illegal,
+   {LAST.format(v="page_count", events="'parsed', 'parsed_scanned', 'ocr_done'")} as page_count,
+   {LAST.format(v="event <> 'parsed'", events="'parsed', 'parsed_scanned', 'ocr_done'")} as is_scanned,
+   {LAST.format(v="failure_reason", events="'parsed', 'parsed_scanned', 'ocr_done', 'parse_failed', 'ocr_failed'")} as failure_reason from folded group by document_id""")
+
+
+@query("a17_document_states", "v_document_events", [FOLDED, CURRENT], "select * from states")
+def _(t):
+    return L.current(folded(t), ["event_at", "event_no"])
+
+
+@query("a17_apply_status", "v_document_events", [FOLDED, CURRENT], """
+select document_id, coalesce(status, processing_status) as processing_status, page_count, is_scanned, failure_reason from v_documents left join states using (document_id)""")
+def _(t):
+    states = L.current(folded(t), ["event_at", "event_no"])
+    return L.apply_status(t.v_documents, states).select("document_id", "processing_status", "page_count", "is_scanned", "failure_reason")
+
+
+REWRITTEN = "select document_id, page_count + 100 as page_count, cast(0 as bigint) as total_chars, true as is_empty, 'parsed again' as full_text, document_id // 5 as submission_id from assembled where document_id % 7 = 3"
+
+
+@query("a16_replace_documents", "v_pages", [ASSEMBLED, ("redone", REWRITTEN)], """
+select document_id, page_count, total_chars, is_empty, full_text, document_id // 5 as submission_id from assembled
+ where document_id not in (select document_id from redone) and document_id % 7 <> 5 union all select * from redone""")
+def _(t):
+    path = shared_dir(t.spark, "parsed")
+    docs = I.assemble_documents(t.v_pages).drop("table_count").withColumn("submission_id", F.floor(F.col("document_id") / 5))
+    S.save_parsed(docs, path, buckets=8)
+    stored = S.load_parsed(t.spark, path)
+    again = stored.filter("document_id % 7 = 3").withColumns({
+        "page_count": F.col("page_count") + 100, "total_chars": F.lit(0).cast("long"), "is_empty": F.lit(True), "full_text": F.lit("parsed again")})
+    store.replace(again, path, ["submission_id", "document_id"], removed=stored.filter("document_id % 7 = 5"))
+    return S.load_parsed(t.spark, path)
+
+
 @query("a18_processing_summary", "v_pages", [ASSEMBLED], """
 select document_id // 5 as submission_id, count(*) as documents_processed, cast(sum(page_count) as bigint) as pages, cast(0 as bigint) as tables,
   cast(sum(total_chars) as bigint) as chars, count(*) filter (where total_chars / page_count < 50) as need_ocr from assembled group by 1""")

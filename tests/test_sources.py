@@ -48,7 +48,7 @@ def test_landed_files(spark, tmp_path):
 def test_parsed_table_by_submission(spark, tmp_path):
     docs = spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "submission_id long, document_id long, full_text string")
     S.save_parsed(docs, str(tmp_path / "p"), buckets=4)
-    got = S.load_parsed(spark, str(tmp_path / "p"), 2, buckets=4)
+    got = S.load_parsed(spark, str(tmp_path / "p"), 2)
     assert [tuple(r) for r in got.select(*docs.columns).collect()] == [(2, 20, "b")]
 
 
