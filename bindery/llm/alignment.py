@@ -9,17 +9,18 @@ those pairs that end together.
 Both tokenizers treat a space that follows a character other than white space as
 the begin of something new, so a text is cut there into units, every distinct
 unit of a batch is encoded and aligned once, and a worker remembers the results.
-How often an id pair is linked is summed by Spark over the whole corpus; the
-table of pairs is bounded by the vocabularies, travels to the tasks only behind
-a count, and meets the documents in a salted join beyond it.
+Texts are tokenized once: a table keeps each document's results and linked id
+pairs (4 bytes a link). How often a pair is linked is summed by Spark over that
+table; the counts are bounded by the vocabularies, travel to the tasks only
+behind a count, and meet the documents in a salted join beyond it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,14 @@ from bindery.llm.common import by_size, once, written
 
 PAIRS = 4_000_000  # id pairs (17 bytes each) up to which their counts travel to the tasks
 UNITS = 100_000  # units that are looked up in one go
-MEMORY = 48 << 20  # bytes of remembered units
+ROW = 200  # units that are encoded as one text
+MEMORY = 128 << 20  # bytes of remembered units
 SALTS = 32  # copies of the pair counts in the join beyond PAIRS
 _ODD = re.compile(r"\s ")  # a space that does not begin a unit
 _UNIT = re.compile(r" (?:[^ ]+|(?<=\s) )*")
+_PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]*")  # characters whose classes no Unicode version changes
+#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def units_of(text: str) -> list[str]:
@@ -50,10 +55,25 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def _ranked(path: str, entries: list[bytes]):
+    """The tokenizer file as byte ranks, which encode plain texts faster; None where its merges are not in the order of their ids."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    vocab = said["model"]["vocab"]
+    ids = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in said["model"]["merges"]]
+    before = said.get("pre_tokenizer") or {}
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and said.get("normalizer") is None
+    if not usual or any(i >= j for i, j in zip(ids, ids[1:])):
+        return None
+    import tiktoken
+    ranks = {entries[i]: i for i in vocab.values() if i < 256 + len(ids)}
+    return tiktoken.Encoding("ranked", pat_str=_CUTS, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(ids) else None
+
+
 class Aligner:
     """Both tokenizers and what a worker remembers of units."""
 
-    def __init__(self, a_path: str, b_path: str, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, a_path: str, b_path: str):
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(a_path)
@@ -63,97 +83,100 @@ class Aligner:
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for entry, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(map(chars.__getitem__, entry)) if all(c in chars for c in entry) else entry.encode()
+        self.ranked = _ranked(a_path, self.a_bytes)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.kind = np.uint32 if len(self.a_bytes) * len(self.b_bytes) < 2**32 else np.int64
         # a piece with a space inside would span units
         self.whole = any("▁" in p.lstrip("▁") for p in pieces)
-        self.counts = counts
+        self.width = max(len(self.a_bytes), len(self.b_bytes))
+        # an id as text, followed by "," inside a side, "|" after A, ";" after a group, or nothing after the last one of a unit
+        self.shown = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.width)]
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.texts: list[bytes] = []  # groups as text
-        self.codes: list[np.ndarray] = []  # linked id pairs
-        self.table = np.zeros((4096, 6), np.int64)  # n_a, n_b, n_groups, n_links, n_best, count_sum; n_a = -1: bytes differ
+        self.texts: list[str] = []  # groups as text
+        self.table = np.zeros((4096, 4), np.int64)  # n_a, n_b, n_groups, n_links; n_a = -1: bytes differ
+        self.codes = np.zeros(16384, self.kind)  # linked id pairs of all units in a row
+        self.begin = np.zeros(4097, np.int64)  # where a unit's pairs begin
         self.size = 0
 
     def cut(self, text: str) -> list[str]:
         return [" " + text] if self.whole else units_of(text)
 
-    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """A and B ids of the units in a row, None if their bytes differ from the units'."""
-        text = "".join(units)
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, bytes] | None:
+        """A and B ids of the units in a row and their bytes; None if those of the ids differ."""
+        rows = ["".join(units[i:i + ROW]) for i in range(0, len(units), ROW)]
+        if self.ranked is not None and all(map(_PLAIN.fullmatch, rows)):
+            a = [i for r in rows for i in self.ranked.encode_ordinary(r)]
+        else:
+            a = [i for e in self.a.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids]
         # a last blank alone: an empty text would get no space before it
-        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]) or [self.b.piece_to_id("▁")]
-        raw = text.encode("utf-8", "surrogatepass")
+        b = [i for ids in self.b.encode([r[1:] for r in rows], num_threads=1) for i in ids] if rows != [" "] else [self.b.piece_to_id("▁")]
+        raw = "".join(rows).encode("utf-8", "surrogatepass")
         if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
-        return np.array(a, np.int64), np.array(b, np.int64)
+        return np.array(a, np.int64), np.array(b, np.int64), raw
 
     def _align(self, units: list[str]) -> None:
-        """Remembers units that can stand in a row: a batch in one go, or one by one if its bytes differ."""
+        """Remembers units that can stand in a row: a batch in one go, or smaller ones if its bytes differ."""
         found = self._ids(units)
         if found is None:
             if len(units) > 1:
-                for u in units:
-                    self._align([u])
+                for at in range(0, len(units), max(1, len(units) // 16)):
+                    self._align(units[at:at + max(1, len(units) // 16)])
             else:
-                self._add(units[0], b"", np.empty(0, np.int64), (-1, 0, 0, 0, 0, 0))
+                self._add(units, [""], np.empty(0, self.kind), np.array([[-1, 0, 0, 0]]))
             return
-        a, b = found
+        a, b, raw = found
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         a_start, b_start = a_end - self.a_len[a], b_end - self.b_len[b]
-        unit_end = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in units])
+        unit_end = np.cumsum([len(u) for u in units] if len(raw) == sum(map(len, units)) else [len(u.encode("utf-8", "surrogatepass")) for u in units])
 
         start, end = np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end])
         order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), start))
         reach = np.maximum.accumulate(end[order])
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(np.r_[False, start[order][1:] >= reach[:-1]])
-        a_group, b_group = group[:len(a)], group[len(a):]
         # overlaps inside the groups: B tokens from the first that ends behind an A token's start to the last that starts before its end
         low, high = np.searchsorted(b_end, a_start, side="right"), np.searchsorted(b_start, a_end, side="left")
         x = np.repeat(np.arange(len(a)), high - low)
         y = np.arange(len(x)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[x]
         together = a_end[x] == b_end[y]
         x, y = x[together], y[together]
-        code = a[x] * len(self.b_bytes) + b[y]
-
-        n_groups = int(group.max()) + 1
-        last = np.zeros(n_groups, np.int64)
-        np.maximum.at(last, a_group, a_end)
-        unit_of_group = np.searchsorted(unit_end, last)
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        a_cut, b_cut = np.searchsorted(a_group, np.arange(n_groups + 1)).tolist(), np.searchsorted(b_group, np.arange(n_groups + 1)).tolist()
-        shown = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])]
+
         n = len(units)
-        facts = np.zeros((n, 6), np.int64)
-        facts[:, 0] = np.bincount(np.searchsorted(unit_end, a_end), minlength=n)
-        facts[:, 1] = np.bincount(np.searchsorted(unit_end, b_end), minlength=n)
-        facts[:, 2] = np.bincount(unit_of_group, minlength=n)
-        unit_of_link = np.searchsorted(unit_end, a_end[x])
-        facts[:, 3] = np.bincount(unit_of_link, minlength=n)
-        if self.counts is not None:
-            codes, counts, best = self.counts
-            at = np.searchsorted(codes, code)
-            known = np.flatnonzero(np.r_[codes, -1][at] == code)  # a pair that was never counted counts 0
-            np.add.at(facts[:, 4], unit_of_link[known], best[at[known]])
-            np.add.at(facts[:, 5], unit_of_link[known], counts[at[known]])
-        g = np.cumsum(facts[:, 2]).tolist()
-        links = np.cumsum(facts[:, 3]).tolist()
-        for i, u in enumerate(units):
-            self._add(u, ";".join(shown[g[i - 1] if i else 0:g[i]]).encode(), code[links[i - 1] if i else 0:links[i]].copy(), facts[i])
-
-    def _add(self, unit: str, text: bytes, codes: np.ndarray, facts) -> None:
-        if len(self.index) == len(self.table):
+        a_unit, b_unit = np.searchsorted(unit_end, a_end), np.searchsorted(unit_end, b_end)
+        unit_of_group = np.empty(int(group.max()) + 1, np.int64)
+        unit_of_group[group[:len(a)]] = a_unit
+        facts = np.stack([np.bincount(u, minlength=n) for u in (a_unit, b_unit, unit_of_group, a_unit[x])], axis=1)
+        # tokens group by group, A before B, each with the mark behind it
+        side = np.repeat([0, 1], [len(a), len(b)])
+        by = np.lexsort((side, group))
+        g, s = group[by], side[by]
+        more = np.r_[(g[1:] == g[:-1]) & (s[1:] == s[:-1]), False]
+        last = np.r_[unit_of_group[g[1:]] != unit_of_group[g[:-1]], True]
+        mark = np.where(more, 0, np.where(s == 0, 1, np.where(last, 3, 2)))
+        parts = list(map(self.shown.__getitem__, (mark * self.width + np.concatenate([a, b])[by]).tolist()))
+        cuts = np.cumsum(facts[:, 0] + facts[:, 1]).tolist()
+        texts = ["".join(parts[i:j]) for i, j in zip([0, *cuts], cuts)]
+        self._add(units, texts, (a[x] * len(self.b_bytes) + b[y]).astype(self.kind), facts)
+
+    def _add(self, units: list[str], texts: list[str], codes: np.ndarray, facts: np.ndarray) -> None:
+        n, held = len(self.index), int(self.begin[len(self.index)])
+        while n + len(units) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[len(self.index)] = facts
-        self.index[unit] = len(self.index)
-        self.texts.append(text)
-        if self.counts is None:
-            self.codes.append(codes)
-        self.size += 250 + 2 * len(unit) + len(text) + codes.nbytes
+            self.begin = np.concatenate([self.begin, np.zeros(len(self.begin) - 1, np.int64)])
+        while held + len(codes) > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+        self.table[n:n + len(units)] = facts
+        self.begin[n + 1:n + len(units) + 1] = held + np.cumsum(facts[:, 3])
+        self.codes[held:held + len(codes)] = codes
+        self.index.update(zip(units, range(n, n + len(units))))
+        self.texts += texts
+        self.size += 260 * len(units) + 2 * sum(map(len, units)) + sum(map(len, texts)) + 2 * codes.nbytes
 
     def places(self, units: list[str]) -> np.ndarray:
         """Where each unit is remembered."""
@@ -163,14 +186,24 @@ class Aligner:
             new = list(set(units))
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
+            # ends in white space: only a text's end; U+2581 is no space of the text
             apart = [u for u in part if u[-1].isspace() or "▁" in u]
-            for u in apart:  # ends in white space: only a text's end; U+2581 is no space of the text
+            row = part if not apart else list(set(part).difference(apart))
+            for u in apart:
                 self._align([u])
-            row = [u for u in part if not (u[-1].isspace() or "▁" in u)]
-            if row:
-                self._align(row)
+            plain = [u for u in row if _PLAIN.fullmatch(u)]
+            other = row if not plain else list(set(row).difference(plain))
+            for rest in (plain, other):
+                if rest:
+                    self._align(rest)
         return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
 
+    def linked(self, place: np.ndarray) -> np.ndarray:
+        """Linked pairs of the units at ``place``, in a row."""
+        n = self.table[place, 3]
+        ends = np.cumsum(n)
+        return self.codes[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[place] - (ends - n), n)]
+
 
 def _slices(aligner: Aligner, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text numbers, places of their units), some ``UNITS`` units at a time; a long text comes in several slices."""
@@ -195,55 +228,139 @@ def _slices(aligner: Aligner, texts: list[str | None]) -> Iterator[tuple[np.ndar
         yield passed()
 
 
-def _usable(aligner: Aligner, texts: list[str | None]) -> np.ndarray:
-    """Texts with tokens: both sides give back the bytes of every unit."""
-    good = np.array([bool(t) for t in texts], bool)
-    for owner, place in _slices(aligner, texts):
-        good[owner[aligner.table[place, 0] < 0]] = False
-    return good
+FACTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """(a, b, n, best): how many links of all texts hold the two ids, and whether that is the most of any A id for this B id."""
+def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
+    """Per row: id, n_a, n_b, n_groups, n_links, groups_sha256, codes (linked id pairs, packed), row; with ``groups`` also the groups. Written."""
     name = f"alignment-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = once(name, lambda: Aligner(a_path, b_path))
-        codes, counts, held = [], [], 0
+        for batch in by_size(batches, "_text"):
+            texts = batch.column("_text").to_pylist()
+            sums, shas, started = np.zeros((len(texts), 4), np.int64), [hashlib.sha256() for _ in texts], [False] * len(texts)
+            whole: list[list[str]] = [[] for _ in texts]
+            codes: list[list[bytes]] = [[] for _ in texts]
+            good = np.array([bool(t) for t in texts], bool)
+            for owner, place in _slices(aligner, texts):
+                facts = aligner.table[place]
+                good[owner[facts[:, 0] < 0]] = False
+                cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+                sums[owner[cuts[:-1]]] += np.add.reduceat(facts, cuts[:-1], axis=0)
+                named = list(map(aligner.texts.__getitem__, place.tolist()))
+                pairs, ends = aligner.linked(place), np.r_[0, np.cumsum(facts[:, 3])]
+                for i, s, e in zip(owner[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                    shown = ";".join(named[s:e])
+                    shas[i].update((";" + shown if started[i] else shown).encode())
+                    started[i] = True
+                    codes[i].append(pairs[ends[s]:ends[e]].tobytes())
+                    if groups:
+                        whole[i].append(shown)
+            sums[~good] = 0
+            out = {"id": batch.column("_id")} | {f: pa.array(sums[:, i]) for i, f in enumerate(FACTS[:4])}
+            out["groups_sha256"] = pa.array([h.hexdigest() if g else "" for h, g in zip(shas, good)], pa.string())
+            out["codes"] = pa.array([b"".join(c) if g else b"" for c, g in zip(codes, good)], pa.binary())
+            if groups:
+                out["groups"] = pa.array([";".join(w) if g else "" for w, g in zip(whole, good)], pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    shape = f"id {kind}, " + ", ".join(f"{f} long" for f in FACTS[:4]) + ", groups_sha256 string, codes binary" + (", groups string" if groups else "")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return written(rows.mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "aligned")
+
+
+def _sizes(a_path: str, b_path: str) -> tuple[int, type]:
+    """Number of B ids and the type of packed pairs."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a, b = Tokenizer.from_file(a_path).get_vocab_size(), sentencepiece.SentencePieceProcessor(model_file=b_path).vocab_size()
+    return b, np.uint32 if a * b < 2**32 else np.int64
+
+
+def pair_counts(found: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(a, b, n, best): how many links of all texts (``aligned``) hold the two ids, and whether that is the most of any A id for this B id."""
+    width, kind = _sizes(a_path, b_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once("pair-counts", dict)
+        codes, counts, fresh, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
         def folded() -> tuple[np.ndarray, np.ndarray]:
-            code, which = np.unique(np.concatenate(codes), return_inverse=True)
-            return code, np.bincount(which, weights=np.concatenate(counts))
+            some, n = np.unique(np.concatenate(fresh), return_counts=True)
+            both, which = np.unique(np.concatenate([codes, some.astype(np.int64)]), return_inverse=True)
+            return both, np.bincount(which, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
 
-        def rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            columns = code // len(aligner.b_bytes), code % len(aligner.b_bytes), n.astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n"])
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (codes // width, codes % width, counts)], names=["a", "b", "n"])
 
-        for batch in by_size(batches, "_text"):
-            texts = batch.column("_text").to_pylist()
-            good = _usable(aligner, texts)
-            for owner, place in _slices(aligner, [t if g else None for t, g in zip(texts, good)]):
-                at, n = np.unique(place, return_counts=True)
-                linked = [aligner.codes[i] for i in at]
-                codes.append(np.concatenate(linked))
-                counts.append(np.repeat(n.astype(np.float64), [len(c) for c in linked]))
-                held += len(codes[-1])
+        for batch in batches:
+            for packed in batch.column("codes").to_pylist():
+                fresh.append(np.frombuffer(packed or b"", kind))
+                held += len(fresh[-1])
                 if held > 2_000_000:
-                    code, n = folded()
-                    codes, counts, held = [code], [n], len(code)
-                    if held > 1_500_000:
-                        yield rows(code, n)
-                        codes, counts, held = [], [], 0
-        if codes:
-            yield rows(*folded())
-
-    texts = docs.select(F.col(text_col).cast("string").alias("_text"))
-    pairs = written(texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "id-pairs")
+                    codes, counts = folded()
+                    fresh, held = [], 0
+                    if len(codes) > 2_000_000:
+                        yield rows()
+                        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        if fresh:
+            codes, counts = folded()
+        yield rows()
+
+    pairs = written(found.select("codes").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "id-pairs")
     top = pairs.groupBy("b").agg(F.max("n").alias("most"))  # a row for each B id at most
     return written(pairs.join(F.broadcast(top), "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best")), "pair-counts")
 
 
-FACTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+def _near(found: DataFrame, pairs: DataFrame, names: list[str], width: int, kind: type) -> DataFrame:
+    """n_best and count_sum of each row, from counts that travel with the tasks."""
+    rows = pairs.toArrow()  # at most ``most_pairs`` rows
+    code = (rows["a"].to_numpy() * width + rows["b"].to_numpy()).astype(kind)
+    order = np.argsort(code)
+    shared = found.sparkSession.sparkContext.broadcast((code[order], rows["n"].to_numpy()[order], rows["best"].to_numpy()[order]))
+    del rows, code, order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once("pair-look-up", dict)
+        codes, counts, best = shared.value
+        for batch in by_size(batches, "codes", 16_000_000):
+            packed = batch.column("codes").to_pylist()
+            owner = np.repeat(np.arange(len(packed)), [len(p or b"") // np.dtype(kind).itemsize for p in packed])
+            code = np.frombuffer(b"".join(p or b"" for p in packed), kind)
+            distinct, which = np.unique(code, return_inverse=True)
+            at = np.searchsorted(codes, distinct)
+            at[at == len(codes)] = 0
+            known = codes[at] == distinct if len(codes) else np.zeros(len(distinct), bool)  # a pair that was never counted counts 0
+            n, top = (np.where(known, x[at] if len(codes) else 0, 0)[which] for x in (counts, best))
+            out = {c: batch.column(c) for c in names}
+            out["n_best"] = pa.array(np.bincount(owner[top > 0], minlength=len(packed)).astype(np.int64))
+            total = np.zeros(len(packed), np.int64)
+            if len(owner):
+                begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                total[owner[begins]] = np.add.reduceat(n, begins)
+            out["count_sum"] = pa.array(total)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.select(*names).schema.fields)
+    return found.select(*names, "codes").mapInArrow(run, f"{shape}, n_best long, count_sum long")
+
+
+def _far(found: DataFrame, pairs: DataFrame, names: list[str], width: int, kind: type) -> DataFrame:
+    """The same where there are more pairs than may travel: links as rows, each hot pair dealt over ``SALTS`` keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once("pair-rows", dict)
+        for batch in by_size(batches, "codes", 1_000_000):
+            for row, packed in zip(batch.column("row").to_pylist(), batch.column("codes").to_pylist()):
+                code, k = np.unique(np.frombuffer(packed or b"", kind).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), row)), pa.array(code // width), pa.array(code % width), pa.array(k)], names=["row", "a", "b", "k"])
+
+    linked = found.select("row", "codes").mapInArrow(run, "row long, a long, b long, k long").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    copies = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sums = linked.join(copies, ["a", "b", "salt"]).groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("k"))).alias("n1"), F.sum(F.col("k") * F.col("n")).alias("n2"))
+    return found.select("row", *names).join(sums, "row", "left").select(
+        *names, F.coalesce("n1", F.lit(0)).cast("long").alias("n_best"), F.coalesce("n2", F.lit(0)).cast("long").alias("count_sum"))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", pairs: DataFrame | None = None,
@@ -260,62 +377,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     null; repeated rows get equal results and count each time. An empty table
     gives no rows. Other columns are not read.
     """
-    pairs = pair_counts(docs, a_path, b_path, text_col) if pairs is None else pairs
-    spark, name = docs.sparkSession, f"alignment-{uuid.uuid4().hex}"
-    near = pairs.count() <= most_pairs
-    if near:
-        found = pairs.toArrow()  # at most most_pairs rows
-        from sentencepiece import SentencePieceProcessor
-        width = SentencePieceProcessor(model_file=b_path).vocab_size()
-        code = found["a"].to_numpy() * width + found["b"].to_numpy()
-        order = np.argsort(code)
-        shared = spark.sparkContext.broadcast((code[order], found["n"].to_numpy()[order], found["best"].to_numpy(zero_copy_only=False)[order]))
-        del found, code, order
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = once(name, lambda: Aligner(a_path, b_path, shared.value if near else None))
-        for batch in by_size(batches, "_text"):
-            texts = batch.column("_text").to_pylist()
-            sums, shas, started = np.zeros((len(texts), 6), np.int64), [hashlib.sha256() for _ in texts], [False] * len(texts)
-            whole: list[list[bytes]] = [[] for _ in texts]
-            links: list[Counter] = [Counter() for _ in texts]
-            good = np.array([bool(t) for t in texts], bool)
-            for owner, place in _slices(aligner, texts):
-                facts = aligner.table[place]
-                good[owner[facts[:, 0] < 0]] = False
-                cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
-                sums[owner[cuts[:-1]]] += np.add.reduceat(facts, cuts[:-1], axis=0)
-                named = list(map(aligner.texts.__getitem__, place.tolist()))
-                for i, s, e in zip(owner[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
-                    shown = b";".join(named[s:e])
-                    shas[i].update(b";" + shown if started[i] else shown)
-                    started[i] = True
-                    if groups:
-                        whole[i].append(shown)
-                    if not near:
-                        code, n = np.unique(np.concatenate([aligner.codes[p] for p in place[s:e]]), return_counts=True)
-                        links[i].update(dict(zip(code.tolist(), n.tolist())))
-            sums[~good] = 0
-            out = {"id": batch.column("_id")} | {f: pa.array(sums[:, i]) for i, f in enumerate(FACTS)}
-            out["groups_sha256"] = pa.array([h.hexdigest() if g else "" for h, g in zip(shas, good)], pa.string())
-            if groups:
-                out["groups"] = pa.array([b";".join(w).decode() if g else "" for w, g in zip(whole, good)], pa.string())
-            if not near:
-                width = len(aligner.b_bytes)
-                found = [[{"a": c // width, "b": c % width, "k": n} for c, n in x.items()] if g else [] for x, g in zip(links, good)]
-                out["links"] = pa.array(found, pa.list_(pa.struct([(k, pa.int64()) for k in "abk"])))
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"id {kind}, " + ", ".join(f"{f} long" for f in FACTS) + ", groups_sha256 string" + (", groups string" if groups else "")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    if near:
-        return rows.mapInArrow(run, shape).withColumnRenamed("id", id_col)
-    # more pairs than may travel: links as rows, each hot pair dealt over SALTS keys
-    kept = written(rows.mapInArrow(run, shape + ", links array<struct<a: long, b: long, k: long>>").withColumn("row", F.monotonically_increasing_id()), "aligned")
-    linked = kept.select("row", F.inline("links")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    copies = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sums = linked.join(copies, ["a", "b", "salt"]).groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("k"))).alias("n1"), F.sum(F.col("k") * F.col("n")).alias("n2"))
-    filled = kept.drop("links", "n_best", "count_sum").join(sums, "row", "left").withColumns(
-        {"n_best": F.coalesce("n1", F.lit(0)), "count_sum": F.coalesce("n2", F.lit(0))})
-    return filled.select(F.col("id").alias(id_col), *FACTS, "groups_sha256", *(["groups"] if groups else []))
+    found = aligned(docs, a_path, b_path, id_col, text_col, groups)
+    pairs = pair_counts(found, a_path, b_path) if pairs is None else pairs
+    names = ["id", *FACTS[:4], "groups_sha256", *(["groups"] if groups else [])]
+    judged = (_near if pairs.count() <= most_pairs else _far)(found, pairs, names, *_sizes(a_path, b_path))
+    return judged.select(F.col("id").alias(id_col), *FACTS, "groups_sha256", *(["groups"] if groups else []))

@@ -94,7 +94,7 @@ def test_long_text_in_slices_and_small_memory(spark, monkeypatch):
     shas = hashlib.sha256()
     for k, (owner, place) in enumerate(alignment._slices(aligner, [text])):
         n += int(aligner.table[place, 0].sum())
-        shas.update((b";" if k else b"") + b";".join(aligner.texts[p] for p in place))
+        shas.update(((";" if k else "") + ";".join(aligner.texts[p] for p in place)).encode())
     want = brute([text])[0]
     assert (n, shas.hexdigest()) == (want[0], want[-1])
 
@@ -113,6 +113,6 @@ def test_edges(spark):
 
 def test_string_ids_and_pairs_of_another_corpus(spark):
     docs = spark.createDataFrame([("x", "some words here"), (None, "unseen zebra")], "doc_id string, text string")
-    pairs = alignment.pair_counts(docs.filter("doc_id = 'x'"), A, B)
+    pairs = alignment.pair_counts(alignment.aligned(docs.filter("doc_id = 'x'"), A, B), A, B)
     rows = {r.doc_id: r for r in alignment.align(docs, A, B, pairs=pairs).collect()}
     assert rows["x"].n_best == rows["x"].n_links == rows["x"].count_sum and rows[None].count_sum == 0
