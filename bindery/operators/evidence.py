@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery import fixed
-from bindery.functions.similarity import ratio_at_least
+from bindery.functions.grams import folded, grams, similar_windows, tier_of
 from bindery.functions.text import is_blank, strip
+from bindery.session import shared_dir
 
+BLOCK = 32  # citations that a page meets at a time
 LOCATED = ["document_id", "field_name", "source_text", "page_number", "section", "matched_text", "match_method", "confidence"]
 
 
@@ -47,17 +49,51 @@ def _keyed(citations: DataFrame) -> DataFrame:
 KEY = ["document_id", "_cite"]
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared folder, where several branches read it."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def page_index(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """Inverted index of page grams: (document_id, tier, gram, page_number), of the grams that citations have.
+
+    ``wanted``: document_id, tier, gram. A page gives the few grams that its
+    document's citations can ask for: those of the tiers of their lengths, and of
+    neighbouring grams only the one with the smallest hash.
+    """
+    asked = wanted.groupBy("document_id").agg(F.collect_set("tier").alias("_tiers"))  # at most one entry for each tier
+    keyed = pages.select("document_id", "page_number", folded("text").alias("_text")).join(asked, "document_id")
+    postings = keyed.select("document_id", "page_number", F.inline(grams("_text", "_tiers")))
+    return postings.join(wanted.distinct(), ["document_id", "tier", "gram"], "left_semi")
+
+
+def candidate_pages(keyed: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, _cite, page_number): for each citation the pages that hold its rarest gram; every page with the citation is among them."""
+    cites = keyed.filter("_citation is not null").select(*KEY, folded("_citation").alias("_text")).distinct()
+    tiers = F.array(tier_of(F.length("_text")))
+    wanted = written(cites.select(*KEY, F.inline(grams("_text", tiers))), "citation-grams")
+    postings = written(page_index(wanted.select("document_id", "tier", "gram"), pages), "page-grams")
+    counts = postings.groupBy("document_id", "tier", "gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a gram that no page holds is the rarest of all: the citation is nowhere
+    met = wanted.join(counts, ["document_id", "tier", "gram"], "left")
+    rarest = met.groupBy(*KEY).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "tier", "gram")).alias("r")) \
+        .filter("r.n > 0").select(*KEY, "r.tier", "r.gram")
+    return rarest.join(postings, ["document_id", "tier", "gram"]).select(*KEY, "page_number")
+
+
 def _locate(keyed: DataFrame, pages: DataFrame) -> DataFrame:
     """(document_id, _cite, page_number, exact): the first page with the text as it is, else the first ignoring case.
 
-    Every citation meets the pages of its document as rows, once however often it is quoted.
+    A citation, once however often it is quoted, meets the pages that hold its rarest gram.
     """
     wanted = keyed.filter("_citation is not null").select(*KEY, "_citation").distinct()
-    met = wanted.join(pages.select("document_id", "page_number", "text"), "document_id")
+    met = candidate_pages(keyed, pages).join(wanted, KEY).join(pages.select("document_id", "page_number", "text"), ["document_id", "page_number"])
     loose = met.filter(F.contains(F.lower("text"), F.lower("_citation")) | F.contains("text", F.col("_citation")))
     hits = loose.select(*KEY, "page_number", F.contains("text", F.col("_citation")).alias("exact"))
-    return hits.groupBy(*KEY).agg(F.min(F.struct((~F.col("exact")).alias("loose"), "page_number")).alias("h")).select(
-        *KEY, "h.page_number", (~F.col("h.loose")).alias("exact"))
+    return written(hits.groupBy(*KEY).agg(F.min(F.struct((~F.col("exact")).alias("loose"), "page_number")).alias("h")).select(
+        *KEY, "h.page_number", (~F.col("h.loose")).alias("exact")), "located")
 
 
 def _placed(found: DataFrame, pages: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,37 +112,21 @@ def locate_verbatim(citations: DataFrame, pages: DataFrame) -> DataFrame:
     return _placed(found, pages, LOCATED)
 
 
-def _letters_in_common(a: Column, b: Column) -> Column:
-    """No sequence of matching characters is longer than this: frequent characters one by one, all others together."""
-    def count(text: Column, letter: str) -> Column:
-        return F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
-
-    pairs = [(count(a, c), count(b, c)) for c in fixed.FREQUENT_CHARACTERS]
-    rest = F.least(F.length(a) - sum((x for x, _ in pairs), F.lit(0)), F.length(b) - sum((y for _, y in pairs), F.lit(0)))
-    return sum((F.least(x, y) for x, y in pairs), rest)
-
-
 def fuzzy_matches(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """(document_id, _cite, page_number, window, ratio): the window of at least 0.75 similarity, the first one on ties.
 
     ``wanted``: document_id, _cite, _citation. Windows of max(length, 300)
-    characters every quarter window are cut inside the page's row, so only
-    windows cross the explode. Bounds on length and on common letters discard
-    most of them before any text reaches Python.
+    characters begin every quarter window. A page meets the citations of its
+    document in blocks of about ``BLOCK``; which windows can reach the ratio is
+    counted over the places of characters and pairs, and only those are cut.
     """
-    size = F.greatest(F.length("_citation"), F.lit(fixed.FUZZY_WINDOW))
-    step = F.greatest(F.lit(1), F.floor(size / 4).cast("int"))
-    met = wanted.filter(F.length("_citation") >= fixed.FUZZY_MIN_CITATION).join(
-        pages.filter(F.length("text") > 0).select("document_id", "page_number", "text"), "document_id")
-    last = F.greatest(F.length("text") - size, F.lit(0))
-    windows = F.transform(F.sequence(F.lit(0), last, step), lambda i: F.struct(
-        i.alias("start"), F.substring(F.col("text"), i + 1, size).alias("window")))
-    cut = met.select(*KEY, "_citation", "page_number", F.explode(windows).alias("w")).select(*KEY, "_citation", "page_number", "w.*")
-    a, b = F.col("_citation"), F.col("window")
-    total = F.length(a) + F.length(b)
-    near = cut.filter(2 * F.least(F.length(a), F.length(b)) / total >= fixed.FUZZY_MIN_RATIO)
-    near = near.filter(2 * _letters_in_common(a, b) / total >= fixed.FUZZY_MIN_RATIO)
-    scored = near.withColumn("ratio", ratio_at_least(fixed.FUZZY_MIN_RATIO)("_citation", "window")).filter("ratio is not null")
+    long_ = wanted.filter(F.length("_citation") >= fixed.FUZZY_MIN_CITATION)
+    blocks = long_.groupBy("document_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    dealt = long_.join(blocks, "document_id").withColumn("_block", F.pmod(F.xxhash64("_cite"), "_blocks"))
+    passages = dealt.groupBy("document_id", "_block").agg(F.collect_list(F.struct(F.col("_cite").alias("key"), F.col("_citation").alias("passage"))).alias("_passages"))
+    met = pages.filter(F.length("text") > 0).select("document_id", "page_number", "text").join(passages, "document_id")
+    similar = similar_windows(fixed.FUZZY_WINDOW, fixed.FUZZY_MIN_RATIO)
+    scored = met.select("document_id", "page_number", F.inline(similar("_passages", "text"))).withColumnRenamed("key", "_cite")
     return scored.groupBy(*KEY).agg(F.max_by(F.struct("page_number", "window", "ratio"), F.struct(
         "ratio", (-F.col("page_number")).alias("p"), (-F.col("start")).alias("s"))).alias("best")).select(*KEY, "best.*")
 

@@ -196,6 +196,16 @@ def _(t):
     return V.map_citations(noisy(t), t.v_pages).drop("section")
 
 
+# Short pages quoted whole with every 25th character lost: long windows hide frequent characters from the matcher, these are found for certain.
+PLANTED = "select document_id, 'page_' || cast(page_number as string) as field_name, page_number, regexp_replace(text, '(?s)(.{24}).', '$1~') as source_text from v_pages where length(text) between 60 and 199"
+
+
+@query("e14_planted_passages", "v_pages", sql="select document_id, field_name, page_number, 'fuzzy' as match_method from (select *, 'page_' || cast(page_number as varchar) as field_name from v_pages) where length(text) between 60 and 199")
+def _(t):
+    t.v_pages.createOrReplaceTempView("v_pages")
+    return V.map_citations(t.spark.sql(PLANTED).drop("page_number"), t.v_pages).select("document_id", "field_name", "page_number", "match_method")
+
+
 TITLED = """select document_id, page_number, '# Part ' || cast(page_number as varchar) || chr(10) || 'short line' || chr(10) || text as text from v_pages"""
 HEADED = ("headed", """select document_id, field_name, page_number, list_reverse(list_transform(string_split(left(text, instr(lower(text), lower(cit)) - 1), chr(10)), lambda x: trim(x, E' \\n\\r\\t'))) as lines from matched where rn = 1""")
 SECTIONS = ("sections", r"""select document_id, field_name, page_number, lines,
