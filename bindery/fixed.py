@@ -409,4 +409,3 @@ RECOMMENDATIONS = ["STANDARD_REVIEW", "SENIOR_REVIEW", "ADDITIONAL_INFO_REQUIRED
                    "SPECIALIST_REVIEW", "INSUFFICIENT_EVIDENCE"]
 
 # Characters counted one by one where texts are compared by their letters.
-FREQUENT_CHARACTERS = " etaoinsrhldu"

@@ -51,6 +51,7 @@ def audit_query(trail: DataFrame, *, entity_type: str | None = None, entity_id:
     return trail
 
 
+SKETCH = 400  # values that a quantile sketch keeps on its first level
 LOG_SCHEMA = "stage string, status string, document_id string, submission_id string, duration_ms bigint"
 
 
@@ -79,6 +80,48 @@ def stage_runs(log: DataFrame) -> DataFrame:
         .withColumn("is_open", F.col("last_status") == "STARTED")
 
 
+def _micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def match_runs(log: DataFrame) -> DataFrame:
+    """A row for each run: stage, document_id, started_at, ended_at, outcome, duration_ms, start_id, end_id.
+
+    Events of a (stage, document) are taken by (ts, event_id). A start belongs to
+    the next end, unless another start comes first. ``outcome``: SUCCESS or
+    FAILURE of the end; RESTARTED, a start that another one followed; OPEN, one
+    that nothing followed; ORPHAN, an end without a start, which keeps the duration
+    that it states. Other durations are the time between the two events. Events
+    with another status are left out; null stages and documents are groups too.
+    """
+    keys = ["stage", "document_id"]
+    events = log.filter(F.col("status").isin("STARTED", "SUCCESS", "FAILURE")).withColumns({
+        "_event": F.struct("status", "ts", "event_id"), "_back": -_micros("ts"), "_back_id": -F.col("event_id")})
+    events = next_within(events, keys, ["ts", "event_id"], "_event", "_next")
+    events = next_within(events, keys, ["_back", "_back_id"], "status", "_before")
+    start = F.col("status") == "STARTED"
+    ends = F.col("_next.status").isin("SUCCESS", "FAILURE")
+    runs = events.filter(start | F.coalesce(F.col("_before") != "STARTED", F.lit(True)))
+    closed = start & F.coalesce(ends, F.lit(False))
+    return runs.select(
+        *keys, F.when(start, F.col("ts")).alias("started_at"), F.when(closed, F.col("_next.ts")).when(~start, F.col("ts")).alias("ended_at"),
+        F.when(~start, "ORPHAN").when(closed, F.col("_next.status")).when(F.col("_next").isNull(), "OPEN").otherwise("RESTARTED").alias("outcome"),
+        F.when(closed, F.floor((_micros("_next.ts") - _micros("ts")) / 1000)).when(~start, F.col("duration_ms")).cast("long").alias("duration_ms"),
+        F.when(start, F.col("event_id")).alias("start_id"), F.when(closed, F.col("_next.event_id")).when(~start, F.col("event_id")).alias("end_id"))
+
+
+def duration_sketches(runs: DataFrame, by: list[str]) -> DataFrame:
+    """A quantile sketch of the durations of closed runs for each of ``by``: rows of bounded size that merge like counts."""
+    closed = runs.filter(F.col("outcome").isin("SUCCESS", "FAILURE"))
+    return closed.groupBy(*by).agg(F.kll_sketch_agg_bigint("duration_ms", SKETCH).alias("sketch"), F.count(F.lit(1)).alias("n_runs"))
+
+
+def merged_quantiles(sketches: DataFrame, by: list[str], ranks: dict[str, float]) -> DataFrame:
+    """Durations at the given ranks from merged sketches, off by about 1.33 % of the runs in rank at most (99 % sure; exact up to ``SKETCH`` runs)."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch").alias("sketch"), F.sum("n_runs").alias("n_runs"))
+    return merged.select(*by, "n_runs", *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)).alias(n) for n, q in ranks.items()])
+
+
 def model_usage(calls: DataFrame) -> DataFrame:
     """Tokens, latency and truncated share by model."""
     return calls.groupBy("model").agg(

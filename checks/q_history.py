@@ -167,10 +167,11 @@ LOG = ("log", """select event_id, ts, line::json->>'$.stage' as stage, line::jso
 @query("j03_stage_metrics", "v_stage_log", [LOG], """
 select stage, count(*) filter (where status = 'STARTED') as started, count(*) filter (where status = 'SUCCESS') as succeeded, count(*) filter (where status = 'FAILURE') as failed,
   round(count(*) filter (where status = 'FAILURE') / (count(*) filter (where status <> 'STARTED')), 6) as failure_rate, round(avg(duration_ms) filter (where status <> 'STARTED'), 4) as mean_ms,
-  min(duration_ms) filter (where status <> 'STARTED') as min_ms, max(duration_ms) filter (where status <> 'STARTED') as max_ms from log group by stage""")
+  min(duration_ms) filter (where status <> 'STARTED') as min_ms, max(duration_ms) filter (where status <> 'STARTED') as max_ms,
+  quantile_disc(duration_ms, 0.95) filter (where status <> 'STARTED') as p95_ms from log group by stage""")
 def _(t):
     return H.stage_metrics(H.parse_stage_log(t.v_stage_log)).withColumns(
-        {"failure_rate": F.round("failure_rate", 6), "mean_ms": F.round("mean_ms", 4)}).drop("p95_ms")
+        {"failure_rate": F.round("failure_rate", 6), "mean_ms": F.round("mean_ms", 4)})
 
 
 @query("j03_stage_runs", "v_stage_log", [LOG], """
@@ -180,6 +181,37 @@ def _(t):
     return H.stage_runs(H.parse_stage_log(t.v_stage_log)).drop("last_status")
 
 
+RUNS = ("runs", """select stage, document_id, case when s then ts end as started_at, case when s and e then nts when not s then ts end as ended_at,
+   case when not s then 'ORPHAN' when e then nstatus when nstatus is null then 'OPEN' else 'RESTARTED' end as outcome,
+   case when s and e then (epoch_us(nts) - epoch_us(ts)) // 1000 when not s then duration_ms end as duration_ms,
+   case when s then event_id end as start_id, case when s and e then nid when not s then event_id end as end_id
+ from (select *, status = 'STARTED' as s, coalesce(nstatus in ('SUCCESS', 'FAILURE'), false) as e from (
+   select *, lead(status) over w as nstatus, lead(ts) over w as nts, lead(event_id) over w as nid, lag(status) over w as before from log
+     window w as (partition by stage, document_id order by ts, event_id)))
+ where s or before is null or before <> 'STARTED'""")
+
+
+@query("j03_matched_runs", "v_stage_log", [LOG, RUNS], "select * from runs")
+def _(t):
+    return H.match_runs(H.parse_stage_log(t.v_stage_log))
+
+
+@query("j03_duration_quantiles", "v_stage_log", [LOG, RUNS], """
+select stage, count(*) as n_runs, true as p50_in_bound, true as p95_in_bound from runs where outcome in ('SUCCESS', 'FAILURE') group by stage""")
+def _(t):
+    """Sketches a day, merged to stages; a quantile is in bound if its rank is off by 1.65 % of the runs at most (or by one)."""
+    runs = H.match_runs(H.parse_stage_log(t.v_stage_log)).withColumn("day", F.to_date("ended_at"))
+    found = H.merged_quantiles(H.duration_sketches(runs, ["stage", "day"]), ["stage"], {"p50_ms": 0.5, "p95_ms": 0.95})
+    closed = runs.filter("outcome in ('SUCCESS', 'FAILURE')").select("stage", "duration_ms").join(F.broadcast(found), "stage")
+    checked = closed.groupBy("stage", "n_runs").agg(*[F.count_if(F.col("duration_ms") < F.col(p)).alias(f"{p}_below") for p in ("p50_ms", "p95_ms")],
+                                                    *[F.count_if(F.col("duration_ms") <= F.col(p)).alias(f"{p}_upto") for p in ("p50_ms", "p95_ms")])
+    off = F.greatest(F.lit(1.0), F.col("n_runs") * 0.0165)
+
+    def holds(p, q):
+        return (F.col(f"{p}_below") <= F.col("n_runs") * q + off) & (F.col(f"{p}_upto") >= F.col("n_runs") * q - off)
+    return checked.select("stage", "n_runs", holds("p50_ms", 0.5).alias("p50_in_bound"), holds("p95_ms", 0.95).alias("p95_in_bound"))
+
+
 @query("j04_model_usage", "v_model_calls", sql="""
 select model, count(*) as n_calls, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens,
   cast(sum(prompt_tokens) + sum(completion_tokens) as bigint) as total_tokens, round(avg(latency_ms), 4) as mean_latency_ms,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindery.operators import knowledge as K, relational as R
+from bindery.operators import knowledge as K, paging, relational as R, version_log as VL
 from checks.registry import in_order, query
 
 VERSIONED = ("versioned", """select *, cast(row_number() over (partition by submission_id, original_filename order by uploaded_at, document_id) as int) as version_number,
@@ -83,6 +83,48 @@ def _(t):
     return R.append_version(base, fresh).select("document_id", F.col("version_number").cast("long").alias("version_number"), "is_current_version")
 
 
+# Uploads with what their version row says; two batches, the second with some uploads of the first again.
+UPLOADED = """select *, md5(cast(file_size_bytes as string)) as checksum_sha256, 'user' || cast(k % 9 as string) as uploaded_by,
+   case when ln > 1 then 'revision ' || cast(ln as string) end as change_note from v_documents"""
+FULL_LOG = ("full_log", f"""select submission_id, original_filename, document_id, checksum_sha256, uploaded_by, change_note, uploaded_at,
+   cast(row_number() over (partition by submission_id, original_filename order by not early, uploaded_at, document_id) as int) as version_number
+ from (select *, k % 3 <> 0 as early from ({UPLOADED}))""")
+
+
+def version_log_of(t):
+    t.v_documents.createOrReplaceTempView("v_documents")
+    uploads = t.spark.sql(UPLOADED)
+    first = uploads.filter("k % 3 <> 0")
+    log = VL.append(None, first)
+    return log.union(VL.append(log, uploads.filter("k % 3 = 0").union(first.filter("k % 2 = 0"))))
+
+
+@query("b05_version_log", "v_documents", [FULL_LOG], "select * from full_log")
+def _(t):
+    return version_log_of(t)
+
+
+@query("b05_versions_as_of", "v_documents", [FULL_LOG], """
+select submission_id, original_filename, document_id, version_number, version_number = max(version_number) over (partition by submission_id, original_filename) as is_current_version
+from full_log where uploaded_at <= date '1995-06-30'""")
+def _(t):
+    return VL.state(version_log_of(t), "1995-06-30").select("submission_id", "original_filename", "document_id", "version_number", "is_current_version")
+
+
+@query("b05_current_versions", "v_documents", [FULL_LOG], """
+select submission_id, original_filename, max(version_number) as version_number, arg_max(checksum_sha256, version_number) as checksum_sha256,
+  arg_max({'v': change_note}, version_number).v as change_note, count(*) as n_versions from full_log group by submission_id, original_filename""")
+def _(t):
+    return VL.current(version_log_of(t)).select("submission_id", "original_filename", "version_number", "checksum_sha256", "change_note", "n_versions")
+
+
+@query("b05_changed_contents", "v_documents", [FULL_LOG], """
+select document_id, version_number from (select *, lag(checksum_sha256) over (partition by submission_id, original_filename order by version_number) as before from full_log)
+where before is not null and checksum_sha256 <> before""")
+def _(t):
+    return VL.changed_contents(version_log_of(t)).select("document_id", "version_number")
+
+
 @query("b06_version_history", "v_documents", [VERSIONED], """
 select submission_id, original_filename, version_number, document_id, file_size_bytes, is_current_version,
   row_number() over (order by submission_id, original_filename, version_number) as place from versioned""")
@@ -185,6 +227,14 @@ def _(t):
     return R.patch(t.v_submissions, t.v_patches, "submission_id").select("submission_id", "applicant_name", "broker_name", "status")
 
 
+@query("b15_deep_page", "v_documents", sql="""
+select document_id, total, 1000::int as page, 5::int as page_size, cast(ceil(total / 5) as bigint) as pages, row_number() over (order by uploaded_at desc, document_id) as place
+from (select *, count(*) over () as total from v_documents order by uploaded_at desc, document_id limit 5 offset 4995)""")
+def _(t):
+    page = paging.listing(t.v_documents, R.newest_first("document_id", "uploaded_at")).page(1000, 5)
+    return in_order(page.select("document_id", "total", "page", "page_size", "pages"))
+
+
 @query("b15_page_envelope", "v_submissions", sql="""
 select submission_id, total, 3 as page, 100 as page_size, cast(greatest(1, ceil(total / 100)) as bigint) as pages
 from (select *, count(*) over () as total from v_submissions order by created_at desc, submission_id limit 100 offset 200)""")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Window, functions as F
-
+from bindery.operators import paging
 from bindery.session import ensure_checkpoint_dir
 from bindery.sources.derived import Tables, duck_ctes
 
@@ -32,7 +31,7 @@ def query(name: str, views: str = "", ctes: list[tuple[str, str]] | None = None,
 
 def in_order(df):
     """Adds ``place``, the number of the row in the order in which ``df`` comes, so that the order is compared too."""
-    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+    return paging.numbered(df)
 
 
 def lit(text: str) -> str:
