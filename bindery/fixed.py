@@ -1,8 +1,8 @@
 """Fixed values.
 
 Everything in this module is a constant that has to be exactly this for the
-results to be right: type names, thresholds, regular expressions, the field
-catalogue and message formats. Nothing here computes anything.
+results to be right: type names, thresholds, regular expressions and the field
+catalogue. Nothing here computes anything.
 """
 
 # --- document types, in the order used for candidate lists ------------------
@@ -205,143 +205,123 @@ DISCLAIMER = ("[AI-GENERATED CONTENT — For underwriter review only. "
               "Not a binding decision or approved policy position.] ")
 
 # --- field catalogue --------------------------------------------------------
-# Per list, in order: name | label | type | required flag (*) | description.
-FIELD_CATALOGUE = {
-    "COMMON": """
-applicant_name | Applicant / Named Insured | string | * | Legal name of the business or individual seeking insurance
-policy_effective_date | Policy Effective Date | date | | Date the requested coverage would begin (MM/DD/YYYY)
-policy_expiration_date | Policy Expiration Date | date | | Date the requested coverage would end
-prior_carrier | Prior Insurance Carrier | string | | Name of the current or most recent insurance carrier
-prior_policy_number | Prior Policy Number | string | | Policy number with the prior carrier
-""",
-    "ACORD_APPLICATION": """
-applicant_name | Named Insured | string | * | Legal business name as it should appear on the policy
-applicant_address | Business Address | string | * | Primary business address including city, state, zip
-applicant_state | State of Domicile | string | * | State where the business is incorporated or primarily operates
-fein | Federal Employer Identification Number (FEIN) | string | | 9-digit FEIN / EIN in format XX-XXXXXXX
-sic_code | SIC Code | string | | Standard Industrial Classification code
-business_type | Type of Business Entity | string | * | Corporation, LLC, Partnership, Sole Proprietor, etc.
-nature_of_business | Nature / Description of Business | string | * | What the business does — operations description
-years_in_business | Years in Business | number | | Number of years the business has been operating
-annual_revenue | Annual Revenue / Gross Sales | currency | * | Total annual revenue or gross sales in dollars
-employee_count | Number of Employees | number | | Total full-time and part-time employees
-website | Business Website URL | string | | Company website if listed
-contact_name | Primary Contact Name | string | | Name of the primary contact person
-contact_phone | Contact Phone Number | string | | Best phone number for the contact
-contact_email | Contact Email Address | string | | Email address for the contact
-policy_effective_date | Policy Effective Date | date | * | Requested policy start date
-policy_expiration_date | Policy Expiration Date | date | | Requested policy end date (typically 1 year)
-lines_requested | Lines of Coverage Requested | list | * | List of coverage lines: GL, Property, Auto, WC, Umbrella, etc.
-prior_carrier | Prior Carrier | string | | Prior insurance carrier name
-prior_premium | Prior Year Premium | currency | | Premium paid to the prior carrier
-prior_carrier_reason_leaving | Reason for Leaving Prior Carrier | string | | Why they are changing carriers
-loss_count_3yr | Number of Losses (3 Years) | number | | Total number of claims in the past 3 years
-total_losses_3yr | Total Incurred Losses (3 Years) | currency | | Total paid + reserved losses in the past 3 years
-location_count | Number of Locations | number | | Total number of business locations
-""",
-    "ACORD_GL": """
-applicant_name | Named Insured | string | * |
-each_occurrence_limit | Each Occurrence Limit | currency | * | Per-occurrence liability limit requested
-general_aggregate_limit | General Aggregate Limit | currency | * | Total aggregate limit for the policy period
-products_aggregate_limit | Products/Completed Operations Aggregate | currency | | Aggregate for products and completed operations
-personal_injury_limit | Personal & Advertising Injury Limit | currency | |
-damage_to_premises_limit | Damage to Rented Premises Limit | currency | |
-medical_payments_limit | Medical Payments Limit | currency | |
-deductible | Deductible Amount | currency | |
-annual_revenue | Annual Revenue (GL Basis) | currency | * | Gross sales / revenue used for GL rating
-square_footage | Total Square Footage | number | | Total sq ft of all premises occupied
-subcontractor_cost | Subcontracted Work Cost | currency | | Annual cost paid to subcontractors
-products_operations_description | Products / Operations Description | string | | Description of products sold or operations performed
-additional_insureds | Additional Insureds | list | | Names of parties to be listed as additional insureds
-policy_effective_date | Effective Date | date | * |
-""",
-    "ACORD_PROPERTY": """
-applicant_name | Named Insured | string | * |
-property_address | Property Address | string | * | Physical address of the insured property
-building_value | Building Replacement Cost Value | currency | * | Replacement cost of the building structure
-bpp_value | Business Personal Property Value | currency | | Value of contents / business personal property
-bi_limit | Business Income / BI Limit | currency | | Business interruption coverage limit
-construction_type | Construction Type | string | | Frame, Masonry, Fire Resistive, etc.
-year_built | Year Built | number | |
-square_footage | Building Square Footage | number | |
-number_of_stories | Number of Stories | number | |
-occupancy | Occupancy / Use | string | | How the building is used: Office, Retail, Warehouse, etc.
-roof_type | Roof Type / Material | string | |
-roof_year | Roof Year / Last Replaced | number | |
-sprinkler_system | Sprinkler System Present | boolean | |
-alarm_system | Alarm System Type | string | |
-coinsurance_pct | Coinsurance Percentage | number | |
-deductible | Property Deductible | currency | |
-policy_effective_date | Effective Date | date | * |
-""",
-    "ACORD_AUTO": """
-applicant_name | Named Insured | string | * |
-fleet_size | Number of Vehicles | number | * |
-auto_liability_limit | Auto Liability Limit (CSL) | currency | | Combined single limit for auto liability
-hired_non_owned | Hired & Non-Owned Auto Coverage | boolean | |
-radius_of_operation | Radius of Operation (miles) | number | |
-vehicle_types | Types of Vehicles | list | | e.g. Passenger, Light Truck, Heavy Truck, Trailer
-driver_count | Number of Drivers | number | |
-annual_mileage | Estimated Annual Mileage | number | |
-garaging_state | Primary Garaging State | string | |
-policy_effective_date | Effective Date | date | * |
-""",
-    "ACORD_WORKERS_COMP": """
-applicant_name | Named Insured | string | * |
-state_of_operations | State(s) of Operation | list | * |
-total_payroll | Total Annual Payroll | currency | * |
-employee_count | Number of Employees | number | * |
-class_codes | WC Class Codes and Payroll | list | | List of NCCI class codes with associated payroll
-experience_mod | Experience Modification Factor (EMF) | number | | Experience mod factor — 1.00 is average
-employer_liability_limit | Employer Liability Limit | currency | |
-officers_included | Officers Included/Excluded | boolean | | Whether corporate officers are included in WC coverage
-subcontractors_used | Subcontractors Used | boolean | |
-policy_effective_date | Effective Date | date | * |
-""",
-    "ACORD_UMBRELLA": """
-applicant_name | Named Insured | string | * |
-umbrella_limit | Umbrella / Excess Limit | currency | * |
-self_insured_retention | Self-Insured Retention (SIR) | currency | |
-underlying_gl_limit | Underlying GL Each Occurrence Limit | currency | |
-underlying_auto_limit | Underlying Auto Liability Limit | currency | |
-underlying_wc_limit | Underlying WC Employer Liability Limit | currency | |
-underlying_carrier | Underlying Coverage Carrier | string | |
-policy_effective_date | Effective Date | date | * |
-""",
-    "LOSS_RUN": """
-policy_period | Policy Period Covered | string | * |
-prior_carrier | Prior Carrier Name | string | * |
-total_claims | Total Number of Claims | number | * |
-total_paid | Total Paid Losses | currency | * |
-total_incurred | Total Incurred Losses | currency | |
-open_claims_count | Number of Open Claims | number | |
-largest_claim_amount | Largest Single Claim Amount | currency | |
-loss_ratio | Loss Ratio | number | | Total incurred / premium as a percentage
-claims_detail | Individual Claims Detail | list | | List of individual claims with date, cause, amount, status
-""",
-    "FINANCIAL_STATEMENT": """
-fiscal_year | Fiscal Year | string | * |
-total_revenue | Total Revenue / Net Sales | currency | * |
-gross_profit | Gross Profit | currency | |
-net_income | Net Income / Net Loss | currency | |
-total_assets | Total Assets | currency | |
-total_liabilities | Total Liabilities | currency | |
-total_equity | Total Equity / Net Worth | currency | |
-cash_and_equivalents | Cash and Cash Equivalents | currency | |
-accounts_receivable | Accounts Receivable | currency | |
-long_term_debt | Long-Term Debt | currency | |
-audited | Audited Financial Statement | boolean | | Whether the statements are audited or unaudited
-""",
-    "BROKER_EMAIL": """
-broker_name | Broker / Agent Name | string | * |
-broker_email | Broker Email Address | string | |
-broker_company | Broker Agency / Company | string | |
-applicant_name | Applicant / Insured Name | string | |
-coverage_type_requested | Coverage Type Requested | string | |
-renewal_date | Renewal / Effective Date Requested | date | |
-special_instructions | Special Instructions or Notes | string | |
-""",
-}
+#: (list, place, field name, label, type, required, description); COMMON serves the types in COMMON_FIELD_TYPES.
+FIELD_CATALOGUE = (
+    ("COMMON", 1, "applicant_name", "Applicant / Named Insured", "string", True, "Legal name of the business or individual seeking insurance"),
+    ("COMMON", 2, "policy_effective_date", "Policy Effective Date", "date", False, "Date the requested coverage would begin (MM/DD/YYYY)"),
+    ("COMMON", 3, "policy_expiration_date", "Policy Expiration Date", "date", False, "Date the requested coverage would end"),
+    ("COMMON", 4, "prior_carrier", "Prior Insurance Carrier", "string", False, "Name of the current or most recent insurance carrier"),
+    ("COMMON", 5, "prior_policy_number", "Prior Policy Number", "string", False, "Policy number with the prior carrier"),
+    ("ACORD_APPLICATION", 1, "applicant_name", "Named Insured", "string", True, "Legal business name as it should appear on the policy"),
+    ("ACORD_APPLICATION", 2, "applicant_address", "Business Address", "string", True, "Primary business address including city, state, zip"),
+    ("ACORD_APPLICATION", 3, "applicant_state", "State of Domicile", "string", True, "State where the business is incorporated or primarily operates"),
+    ("ACORD_APPLICATION", 4, "fein", "Federal Employer Identification Number (FEIN)", "string", False, "9-digit FEIN / EIN in format XX-XXXXXXX"),
+    ("ACORD_APPLICATION", 5, "sic_code", "SIC Code", "string", False, "Standard Industrial Classification code"),
+    ("ACORD_APPLICATION", 6, "business_type", "Type of Business Entity", "string", True, "Corporation, LLC, Partnership, Sole Proprietor, etc."),
+    ("ACORD_APPLICATION", 7, "nature_of_business", "Nature / Description of Business", "string", True, "What the business does — operations description"),
+    ("ACORD_APPLICATION", 8, "years_in_business", "Years in Business", "number", False, "Number of years the business has been operating"),
+    ("ACORD_APPLICATION", 9, "annual_revenue", "Annual Revenue / Gross Sales", "currency", True, "Total annual revenue or gross sales in dollars"),
+    ("ACORD_APPLICATION", 10, "employee_count", "Number of Employees", "number", False, "Total full-time and part-time employees"),
+    ("ACORD_APPLICATION", 11, "website", "Business Website URL", "string", False, "Company website if listed"),
+    ("ACORD_APPLICATION", 12, "contact_name", "Primary Contact Name", "string", False, "Name of the primary contact person"),
+    ("ACORD_APPLICATION", 13, "contact_phone", "Contact Phone Number", "string", False, "Best phone number for the contact"),
+    ("ACORD_APPLICATION", 14, "contact_email", "Contact Email Address", "string", False, "Email address for the contact"),
+    ("ACORD_APPLICATION", 15, "policy_effective_date", "Policy Effective Date", "date", True, "Requested policy start date"),
+    ("ACORD_APPLICATION", 16, "policy_expiration_date", "Policy Expiration Date", "date", False, "Requested policy end date (typically 1 year)"),
+    ("ACORD_APPLICATION", 17, "lines_requested", "Lines of Coverage Requested", "list", True, "List of coverage lines: GL, Property, Auto, WC, Umbrella, etc."),
+    ("ACORD_APPLICATION", 18, "prior_carrier", "Prior Carrier", "string", False, "Prior insurance carrier name"),
+    ("ACORD_APPLICATION", 19, "prior_premium", "Prior Year Premium", "currency", False, "Premium paid to the prior carrier"),
+    ("ACORD_APPLICATION", 20, "prior_carrier_reason_leaving", "Reason for Leaving Prior Carrier", "string", False, "Why they are changing carriers"),
+    ("ACORD_APPLICATION", 21, "loss_count_3yr", "Number of Losses (3 Years)", "number", False, "Total number of claims in the past 3 years"),
+    ("ACORD_APPLICATION", 22, "total_losses_3yr", "Total Incurred Losses (3 Years)", "currency", False, "Total paid + reserved losses in the past 3 years"),
+    ("ACORD_APPLICATION", 23, "location_count", "Number of Locations", "number", False, "Total number of business locations"),
+    ("ACORD_GL", 1, "applicant_name", "Named Insured", "string", True, ""),
+    ("ACORD_GL", 2, "each_occurrence_limit", "Each Occurrence Limit", "currency", True, "Per-occurrence liability limit requested"),
+    ("ACORD_GL", 3, "general_aggregate_limit", "General Aggregate Limit", "currency", True, "Total aggregate limit for the policy period"),
+    ("ACORD_GL", 4, "products_aggregate_limit", "Products/Completed Operations Aggregate", "currency", False, "Aggregate for products and completed operations"),
+    ("ACORD_GL", 5, "personal_injury_limit", "Personal & Advertising Injury Limit", "currency", False, ""),
+    ("ACORD_GL", 6, "damage_to_premises_limit", "Damage to Rented Premises Limit", "currency", False, ""),
+    ("ACORD_GL", 7, "medical_payments_limit", "Medical Payments Limit", "currency", False, ""),
+    ("ACORD_GL", 8, "deductible", "Deductible Amount", "currency", False, ""),
+    ("ACORD_GL", 9, "annual_revenue", "Annual Revenue (GL Basis)", "currency", True, "Gross sales / revenue used for GL rating"),
+    ("ACORD_GL", 10, "square_footage", "Total Square Footage", "number", False, "Total sq ft of all premises occupied"),
+    ("ACORD_GL", 11, "subcontractor_cost", "Subcontracted Work Cost", "currency", False, "Annual cost paid to subcontractors"),
+    ("ACORD_GL", 12, "products_operations_description", "Products / Operations Description", "string", False, "Description of products sold or operations performed"),
+    ("ACORD_GL", 13, "additional_insureds", "Additional Insureds", "list", False, "Names of parties to be listed as additional insureds"),
+    ("ACORD_GL", 14, "policy_effective_date", "Effective Date", "date", True, ""),
+    ("ACORD_PROPERTY", 1, "applicant_name", "Named Insured", "string", True, ""),
+    ("ACORD_PROPERTY", 2, "property_address", "Property Address", "string", True, "Physical address of the insured property"),
+    ("ACORD_PROPERTY", 3, "building_value", "Building Replacement Cost Value", "currency", True, "Replacement cost of the building structure"),
+    ("ACORD_PROPERTY", 4, "bpp_value", "Business Personal Property Value", "currency", False, "Value of contents / business personal property"),
+    ("ACORD_PROPERTY", 5, "bi_limit", "Business Income / BI Limit", "currency", False, "Business interruption coverage limit"),
+    ("ACORD_PROPERTY", 6, "construction_type", "Construction Type", "string", False, "Frame, Masonry, Fire Resistive, etc."),
+    ("ACORD_PROPERTY", 7, "year_built", "Year Built", "number", False, ""),
+    ("ACORD_PROPERTY", 8, "square_footage", "Building Square Footage", "number", False, ""),
+    ("ACORD_PROPERTY", 9, "number_of_stories", "Number of Stories", "number", False, ""),
+    ("ACORD_PROPERTY", 10, "occupancy", "Occupancy / Use", "string", False, "How the building is used: Office, Retail, Warehouse, etc."),
+    ("ACORD_PROPERTY", 11, "roof_type", "Roof Type / Material", "string", False, ""),
+    ("ACORD_PROPERTY", 12, "roof_year", "Roof Year / Last Replaced", "number", False, ""),
+    ("ACORD_PROPERTY", 13, "sprinkler_system", "Sprinkler System Present", "boolean", False, ""),
+    ("ACORD_PROPERTY", 14, "alarm_system", "Alarm System Type", "string", False, ""),
+    ("ACORD_PROPERTY", 15, "coinsurance_pct", "Coinsurance Percentage", "number", False, ""),
+    ("ACORD_PROPERTY", 16, "deductible", "Property Deductible", "currency", False, ""),
+    ("ACORD_PROPERTY", 17, "policy_effective_date", "Effective Date", "date", True, ""),
+    ("ACORD_AUTO", 1, "applicant_name", "Named Insured", "string", True, ""),
+    ("ACORD_AUTO", 2, "fleet_size", "Number of Vehicles", "number", True, ""),
+    ("ACORD_AUTO", 3, "auto_liability_limit", "Auto Liability Limit (CSL)", "currency", False, "Combined single limit for auto liability"),
+    ("ACORD_AUTO", 4, "hired_non_owned", "Hired & Non-Owned Auto Coverage", "boolean", False, ""),
+    ("ACORD_AUTO", 5, "radius_of_operation", "Radius of Operation (miles)", "number", False, ""),
+    ("ACORD_AUTO", 6, "vehicle_types", "Types of Vehicles", "list", False, "e.g. Passenger, Light Truck, Heavy Truck, Trailer"),
+    ("ACORD_AUTO", 7, "driver_count", "Number of Drivers", "number", False, ""),
+    ("ACORD_AUTO", 8, "annual_mileage", "Estimated Annual Mileage", "number", False, ""),
+    ("ACORD_AUTO", 9, "garaging_state", "Primary Garaging State", "string", False, ""),
+    ("ACORD_AUTO", 10, "policy_effective_date", "Effective Date", "date", True, ""),
+    ("ACORD_WORKERS_COMP", 1, "applicant_name", "Named Insured", "string", True, ""),
+    ("ACORD_WORKERS_COMP", 2, "state_of_operations", "State(s) of Operation", "list", True, ""),
+    ("ACORD_WORKERS_COMP", 3, "total_payroll", "Total Annual Payroll", "currency", True, ""),
+    ("ACORD_WORKERS_COMP", 4, "employee_count", "Number of Employees", "number", True, ""),
+    ("ACORD_WORKERS_COMP", 5, "class_codes", "WC Class Codes and Payroll", "list", False, "List of NCCI class codes with associated payroll"),
+    ("ACORD_WORKERS_COMP", 6, "experience_mod", "Experience Modification Factor (EMF)", "number", False, "Experience mod factor — 1.00 is average"),
+    ("ACORD_WORKERS_COMP", 7, "employer_liability_limit", "Employer Liability Limit", "currency", False, ""),
+    ("ACORD_WORKERS_COMP", 8, "officers_included", "Officers Included/Excluded", "boolean", False, "Whether corporate officers are included in WC coverage"),
+    ("ACORD_WORKERS_COMP", 9, "subcontractors_used", "Subcontractors Used", "boolean", False, ""),
+    ("ACORD_WORKERS_COMP", 10, "policy_effective_date", "Effective Date", "date", True, ""),
+    ("ACORD_UMBRELLA", 1, "applicant_name", "Named Insured", "string", True, ""),
+    ("ACORD_UMBRELLA", 2, "umbrella_limit", "Umbrella / Excess Limit", "currency", True, ""),
+    ("ACORD_UMBRELLA", 3, "self_insured_retention", "Self-Insured Retention (SIR)", "currency", False, ""),
+    ("ACORD_UMBRELLA", 4, "underlying_gl_limit", "Underlying GL Each Occurrence Limit", "currency", False, ""),
+    ("ACORD_UMBRELLA", 5, "underlying_auto_limit", "Underlying Auto Liability Limit", "currency", False, ""),
+    ("ACORD_UMBRELLA", 6, "underlying_wc_limit", "Underlying WC Employer Liability Limit", "currency", False, ""),
+    ("ACORD_UMBRELLA", 7, "underlying_carrier", "Underlying Coverage Carrier", "string", False, ""),
+    ("ACORD_UMBRELLA", 8, "policy_effective_date", "Effective Date", "date", True, ""),
+    ("LOSS_RUN", 1, "policy_period", "Policy Period Covered", "string", True, ""),
+    ("LOSS_RUN", 2, "prior_carrier", "Prior Carrier Name", "string", True, ""),
+    ("LOSS_RUN", 3, "total_claims", "Total Number of Claims", "number", True, ""),
+    ("LOSS_RUN", 4, "total_paid", "Total Paid Losses", "currency", True, ""),
+    ("LOSS_RUN", 5, "total_incurred", "Total Incurred Losses", "currency", False, ""),
+    ("LOSS_RUN", 6, "open_claims_count", "Number of Open Claims", "number", False, ""),
+    ("LOSS_RUN", 7, "largest_claim_amount", "Largest Single Claim Amount", "currency", False, ""),
+    ("LOSS_RUN", 8, "loss_ratio", "Loss Ratio", "number", False, "Total incurred / premium as a percentage"),
+    ("LOSS_RUN", 9, "claims_detail", "Individual Claims Detail", "list", False, "List of individual claims with date, cause, amount, status"),
+    ("FINANCIAL_STATEMENT", 1, "fiscal_year", "Fiscal Year", "string", True, ""),
+    ("FINANCIAL_STATEMENT", 2, "total_revenue", "Total Revenue / Net Sales", "currency", True, ""),
+    ("FINANCIAL_STATEMENT", 3, "gross_profit", "Gross Profit", "currency", False, ""),
+    ("FINANCIAL_STATEMENT", 4, "net_income", "Net Income / Net Loss", "currency", False, ""),
+    ("FINANCIAL_STATEMENT", 5, "total_assets", "Total Assets", "currency", False, ""),
+    ("FINANCIAL_STATEMENT", 6, "total_liabilities", "Total Liabilities", "currency", False, ""),
+    ("FINANCIAL_STATEMENT", 7, "total_equity", "Total Equity / Net Worth", "currency", False, ""),
+    ("FINANCIAL_STATEMENT", 8, "cash_and_equivalents", "Cash and Cash Equivalents", "currency", False, ""),
+    ("FINANCIAL_STATEMENT", 9, "accounts_receivable", "Accounts Receivable", "currency", False, ""),
+    ("FINANCIAL_STATEMENT", 10, "long_term_debt", "Long-Term Debt", "currency", False, ""),
+    ("FINANCIAL_STATEMENT", 11, "audited", "Audited Financial Statement", "boolean", False, "Whether the statements are audited or unaudited"),
+    ("BROKER_EMAIL", 1, "broker_name", "Broker / Agent Name", "string", True, ""),
+    ("BROKER_EMAIL", 2, "broker_email", "Broker Email Address", "string", False, ""),
+    ("BROKER_EMAIL", 3, "broker_company", "Broker Agency / Company", "string", False, ""),
+    ("BROKER_EMAIL", 4, "applicant_name", "Applicant / Insured Name", "string", False, ""),
+    ("BROKER_EMAIL", 5, "coverage_type_requested", "Coverage Type Requested", "string", False, ""),
+    ("BROKER_EMAIL", 6, "renewal_date", "Renewal / Effective Date Requested", "date", False, ""),
+    ("BROKER_EMAIL", 7, "special_instructions", "Special Instructions or Notes", "string", False, ""),
+)
 # Types that use the COMMON list, and types that have no fields at all.
 COMMON_FIELD_TYPES = ["UNDERWRITING_GUIDELINE", "CLAIMS_DOCUMENT", "OTHER"]
 NO_FIELD_TYPES = ["EVIDENCE_PHOTO", "IDENTITY_DOCUMENT"]

@@ -15,10 +15,8 @@ def rows() -> list[tuple]:
     for document_type in fixed.DOCUMENT_TYPES:
         if document_type in fixed.NO_FIELD_TYPES:
             continue
-        block = fixed.FIELD_CATALOGUE["COMMON" if document_type in fixed.COMMON_FIELD_TYPES else document_type]
-        for i, line in enumerate(block.strip().splitlines(), 1):
-            name, label, kind, required, description = (p.strip() for p in line.split("|", 4))
-            out.append((document_type, i, name, label, kind, required == "*", description))
+        wanted = "COMMON" if document_type in fixed.COMMON_FIELD_TYPES else document_type
+        out += [(document_type, *entry[1:]) for entry in fixed.FIELD_CATALOGUE if entry[0] == wanted]
     return out
 
 

@@ -170,13 +170,22 @@ def eligible_documents(documents: DataFrame, custom_prompt: bool = False) -> Dat
     return ready.filter(F.col("document_type").isNotNull() & ~F.col("document_type").isin(fixed.NO_FIELD_TYPES))
 
 
-def apply_overrides(fields: DataFrame, overrides: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(fields with effective_value, rejected overrides). A reason needs 10 characters."""
+def apply_overrides(fields: DataFrame, overrides: DataFrame, keys: list[str], order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fields with effective_value, overrides that do not count, with ``why``). A reason needs 10 characters.
+
+    Of several justified overrides of a field the newest counts, by ``order``
+    (default: the reason and the value, so that the choice is always the same);
+    ``why`` is ``reason too short`` or ``superseded``.
+    """
     justified = F.coalesce(F.length("override_reason") >= fixed.MIN_REASON_CHARS, F.lit(False))
-    good = overrides.filter(justified).select(*keys, "override_value", "override_reason", F.lit(True).alias("_overridden"))
+    at = F.struct(*(order or []), "override_reason", "override_value")
+    newest = overrides.filter(justified).groupBy(*keys).agg(F.max(F.struct(at.alias("at"), "override_value", "override_reason")).alias("_o"))
+    good = newest.select(*keys, "_o.override_value", "_o.override_reason", F.lit(True).alias("_overridden"))
     joined = fields.join(good, keys, "left").withColumn("is_overridden", F.coalesce("_overridden", F.lit(False))).drop("_overridden")
     effective = joined.withColumn("effective_value", F.when(F.col("is_overridden"), F.col("override_value")).otherwise(F.col("field_value")))
-    return effective, overrides.filter(~justified)
+    late = overrides.filter(justified).join(newest.select(*keys, F.col("_o.at").alias("_at")), keys).filter(~at.eqNullSafe(F.col("_at"))).drop("_at")
+    return effective, overrides.filter(~justified).withColumn("why", F.lit("reason too short")).unionByName(
+        late.withColumn("why", F.lit("superseded")).select(*overrides.columns, "why"))
 
 
 def extraction_summary(documents: DataFrame, fields: DataFrame) -> DataFrame:

@@ -134,7 +134,9 @@ def _(t):
 
 
 OVERRIDES = """select document_id, field_name, field_ordinal, '{"value": "fixed"}' as override_value,
-   case when confidence < 0.5e0 then 'verified by phone' else 'typo' end as override_reason from v_fields where field_name = 'annual_revenue'"""
+   case when confidence < 0.5e0 then 'verified by phone' else 'typo' end as override_reason, 1 as asked from v_fields where field_name = 'annual_revenue'
+  union all select document_id, field_name, field_ordinal, '{"value": "fixed again"}', 'verified by letter', 2 from v_fields where field_name = 'annual_revenue' and document_id % 3 = 0
+  union all select document_id, field_name, field_ordinal, '{"value": "fixed last"}', 'hm', 3 from v_fields where field_name = 'annual_revenue' and document_id % 5 = 0"""
 
 
 def overrides(t):
@@ -144,15 +146,18 @@ def overrides(t):
 
 @query("e10_effective_values", "v_fields", [("o", OVERRIDES)], """
 select f.document_id, f.field_name, o.document_id is not null as is_overridden, coalesce(override_value, field_value) as effective_value
-from v_fields f left join o on f.document_id = o.document_id and f.field_ordinal = o.field_ordinal and length(override_reason) >= 10""")
+from v_fields f left join (select document_id, field_ordinal, arg_max(override_value, asked) as override_value from o where length(override_reason) >= 10 group by all) o
+   on f.document_id = o.document_id and f.field_ordinal = o.field_ordinal""")
 def _(t):
-    return E.apply_overrides(t.v_fields, overrides(t), ["document_id", "field_name", "field_ordinal"])[0].select(
+    return E.apply_overrides(t.v_fields, overrides(t), ["document_id", "field_name", "field_ordinal"], ["asked"])[0].select(
         "document_id", "field_name", "is_overridden", "effective_value")
 
 
-@query("e10_rejected_overrides", "v_fields", [("o", OVERRIDES)], "select document_id, override_reason from o where length(override_reason) < 10")
+@query("e10_rejected_overrides", "v_fields", [("o", OVERRIDES)], """
+select document_id, override_reason, case when length(override_reason) < 10 then 'reason too short' else 'superseded' end as why
+from (select *, max(asked) filter (where length(override_reason) >= 10) over (partition by document_id) as last from o) where length(override_reason) < 10 or asked < last""")
 def _(t):
-    return E.apply_overrides(t.v_fields, overrides(t), ["document_id", "field_name", "field_ordinal"])[1].select("document_id", "override_reason")
+    return E.apply_overrides(t.v_fields, overrides(t), ["document_id", "field_name", "field_ordinal"], ["asked"])[1].select("document_id", "override_reason", "why")
 
 
 @query("e11_extraction_summary", "v_documents v_fields", [UNWRAPPED], f"""
