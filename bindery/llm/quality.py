@@ -30,7 +30,8 @@ from bindery.llm.common import mix, once, written
 
 ORDER = 5
 BITS = 24
-SPREAD = 10.0  # a band reaches so many interquartile ranges beyond the quartiles
+SPREAD = 3.0  # a band reaches so many interquartile ranges beyond the quartiles: the usual bound of what lies far out
+LEAST = 0.02  # of the logarithm: a band is no narrower, as in a corpus of equal texts
 WORDS = 200_000  # distinct words of a language whose scores a worker remembers
 UNKNOWN = "und"
 BLANKS = " \t\n\x0b\x0c\r"  # fixed value: what separates words
@@ -135,6 +136,7 @@ def grams_of(words: list[tuple[str, int]]) -> tuple[list[str], list[int]]:
 def _counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """(lang, gram, n): n-grams of ``ORDER`` characters, shorter ones only at word starts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once("n-grams", dict)
         words: dict[str, Counter] = {}
         grams: dict[str, Counter] = {}
 
@@ -338,7 +340,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = written(judged.withColumn("base_failed", failed), "judged")
     quartiles = judged.filter("not base_failed").groupBy("lang").agg(F.percentile_approx(F.log("perplexity"), [0.25, 0.75], 10_000).alias("q"))
-    reach = spread * (F.col("q")[1] - F.col("q")[0]) + F.lit(0.1)
+    reach = F.greatest(spread * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST))
     bands = quartiles.select("lang", F.exp(F.col("q")[0] - reach).alias("low"), F.exp(F.col("q")[1] + reach).alias("high"))
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     # a row a language

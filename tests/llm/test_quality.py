@@ -94,3 +94,11 @@ def test_edges(spark):
     assert len(rows) == 11 and not any(r.kept for r in rows if (r.n_words or 0) < 50)
     assert next(r for r in rows if r.doc_id == 2).n_words == 0
     assert quality.judge(helpers.documents(spark, [])).count() == 0
+
+
+def test_bands_reject_what_labels_call_bad(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    rows = quality.judge(docs).filter("not base_failed").join(labels, "doc_id").selectExpr("quality", "cast(kept as int) as k").groupBy("quality").agg({"k": "avg"}).collect()
+    kept = {r[0]: r[1] for r in rows}
+    assert kept[1] > 0.985 and kept[0] < 0.75

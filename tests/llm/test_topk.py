@@ -38,3 +38,20 @@ def test_few_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []
     assert run(spark, [(0, [1.0, 2.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0])]) == [(0, 1, 2, 1048576), (0, 2, 3, 1048576)]
+
+
+def test_negative_ids_and_large_components(spark):
+    rng = random.Random(3)
+    rows = [(i * 7 - 500, [rng.choice([-1, 1]) * 2.0 ** rng.randint(0, 24) for _ in range(6)]) for i in range(150)]
+    rows += [(-2**63 + 8, [3e38] * 6), (2**62, [-3e38] * 6), (-1, [1e6] * 6)]
+
+    def exact(v):
+        return [int(np.floor(np.float64(np.float32(x)) * 1024)) for x in v]
+
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            best = sorted((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(exact(v), exact(w))))), i) for i, w in rows if i != q)[:10]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    got = run(spark, rows, k=10, every=20)
+    assert got == sorted(want) and any(q < 0 for q, *_ in got)
