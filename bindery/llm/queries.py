@@ -48,6 +48,55 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(table(spark, sf_dir, "conversations"))
 
 
+#: Every message of the given table once more as mail: an answer that quotes it at the first level and the message before it at the second.
+QUOTING = r"""
+select conv_id, turn * 2 as turn, role, text from conversations
+union all select conv_id, turn * 2 + 1, 'mailer', 'On Monday, ' || coalesce(role, 'somebody') || ' wrote:' || chr(10)
+  || '> ' || replace(replace(text, '. ', '.' || chr(10)), chr(10), chr(10) || '> ') || chr(10) || coalesce('> > ' || replace(before, chr(10), chr(10) || '> > ') || chr(10), '')
+  || chr(10) || 'Answer to number ' || cast(turn as string) || ' of conversation ' || cast(conv_id as string)
+from (select *, lag(text) over (partition by conv_id order by turn) as before from conversations)"""
+
+
+def op8_nested_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    return chat.conversations(spark.sql(QUOTING))
+
+
+def chat_sql(messages: str) -> str:
+    """The linking of quotations as DuckDB SQL over a table of messages."""
+    norm = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    parts = r"list_concat([{0}], string_split_regex({0}, '\n\s*\n'), string_split({0}, chr(10)), string_split(regexp_replace(regexp_replace({0}, '\n+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))"
+    return rf"""
+        with recursive m as (select conv_id as conv, turn, role, coalesce(text, '') as text, row_number() over () as id from {messages}),
+        raw as (select id, conv, turn, unnest(a) as line, generate_subscripts(a, 1) as i
+                from (select *, string_split_regex(text, '\r\n?|\n') as a from m where contains(text, '>'))),
+        marked as (select id, conv, turn, i, regexp_replace(line, '^\s{{0,3}}((?:>[ \t]?)+)', '') as line,
+                     length(regexp_replace(regexp_extract(line, '^\s{{0,3}}((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) as depth from raw),
+        followed as (select *, coalesce(lead(depth) over (partition by id order by i), 0) > 0 as before_quote,
+                       i - row_number() over (partition by id, depth order by i) as run from marked),
+        kept as (select id, string_agg(line, chr(10) order by i) as own from followed
+                 where depth = 0 and not (before_quote and regexp_matches(line,
+                   '(?i)^[^\n]{{0,200}}\b(?:wrote|said|writes|schrieb|escribió|a écrit)\b[^\n]{{0,20}}:\s*$')) group by id),
+        own as (select m.id, conv, turn, role, regexp_replace(regexp_replace(case when contains(text, '>') then coalesce(own, '') else text end,
+                  '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as own from m left join kept using (id)),
+        quoted as (select conv, turn, depth, string_agg(line, chr(10) order by i) as passage from followed where depth > 0 group by id, conv, turn, depth, run),
+        asked as (select distinct conv, turn, depth, {norm.format("part")} as words from (select conv, turn, depth, unnest({parts.format("passage")}) as part from quoted)
+                  where conv is not null and turn is not null),
+        sources as (select conv, {norm.format("part")} as words, min(turn) as source from (select conv, turn, unnest({parts.format("own")}) as part from own
+                  where conv in (select conv from asked) and turn is not null) group by all),
+        found as (select a.conv, a.turn, depth, source, count(*) as pieces from asked a join sources s on a.conv = s.conv and a.words = s.words
+                  where a.words != '' and source < a.turn group by all),
+        links as (select conv, turn, arg_max(source, struct_pack(d := -depth, v := pieces, s := source)) as reply_to, sum(pieces)::bigint as linked,
+                    string_agg(depth || ':' || source, ',' order by depth, source) as quoted_turns from found group by all),
+        chain as (select conv, turn, reply_to as up from links union all
+                  select chain.conv, chain.turn, links.reply_to from chain join links on links.conv = chain.conv and links.turn = chain.up),
+        roots as (select conv, turn, min(up) as root from chain group by all)
+        select o.conv as conv_id, o.turn, o.role, reply_to, coalesce(root, o.turn) as thread_turn, coalesce(q, 0) as n_quote_lines,
+          coalesce(linked, 0) as n_linked, coalesce(quoted_turns, '') as quoted_turns, own as text, '<|' || coalesce(o.role, 'unknown') || '|>' || chr(10) || own as formatted
+        from own o left join (select id, count(*) as q from followed where depth > 0 group by id) using (id)
+          left join links l on l.conv = o.conv and l.turn = o.turn left join roots r on r.conv = o.conv and r.turn = o.turn"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -73,7 +122,7 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_vector_packing, op3_exact_top_k, op4_pfair_mixing, op5_suffix_dedup, op6_secret_scans,
-    op7_html_extraction, op8_chat_formatting, op9_quality_rules, op10_language_id,
+    op7_html_extraction, op8_chat_formatting, op8_nested_quotes, op9_quality_rules, op10_language_id,
     op11_license_scans, op12_source_divergence, op13_tokenizer_alignment)}
 
 ORACLES = {
@@ -88,36 +137,8 @@ ORACLES = {
         reached as (select doc_id, doc_id as other from w union select links.y, reached.other from reached join links on links.x = reached.doc_id)
         select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
         from (select doc_id, min(other) as component_id from reached group by doc_id) left join n using (doc_id)""",
-    "op8_chat_formatting": r"""
-        with recursive m as (select conv_id as conv, turn, role, coalesce(text, '') as text, row_number() over () as id from conversations),
-        raw as (select id, conv, turn, unnest(a) as line, generate_subscripts(a, 1) as i
-                from (select *, string_split_regex(text, '\r\n?|\n') as a from m where contains(text, '>'))),
-        marked as (select id, conv, turn, i, regexp_replace(line, '^\s{0,3}((?:>[ \t]?)+)', '') as line,
-                     length(regexp_replace(regexp_extract(line, '^\s{0,3}((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) as depth from raw),
-        followed as (select *, coalesce(lead(depth) over (partition by id order by i), 0) > 0 as before_quote,
-                       i - row_number() over (partition by id, depth order by i) as run from marked),
-        kept as (select id, string_agg(line, chr(10) order by i) as own from followed
-                 where depth = 0 and not (before_quote and regexp_matches(line,
-                   '(?i)^[^\n]{0,200}\b(?:wrote|said|writes|schrieb|escribió|a écrit)\b[^\n]{0,20}:\s*$')) group by id),
-        own as (select m.id, conv, turn, role, regexp_replace(regexp_replace(case when contains(text, '>') then coalesce(own, '') else text end,
-                  '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as own from m left join kept using (id)),
-        quoted as (select conv, turn, line from followed where depth = 1
-                   union all select conv, turn, string_agg(line, ' ' order by i) from followed where depth = 1 group by id, conv, turn, run),
-        asked as (select distinct conv, turn, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) as words from quoted
-                  where conv is not null and turn is not null),
-        parts as (select conv, turn, unnest(list_concat([own], string_split_regex(own, '\n\s*\n'), string_split(own, chr(10)))) as part from own
-                  where conv in (select conv from asked) and turn is not null),
-        sources as (select conv, trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) as words, min(turn) as source from parts group by all),
-        votes as (select a.conv, a.turn, source, count(*) as votes from asked a join sources s on a.conv = s.conv and a.words = s.words
-                  where a.words != '' and source < a.turn group by all),
-        links as (select conv, turn, arg_max(source, struct_pack(v := votes, s := source)) as reply_to, sum(votes)::bigint as linked from votes group by all),
-        chain as (select conv, turn, reply_to as up from links union all
-                  select chain.conv, chain.turn, links.reply_to from chain join links on links.conv = chain.conv and links.turn = chain.up),
-        roots as (select conv, turn, min(up) as root from chain group by all)
-        select o.conv as conv_id, o.turn, o.role, reply_to, coalesce(root, o.turn) as thread_turn, coalesce(q, 0) as n_quote_lines,
-          coalesce(linked, 0) as n_linked, own as text, '<|' || coalesce(o.role, 'unknown') || '|>' || chr(10) || own as formatted
-        from own o left join (select id, count(*) as q from followed where depth > 0 group by id) using (id)
-          left join links l on l.conv = o.conv and l.turn = o.turn left join roots r on r.conv = o.conv and r.turn = o.turn""",
+    "op8_chat_formatting": chat_sql("conversations"),
+    "op8_nested_quotes": chat_sql(f"({QUOTING})"),
     "op3_exact_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
                    where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),

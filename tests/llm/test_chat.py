@@ -20,6 +20,7 @@ def test_links_and_order(spark):
     assert {t: by[1, t].reply_to for t in range(7)} == {0: None, 1: None, 2: 0, 3: 2, 4: 1, 5: None, 6: None}
     order = sorted((r.thread_turn, r.turn) for r in rows if r.conv_id == 1)
     assert [t for _, t in order] == [0, 2, 3, 1, 4, 5, 6]
+    assert by[1, 3].quoted_turns == "1:2,2:0" and by[1, 3].n_linked == 2 and by[1, 2].quoted_turns == "1:0"
     assert by[1, 2].text == "Yes.\n\nGood." and by[1, 3].text == "Fine then." and by[1, 6].text == "" and by[2, 1].text == "a > b"
     assert by[1, 5].formatted == "<|unknown|>\nHm." and by[1, 5].n_quote_lines == 1 and by[1, 5].n_linked == 0
     assert by[None, 0].reply_to is None and by[3, None].text == ""
@@ -44,8 +45,27 @@ def test_like_the_sql(spark):
     from checks.parity import rows_sorted
 
     con = duckdb.connect()
-    con.register("conversations", pd.DataFrame(MAIL, columns=["conv_id", "turn", "role", "text", "lines"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.register("conversations", pd.DataFrame(MAIL + [(c + 5, *rest) for c, *rest in DEEP], columns=["conv_id", "turn", "role", "text", "lines"]).astype({"conv_id": "Int64", "turn": "Int64"}))
     found = con.execute(ORACLES["op8_chat_formatting"])
     columns = [d[0] for d in found.description]
-    df = chat.conversations(spark.createDataFrame(MAIL, SHAPE))
+    df = chat.conversations(spark.createDataFrame(MAIL + [(c + 5, *rest) for c, *rest in DEEP], SHAPE))
     assert rows_sorted(df.columns, [tuple(r) for r in df.collect()]) == rows_sorted(columns, found.fetchall())
+
+
+DEEP = [(1, 0, "a", "First point, which is long. Second point!\n\nAnother paragraph, over\ntwo lines.\n\nThe end.", 1),
+        (1, 1, "b", "> Another paragraph, over two\n> lines.\n>\n> The end.\nI see.", 1),  # wrapped anew
+        (1, 2, "c", ">> Second\n>> point!\n> I see.\nMe too.", 1), (1, 3, "d", ">>> First point, which\n>>> is long.\n>> nothing of this was said\n> nor this\nSo.", 1),
+        (1, 4, "e", "> > > > The end.\nDeep.", 1)]
+
+
+def test_every_depth_and_wrapped_paragraphs(spark):
+    by = {r.turn: r for r in chat.conversations(spark.createDataFrame(DEEP, SHAPE)).collect()}
+    assert [by[t].quoted_turns for t in range(5)] == ["", "1:0", "1:1,2:0", "3:0", "4:0"]
+    assert [by[t].reply_to for t in range(5)] == [None, 0, 1, 0, 0]
+    assert {r.thread_turn for r in by.values()} == {0} and by[3].text == "So."
+
+
+def test_clashing_names(spark):
+    rows = [(1, 0, "u", "One line said here.", "x", 1, None), (1, 1, "u", "> One line said here.\nok", "y", 2, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv string, own long, hash string")
+    assert [r.reply_to for r in chat.conversations(df).orderBy("turn").collect()] == [None, 0]
