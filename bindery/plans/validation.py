@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from bindery.operators import validate as V
+from bindery.operators.issue_evidence import issue_evidence
 from bindery.session import shared_dir
 
 
@@ -17,6 +18,7 @@ class Validation:
     conflicts: DataFrame           # the CONFLICT rows among them
     members: DataFrame             # documents and values of each conflict
     report: DataFrame              # counts per submission
+    evidence: DataFrame            # documents and values of each issue
 
 
 def _table(df: DataFrame, path: str) -> DataFrame:
@@ -50,4 +52,5 @@ def run(fields: DataFrame, documents: DataFrame, submissions: DataFrame, as_of:
         V.field_violations(assembled, as_of), V.date_order_violations(facts), V.revenue_per_employee_violations(facts),
         conflicts, V.missing_everywhere(submissions, facts), V.deduplicate(V.missing_in_documents(facts)),
         V.missing_forms(V.lines_requested(assembled), types), V.submission_rule_violations(submissions, types)])
-    return Validation(violations, conflicts, V.conflict_members(candidates, conflicts), V.report_counts(submissions, violations))
+    members = V.conflict_members(candidates, conflicts)
+    return Validation(violations, conflicts, members, V.report_counts(submissions, violations), issue_evidence(violations, members, assembled))

@@ -6,7 +6,7 @@ from bindery import fixed
 from bindery.functions import values as X
 from bindery.functions.similarity import sequence_ratio
 from bindery.functions.text import title_case
-from bindery.operators import catalogue, relational as R, validate as V
+from bindery.operators import catalogue, issue_evidence as IE, relational as R, validate as V
 from bindery.plans import validation as P
 from checks.q_relational import VERSIONED
 from checks.registry import lit, lits, query
@@ -334,6 +334,30 @@ def _(t):
     return fresh.select("submission_id", "issue_type", "severity", "title", "description", "document_id", "is_resolved", "issue_id")
 
 
+KEY = "sha256(" + " || chr(31) || ".join(f"coalesce(cast({{p}}{c} as varchar), chr(30))" for c in IE.CONTENT) + ")"
+EVIDENCE = [*ALL, MEMBERS, ("doc_values", "select document_id, field_name, arg_max(value, field_ordinal) as value, count(*) as occurrences from assembled group by all"),
+            ("evidence", f"""select distinct v.submission_id, {KEY.format(p='v.')} as issue_key, m.document_id, m.value, m.occurrences from violations v join members m using (submission_id, field_name) where issue_type = 'CONFLICT'
+  union all select distinct v.submission_id, {KEY.format(p='v.')}, v.document_id, d.value, coalesce(d.occurrences, 0) from violations v left join doc_values d on d.document_id = v.document_id and d.field_name = v.field_name
+    where issue_type <> 'CONFLICT' and v.document_id is not null""")]
+
+
+@query("g17_issue_evidence", MISSING_VIEWS, EVIDENCE, "select * from evidence")
+def _(t):
+    return validation(t, compare_texts=False).evidence
+
+
+STORED = "select submission_id, issue_type, cast(null as string) as field_name, cast(issue_id as string) as title, cast(null as string) as description, issue_id as document_id, is_resolved, issue_id from v_issues"
+
+
+@query("g24_refresh_evidence", MISSING_VIEWS + " v_issues", [*EVIDENCE, ("stored", STORED)], f"""
+select submission_id, {KEY.format(p='stored.')} as issue_key, document_id, 'as stored' as value, 1::bigint as occurrences from stored where is_resolved union all select * from evidence""")
+def _(t):
+    t.v_issues.createOrReplaceTempView("v_issues")
+    stored = IE.with_key(t.spark.sql(STORED))
+    before = stored.select("submission_id", "issue_key", "document_id", F.lit("as stored").alias("value"), F.lit(1).cast("long").alias("occurrences"))
+    return IE.refresh_evidence(before, stored, validation(t, compare_texts=False).evidence, t.v_submissions)
+
+
 @query("g25_status_transition", MISSING_VIEWS, ALL, """
 select submission_id, case when error_count = 0 then 'READY_FOR_REVIEW' else 'VALIDATING_DATA' end as status from report""")
 def _(t):
