@@ -237,6 +237,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield out
 
     shape = "lang_pred string, score double" + (", spans array<struct<lang string, first_word int, words int, letters long>>" if spans else "")
-    label = F.pandas_udf(run, shape)
+    # not "deterministic" to the optimizer: a filter on the result must not label the texts a second time, in a worker of its own
+    label = F.pandas_udf(run, shape).asNondeterministic()
     kept = [F.col(c) for c in docs.columns] if carry else [F.col(id_col)]
     return docs.select(*kept, label(F.col(text_col)).alias("_found")).select(*[F.col(c) for c in (docs.columns if carry else [id_col])], "_found.*")
