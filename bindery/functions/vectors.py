@@ -63,7 +63,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([len(flat) // batch.num_rows], pa.int32())], names=["ids", "matrix", "dim"])
 
 
-def _best(k: int, floor: float, digits: int, q_type: pa.DataType, c_type: pa.DataType):
+def best_of_blocks(k: int, floor: float, digits: int, q_type: pa.DataType, c_type: pa.DataType):
+    """Rows (ids, matrix, dim, q_ids, q_matrix, q_dim) -> the ``k`` best (query_id, chunk_id, score) of each pair of matrices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -104,7 +105,7 @@ def block_top_k(queries: DataFrame, chunks: DataFrame, k: int, floor: float,
     # about queries_per_block vectors each, whatever the number of queries
     packed_q = q.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(
         "block", F.col("rows.id").alias("q_ids"), F.col("rows.v").alias("vs"))
-    packed_q = packed_q.select("block", "q_ids", _matrix("vs").alias("q_matrix"), F.size(F.element_at("vs", 1)).alias("q_dim")) \
+    packed_q = packed_q.select("block", "q_ids", matrix_of("vs").alias("q_matrix"), F.size(F.element_at("vs", 1)).alias("q_dim")) \
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     q_type, c_type = queries.schema[0].dataType, chunks.schema[0].dataType
     packed = T.StructType([T.StructField("ids", T.ArrayType(c_type)), T.StructField("matrix", T.BinaryType()), T.StructField("dim", T.IntegerType())])
@@ -113,9 +114,9 @@ def block_top_k(queries: DataFrame, chunks: DataFrame, k: int, floor: float,
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     pairs = packed_c.join(packed_q, ["block", "slice"]).select("ids", "matrix", "dim", "q_ids", "q_matrix", "q_dim")
     found = T.StructType([T.StructField("query_id", q_type), T.StructField("chunk_id", c_type), T.StructField("score", T.DoubleType())])
-    return pairs.mapInArrow(_best(k, floor, digits, to_arrow_type(q_type), to_arrow_type(c_type)), found)
+    return pairs.mapInArrow(best_of_blocks(k, floor, digits, to_arrow_type(q_type), to_arrow_type(c_type)), found)
 
 
 @F.pandas_udf(T.BinaryType())
-def _matrix(vectors: pd.Series) -> pd.Series:
+def matrix_of(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda vs: np.stack([np.asarray(v, dtype="float32") for v in vs]).tobytes())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions.text import is_blank
 from bindery.functions.vectors import encode
-from bindery.operators import ingest as I, knowledge as K
+from bindery.operators import ingest as I, knowledge as K, vector_index as VI
 from bindery.session import shared_dir
 from checks.registry import query
 
@@ -109,6 +109,23 @@ def _(t):
     return hits(t).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "similarity")
 
 
+@query("h05_clustered_index", "v_knowledge_documents v_knowledge_chunks", [ELIGIBLE], "select count(*) as n_vectors, true as all_within from eligible")
+def _(t):
+    """Every eligible vector is in one cluster, and no farther from its centroid than the radius says."""
+    chunks = index(t)
+    made = VI.build(chunks)
+    members = made.blocks.select("cluster", F.explode("ids").alias("chunk_id")).join(chunks.select("chunk_id", "embedding"), "chunk_id").join(F.broadcast(made.clusters), "cluster")
+    apart = F.sqrt(F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+    return members.agg(F.count(F.lit(1)).alias("n_vectors"), F.bool_and(apart <= F.col("radius") + 1e-6).alias("all_within"))
+
+
+@query("h07_search_by_index", "v_knowledge_documents v_knowledge_chunks v_queries", [ELIGIBLE, SCORED],
+       "select query_id, rank, chunk_id, similarity from hits")
+def _(t):
+    found = VI.search(VI.build(index(t)), t.v_queries)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "similarity")
+
+
 @query("h07_string_ids", "v_knowledge_documents v_knowledge_chunks v_queries", [ELIGIBLE, SCORED],
        "select 'q' || lpad(cast(query_id as varchar), 12, '0') as query_id, rank, 'c' || lpad(cast(chunk_id as varchar), 12, '0') as chunk_id, similarity from hits")
 def _(t):
