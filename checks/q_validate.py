@@ -220,9 +220,9 @@ def _(t):
     return V.date_conflicts(groups(t))
 
 
-# The texts that the fixture's text fields take; how alike two are is the standard library's word. A word and a number have nothing in common.
-SAID = ["acme roofing", "acme roofing inc", "borealis foods", "notanemail", "abexamplecom", "gl property umbrella", "workers comp", "unknown"]
-ALIKE = "(values " + ", ".join(f"({lit(a)}, {lit(b)}, {ratio(a, b)!r}e0)" for a in SAID for b in SAID if a < b) + ") as r(a, b, ratio)"
+# The texts that the fixture's text fields take, percentages included; which of them are alike is the standard library's word.
+SAID = ["acme roofing", "acme roofing inc", "borealis foods", "notanemail", "abexamplecom", "gl property umbrella", "workers comp", "unknown", *map(str, range(130))]
+ALIKE = "(values " + ", ".join(f"({lit(a)}, {lit(b)}, {r!r}e0)" for a in SAID for b in SAID if a < b and (r := ratio(a, b)) >= fixed.SIMILAR_RATIO) + ") as r(a, b, ratio)"
 TEXTUAL = ("text_conflicts", f"""select submission_id, 'CONFLICT' as issue_type, 'ERROR' as severity, field_name, 'Conflicting information for ''' || {title('field_name')} || '''' as title,
    'Documents provide different values for ''' || field_name || ''': ' || shown || '.' as description,
    'Verify the correct value for ''' || field_name || ''' with the broker.' as suggested_action, cast(null as bigint) as document_id
