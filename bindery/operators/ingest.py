@@ -129,11 +129,16 @@ def tables_text(tables: DataFrame, key: str = "document_id") -> DataFrame:
     return tables.groupBy(key).agg(F.array_join(parts, "\n\n").alias("tables_text"))
 
 
-def preview_text(banner: Column, headers: Column, rows: Column, limit: int = fixed.PREVIEW_ROWS) -> Column:
-    """Banner, header, first rows, and how many more there are."""
+def filled_rows(cells: Column) -> Column:
+    """Rows of a sheet that have a cell with something in it."""
+    return F.filter(cells, lambda row: F.exists(row, lambda c: F.coalesce(c != "", F.lit(False))))
+
+
+def preview_text(banner: Column, headers: Column, rows: Column, limit: int = fixed.PREVIEW_ROWS, tell_more: bool = True) -> Column:
+    """Banner, header and first rows; how many more there are is told of files, not of sheets."""
     head = F.array(banner, F.array_join(headers, " | "))
     shown = F.transform(F.slice(rows, 1, limit), lambda row: F.array_join(row, " | "))
-    more = F.when(F.size(rows) > limit, F.array(F.concat(F.lit("... ("), (F.size(rows) - limit).cast("string"), F.lit(" more rows)")))) \
+    more = F.when((F.size(rows) > limit) & F.lit(tell_more), F.array(F.concat(F.lit("... ("), (F.size(rows) - limit).cast("string"), F.lit(" more rows)")))) \
         .otherwise(F.expr(EMPTY))
     return clean_text(F.when(F.size(headers) == 0, banner).otherwise(F.array_join(F.concat(head, shown, more), "\n")))
 

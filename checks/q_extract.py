@@ -39,6 +39,15 @@ def _(t):
         "document_id", "document_type", "prompt_used", "pii_redactions", "was_truncated")
 
 
+@query("e02_custom_prompts", "v_insurance_text", [TYPED], """
+select document_id, 'List the claims of' || chr(10) || text || chr(10) || 'as a table' as with_place,
+  'Which cover?' || chr(10) || chr(10) || 'DOCUMENT TEXT:' || chr(10) || '<document_text>' || chr(10) || text || chr(10) || '</document_text>' as appended from typed""")
+def _(t):
+    docs = typed(t)
+    placed = E.prompt_requests(docs, "List the claims of\n{document_text}\nas a table").withColumnRenamed("prompt", "with_place")
+    return placed.join(E.prompt_requests(docs, "Which cover?").withColumnRenamed("prompt", "appended"), "document_id")
+
+
 TEMPLATES = [("loss_run", "Claims of ${document_id}:\n${document_text}"), ("acord_gl", "Liability {document_id} [{field_list}] {document_text}"),
              ("generic", "{document_type}: {field_list}\n{rag_context}\n{document_text}")]
 

@@ -191,6 +191,17 @@ def _(t):
     return tables(t).select("table_id", I.preview_text(F.lit("[CSV: t.csv]"), F.col("headers"), F.col("rows"), 2).alias("preview"))
 
 
+@query("a10_sheet_preview", "v_raw_tables", [TABLE], rf"""
+select table_id, regexp_replace('[Sheet: S' || cast(table_id as varchar) || ']' || chr(10) || array_to_string(headers, ' | ') || chr(10) || array_to_string({ROWTEXT.replace('(rows', '(rows[1:2]')}, chr(10)),
+   ' +(\n|$)', '\1', 'g') as page_text from tabled""")
+def _(t):
+    """Sheets with blank rows between: these are no rows of the table."""
+    spaced = t.v_raw_tables.withColumn("raw_text", F.concat(F.lit("||\n"), F.replace("raw_text", F.lit("\n"), F.lit("\n||\n\n"))))
+    sheets = spaced.selectExpr("table_id", RAW.replace("\n", "\\n")).withColumn("raw", I.filled_rows(F.col("raw")))
+    banner = F.concat(F.lit("[Sheet: S"), F.col("table_id").cast("string"), F.lit("]"))
+    return I.to_table(sheets).select("table_id", I.preview_text(banner, F.col("headers"), F.col("rows"), 2, tell_more=False).alias("page_text"))
+
+
 CLEAN = r"trim(regexp_replace(regexp_replace(replace({c}, E'\r\n', E'\n'), '[ \t\r\f\v]+(\n|$)', '\1', 'g'), '\n{{4,}}', E'\n\n\n', 'g'), E' \n\t\r')"
 PADDED = "replace(text, '. ', '.  ' || chr(10) || ' ' || chr(10) || chr(10) || chr(9) || chr(10) || chr(10))"
 

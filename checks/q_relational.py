@@ -59,6 +59,15 @@ def _(t):
     return in_order(current.select("document_id", "original_filename", "version_number"))
 
 
+@query("b04_all_versions_of_submission", "v_documents", [VERSIONED], """
+select document_id, original_filename, version_number, is_current_version, row_number() over (order by uploaded_at, document_id) as place from versioned
+where submission_id = (select min(o_orderkey) from orders)""")
+def _(t):
+    first = t.orders.agg(F.min("o_orderkey")).scalar()
+    chosen = R.documents_of(R.assign_versions(t.v_documents.filter(F.col("submission_id") == first)), first, current_only=False)
+    return in_order(chosen.select("document_id", "original_filename", "version_number", "is_current_version"))
+
+
 @query("b05_assign_versions", "v_documents", [VERSIONED],
        "select document_id, submission_id, original_filename, version_number, is_current_version from versioned")
 def _(t):
