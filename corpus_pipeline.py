@@ -13,9 +13,15 @@ from bindery.llm.common import broadcast_if_small, written
 from bindery.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH = 1000  # rows of texts or shingle sets that pass to Python at a time, which bounds what tasks hold of them
 SURE = 0.5  # least share of the letters that must be in one language
 
 
+def _bounded(spark: SparkSession) -> None:
+    """This job's rows are whole texts and sets: fewer of them than Spark's default go to Python in one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and those without a main language; a missing language is filled in.
 
@@ -23,6 +29,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first in alphabetical order. Rows with a null id or source, and repeated rows,
     are judged by their text like any other.
     """
+    _bounded(spark)
     found = langid.identify(docs, langid.learn(docs), carry=True)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)) \
         .withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -34,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Different texts of one id are documents of their own, each judged by its own
     text. Of rows with equal id and text one stays, that with the smallest other columns.
     """
+    _bounded(spark)
     same = (F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
     rows = docs.withColumns({"_a": F.xxhash64(*same), "_b": F.xxhash64(F.lit(7), *same)})
     names = written(rows.groupBy("doc_id", "_a", "_b").agg(F.count(F.lit(1)).alias("n")), "document-keys")
@@ -77,6 +85,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is one end id; a null id stays null on its pieces; repeated rows are
     packed once each.
     """
+    _bounded(spark)
     return packing.pack(mixing.mixed(docs), TOKENIZER)
 
 
