@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bindery.functions.text import limited
@@ -40,6 +41,7 @@ TRANSITIONS = {
 _EVENTS = {e: i for i, e in enumerate(TRANSITIONS)}
 _NEXT = np.array([[STATES.index(after) if s in legal else -1 for s in STATES] for legal, after, _ in TRANSITIONS.values()] + [[-1] * len(STATES)])
 _START = STATES.index("PENDING")
+_STEP = np.where(_NEXT < 0, np.arange(len(STATES)), _NEXT)
 
 
 def steps(states: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,41 +54,82 @@ def _codes(events: pd.Series) -> np.ndarray:
     return np.array([_EVENTS.get(e, len(_EVENTS)) for e in events], np.int64)
 
 
+def _code(event: Column) -> Column:
+    """Number of the event, one past the last for an unknown or null one."""
+    out = F.lit(len(_EVENTS))
+    for name, i in _EVENTS.items():
+        out = F.when(event == name, i).otherwise(out)
+    return out
+
+
+def _scanned(part: np.ndarray, doc: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each run of a document in a range, for each row the state after its run so far for each state before the run).
+
+    A scan by doubling: as many passes as the longest run has binary digits.
+    """
+    n = len(doc)
+    new = np.ones(n, bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])
+    firsts = np.flatnonzero(new)
+    place = np.arange(n) - np.repeat(firsts, np.diff(np.append(firsts, n)))
+    after, back = _STEP[events], 1
+    while back <= place.max():
+        at = np.flatnonzero(place >= back)
+        after[at] = np.take_along_axis(after[at], after[at - back], 1)
+        back *= 2
+    return firsts, after
+
+
 def _composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For every document of a range, the state after its run for each state before it; rows come sorted by range and place."""
-    held, states = None, None
-    rows: list[tuple] = []
+    """For the first and the last document of each range, the state after its run for each state before it.
+
+    Only these can reach beyond their range. Rows come sorted by range and place.
+    """
+    part, doc, after = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(STATES)), np.int64)  # the run that may go on
+    before = -1  # the range of the run before that one
     for batch in batches:
-        for key, event in zip(zip(batch["part"].tolist(), batch["doc"].tolist()), _codes(batch["event"])):
-            if key != held:
-                if held is not None:
-                    rows.append((*held, states.tolist()))
-                held, states = key, np.arange(len(STATES))
-            states = steps(states, event)[0]
-        if len(rows) > 20_000:
-            yield pd.DataFrame(rows, columns=["part", "doc", "after"])
-            rows = []
-    if held is not None:
-        yield pd.DataFrame([*rows, (*held, states.tolist())], columns=["part", "doc", "after"])
-
-
-def _applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every event with the states before and after; ``start`` is the state before a document's first event in its range."""
+        if not len(batch):
+            continue
+        p, d = batch["part"].to_numpy(), batch["doc"].to_numpy()
+        firsts, scan = _scanned(p, d, batch["event"].to_numpy())
+        ends = scan[np.append(firsts[1:], len(d)) - 1]
+        p, d = p[firsts], d[firsts]
+        if len(doc) and doc[0] == d[0] and part[0] == p[0]:
+            ends[0] = ends[0][after[0]]
+        elif len(doc):
+            p, d, ends = np.append(part, p), np.append(doc, d), np.vstack([after, ends])
+        edge = (np.append(before, p[:-2]) != p[:-1]) | (p[1:] != p[:-1]) if len(p) > 1 else np.empty(0, bool)
+        if edge.any():
+            yield pd.DataFrame({"part": p[:-1][edge], "doc": d[:-1][edge], "after": ends[:-1][edge].tolist()})
+        before = p[-2] if len(p) > 1 else before
+        part, doc, after = p[-1:], d[-1:], ends[-1:]
+    if len(doc):
+        yield pd.DataFrame({"part": part, "doc": doc, "after": after.tolist()})
+
+
+def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every event with the states before and after; ``_start`` is the state before a document's first event in its range."""
     held, state = None, _START
-    names = np.array(STATES, object)
+    names = pa.array(STATES)
     for batch in batches:
-        n = len(batch)
-        before, after, legal = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, bool)
-        start = batch["start"].to_numpy()
-        for i, (key, event) in enumerate(zip(zip(batch["part"].tolist(), batch["doc"].tolist()), _codes(batch["event"]))):
-            if key != held:
-                held, state = key, start[i]
-            before[i] = state
-            to = _NEXT[event, state]
-            legal[i] = to >= 0
-            state = to if legal[i] else state
-            after[i] = state
-        yield pd.DataFrame({"seq": batch["seq"], "before": names[before], "after": names[after], "legal": legal})
+        if not batch.num_rows:
+            continue
+        part, doc, events, start = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_part", "_doc", "_code", "_start")]
+        firsts, scan = _scanned(part, doc, events)
+        begun = start[firsts].astype(np.int64)
+        if held == (part[0], doc[0]):
+            begun[0] = state
+        n = len(doc)
+        after = scan[np.arange(n), np.repeat(begun, np.diff(np.append(firsts, n)))]
+        before = np.append(0, after[:-1])
+        before[firsts] = begun
+        held, state = (part[-1], doc[-1]), after[-1]
+        kept = [i for i, c in enumerate(batch.schema.names) if c not in _HELPERS]
+        columns = [batch.column(i) for i in kept] + [names.take(pa.array(before)), names.take(pa.array(after)), pa.array(_NEXT[events, before] >= 0)]
+        yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[i] for i in kept] + ["status_before", "status_after", "is_legal"])
+
+
+_HELPERS = ("_part", "_seq", "_doc", "_code", "_start")
 
 
 def fold(events: DataFrame, order: list[str]) -> DataFrame:
@@ -101,23 +144,23 @@ def fold(events: DataFrame, order: list[str]) -> DataFrame:
     keys = ["document_id", *order]
     placed = events.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_seq", F.monotonically_increasing_id())
     placed.write.parquet(path)
-    stored = spark.read.schema(placed.schema).parquet(path)
-    # the same rows as numbers and texts; part: the range a row lies in
-    slim = stored.select(F.xxhash64(F.col("document_id").isNull(), "document_id").alias("doc"), F.col("_seq").alias("seq"),
-                         F.shiftright("_seq", 33).alias("part"), F.coalesce("event", F.lit("")).alias("event"))
-    dealt = slim.repartition("part").sortWithinPartitions("part", "seq")
+    # part: the range a row lies in
+    stored = spark.read.schema(placed.schema).parquet(path).withColumns({
+        "_part": F.shiftright("_seq", 33), "_doc": F.xxhash64(F.col("document_id").isNull(), "document_id"), "_code": _code(F.col("event"))})
+    slim = stored.select(F.col("_part").alias("part"), "_seq", F.col("_doc").alias("doc"), F.col("_code").alias("event"))
+    dealt = slim.repartition("part").sortWithinPartitions("part", "_seq").drop("_seq")
     edges = dealt.mapInPandas(_composed, "part long, doc long, after array<long>")
     # only documents that span ranges need a start other than PENDING: at most two for each range
     spans = Window.partitionBy("doc")
     several = edges.withColumn("_n", F.count(F.lit(1)).over(spans)).filter("_n > 1")
     told = several.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("part", "after"))).alias("runs"))  # a run for each range
-    starts = told.select("doc", F.posexplode("runs").alias("i", "run"), "runs").select("doc", F.col("run.part").alias("part"), F.aggregate(
-        F.slice("runs", F.lit(1), F.col("i")), F.lit(_START).cast("long"), lambda s, r: F.get(r.after, s.cast("int"))).alias("start"))
-    begun = slim.join(starts, ["doc", "part"], "left").withColumn("start", F.coalesce("start", F.lit(_START))) \
-        .repartition("part").sortWithinPartitions("part", "seq")
-    states = begun.mapInPandas(_applied, "seq long, before string, after string, legal boolean")
-    return stored.join(states.select(F.col("seq").alias("_seq"), F.col("before").alias("status_before"), F.col("after").alias("status_after"),
-                                     F.col("legal").alias("is_legal")), "_seq").drop("_seq")
+    starts = told.select("doc", F.posexplode("runs").alias("i", "run"), "runs").select(F.col("doc").alias("_doc"), F.col("run.part").alias("_part"), F.aggregate(
+        F.slice("runs", F.lit(1), F.col("i")), F.lit(_START).cast("long"), lambda s, r: F.get(r.after, s.cast("int"))).alias("_start"))
+    # at most two rows for each range
+    begun = stored.join(F.broadcast(starts), ["_doc", "_part"], "left").withColumn("_start", F.coalesce("_start", F.lit(_START))) \
+        .select(*events.columns, *_HELPERS).repartition("_part").sortWithinPartitions("_part", "_seq")
+    told_apart = [T.StructField("status_before", T.StringType()), T.StructField("status_after", T.StringType()), T.StructField("is_legal", T.BooleanType())]
+    return begun.mapInArrow(_applied, T.StructType([*events.schema.fields, *told_apart]))
 
 
 def _setting(column: str):

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from bindery.operators import lifecycle as L
@@ -122,3 +124,21 @@ def test_repeats_within_a_time(spark, tmp_path):
     stream = pending.each_once(pending.stream_documents(spark, landed, spark.read.parquet(landed).schema), within="1 hour", event_time="landed_at")
     pending.run_available(stream, out, ck)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_scan_by_doubling_and_edges_of_ranges():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 9, 400)
+    lengths[[7, 90]] = 700, 1300
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    event = rng.integers(0, len(L._NEXT), len(doc))
+    part = np.sort(rng.integers(0, 6, len(doc)))
+    want = {}
+    for p, d, e in zip(part.tolist(), doc.tolist(), event):
+        want[p, d] = L.steps(want.get((p, d), np.arange(len(L.STATES))), e)[0]
+    rows = pd.DataFrame({"part": part, "doc": doc, "event": event})
+    for size in (1, 37, len(rows)):
+        got = pd.concat(list(L._composed(iter([rows[i:i + size] for i in range(0, len(rows), size)]))))
+        edges = {k for p in range(6) for docs in [doc[part == p]] for k in ((p, docs[0]), (p, docs[-1]))}
+        assert {(p, d): a for p, d, a in zip(got["part"], got["doc"], got["after"])} == {k: want[k].tolist() for k in edges}
+        assert len(got) == len(edges)
