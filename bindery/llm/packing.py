@@ -15,8 +15,9 @@ sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +25,59 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from bindery.llm.alignment import byte_level
 from bindery.llm.common import once
 
 WINDOW = 256  # examples that wait for a sequence at a time
 MEMORY = 48 << 20  # bytes of words and ids that a worker remembers
 
+_SUFFIX = "</w>"  # of the last entry of a word
+_END = "\0"  # stands for it among bytes
+_PLAIN = re.compile(r"[!-~\nÀ-ÖØ-öø-ÿ]*")  # characters whose classes and lower case no Unicode version changes, composed ones only
+#: The kind of tokenizer (normalizer, pre-tokenizer, post-processor) that is also written out here for plain words in lower case.
+_KIND = ({"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+         {"type": "Sequence", "pretokenizers": [
+             {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}, None)
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+|\n")
+
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, "
           "loss_tokens long, padded_to long")
 
 
-def _encoded(tok, words: list[str]) -> list[bytes]:
-    """Ids of each word (no token spans white space), encoded as one text of a word a line."""
-    found = tok.encode("\n".join(words), add_special_tokens=False)
-    lines = np.cumsum([0] + [len(w) + 1 for w in words])
-    owner = np.searchsorted(lines, np.array([start for start, _ in found.offsets], np.int64), side="right") - 1
-    ends = np.cumsum(np.bincount(owner, minlength=len(words))) * 4
-    raw = np.array(found.ids, "<u4").tobytes()
-    return [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+class _Ranked:
+    """A byte-pair encoder of plain pieces that end with ``_END``, and the id of a line break."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+        self.encode_ordinary = tiktoken.Encoding("ranked-words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.line = ranks[f"\n{_END}".encode()]
+
+
+def _ranked(path: str) -> _Ranked | None:
+    """The tokenizer file as byte ranks, which encode plain words faster; None where it is of another kind.
+
+    The end of a word is a byte of its own, which first joins the byte before it.
+    That needs bytes, last bytes and merges to have their ids in this order.
+    """
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model = said["model"]
+    if (said.get("normalizer"), said.get("pre_tokenizer"), said.get("post_processor")) != _KIND or model.get("type") != "BPE" \
+            or model.get("end_of_word_suffix") != _SUFFIX or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+        return None
+    if any(not a["content"].startswith("<|") for a in said.get("added_tokens") or ()):
+        return None
+    vocab, chars = model["vocab"], byte_level()
+    merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if merged != list(range(512, 512 + len(merged))) or any(vocab.get(c, 256) > 255 or not 256 <= vocab.get(c + _SUFFIX, 0) < 512 for c in chars):
+        return None
+    ranks = {}
+    for entry, i in vocab.items():
+        if i < 512 + len(merged):
+            last = i >= 256 and entry.endswith(_SUFFIX)
+            ranks[bytes(map(chars.__getitem__, entry.removesuffix(_SUFFIX) if last else entry)) + _END.encode() * last] = i
+    return _Ranked(ranks) if len(ranks) == 512 + len(merged) else None
 
 
 class _Words:
@@ -49,26 +86,64 @@ class _Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        self.ranked = _ranked(path)
         self.ids: dict[str, bytes] = {}
         self.size = 0
 
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word (no token spans white space), encoded as one text of a word a line."""
+        text = "\n".join(words)
+        if self.ranked is not None:
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                return self._plain(text, len(words))
+            odd = [w for w in words if not _PLAIN.fullmatch(w) or "<|" in w]
+            if 0 < len(odd) < len(words):
+                apart = set(odd)
+                plain = [w for w in words if w not in apart]
+                found = dict(zip(plain, self._plain("\n".join(plain), len(plain))))
+                found.update(zip(odd, self._other(odd)))
+                return [found[w] for w in words]
+        return self._other(words)
+
+    def _plain(self, text: str, n: int) -> list[bytes]:
+        pieces = _PIECES.findall(text.lower())
+        if not pieces:
+            return [b""] * n
+        ids = np.array(self.ranked.encode_ordinary(_END.join(pieces) + _END), "<u4")
+        line = ids == self.ranked.line
+        ends = np.append(np.flatnonzero(line), len(ids)) - np.arange(n)
+        raw = ids[~line].tobytes()
+        ends = (ends * 4).tolist()
+        return [raw[a:b] for a, b in zip([0] + ends[:-1], ends)]
+
+    def _other(self, words: list[str]) -> list[bytes]:
+        found = self.tok.encode("\n".join(words), add_special_tokens=False)
+        lines = np.cumsum([0] + [len(w) + 1 for w in words])
+        owner = np.searchsorted(lines, np.array([start for start, _ in found.offsets], np.int64), side="right") - 1
+        ends = np.cumsum(np.bincount(owner, minlength=len(words))) * 4
+        raw = np.array(found.ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+
 
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of whole texts. Each distinct word is encoded once; a worker remembers short ones, ``MEMORY`` bytes in all."""
     known = once(("packing", path), lambda: _Words(path))
     words = [(t or "").replace("\n", " ").split(" ") for t in texts]
     new = list(set().union(*words).difference(known.ids))
-    other: dict[str, bytes] = {}
+    passing: list[str] = []  # words that are known for these texts only
     for at in range(0, len(new), 5000):
         part = new[at:at + 5000]
-        for w, ids in zip(part, _encoded(known.tok, part)):
+        for w, ids in zip(part, known.encoded(part)):
+            known.ids[w] = ids
             if len(w) <= 64 and known.size < MEMORY:
-                known.ids[w] = ids
                 known.size += 190 + len(w) + len(ids)  # with what the two objects and their entry take
             else:
-                other[w] = ids
-    find = ChainMap(known.ids, other).__getitem__ if other else known.ids.__getitem__
-    return [np.frombuffer(b"".join(map(find, ws)), "<u4") for ws in words]
+                passing.append(w)
+    find = known.ids.__getitem__
+    out = [np.frombuffer(b"".join(map(find, ws)), "<u4") for ws in words]
+    for w in passing:
+        del known.ids[w]
+    return out
 
 
 class _Packer:

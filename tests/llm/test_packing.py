@@ -72,3 +72,27 @@ def test_edges(spark):
     assert [r.length for r in rows if r.doc_id == 2] == [1] and sum(r.length for r in rows if r.doc_id == 4) == 6
     assert any(r.doc_id is None for r in rows)
     assert packing.pack(helpers.documents(spark, []), PATH).count() == 0
+
+
+def test_plain_words_by_ranks_like_the_tokenizer():
+    """Plain words go by byte ranks; their ids are the tokenizer's own, word by word."""
+    rng, known = random.Random(6), packing._Words(PATH)
+    assert known.ranked is not None
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ0123456789''!-~.,;<>/|_=#ÀÉÖØßäöüÿñ"
+    entries = [e.replace("</w>", "") for e in TOKENIZER.get_vocab() if all("!" <= c <= "~" for c in e)]
+    words = ["".join(rng.choices(letters, k=rng.randint(0, 20))) for _ in range(3000)] + ["".join(rng.choices(entries, k=3)) for _ in range(3000)]
+    words += ["a" * 300, "=" * 300, "", "'s", "IT'S'll", "</w>"]
+    odd = ["<|endoftext|>x", "é", "a\0b", "\0", "İ", "x\ty", "語", "ſ"]
+    for part in (words, [*words[:50], *odd], odd):
+        part = list(dict.fromkeys(part))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in known.encoded(part)] == [ids_of(w) for w in part]
+
+
+def test_passing_words_are_not_kept(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 1000)
+    texts = [f"word{i} common " + "x" * 80 for i in range(500)]
+    for _ in range(2):
+        assert [ids.tolist() for ids in packing.token_ids(texts, PATH)] == [ids_of(t) for t in texts]
+    known = packing.once(("packing", PATH), lambda: None)
+    assert len(known.ids) < 10
+    packing.once("another operator", dict)
