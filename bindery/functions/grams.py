@@ -15,6 +15,8 @@ from bindery.functions.text import col
 #: characters has at least one kept gram, and so has every text that holds it. Longest passages first.
 TIERS = ((8, 8), (3, 1), (1, 1))
 
+JUNK_FROM = 200  # length from which ``difflib`` sets characters apart that are more than one hundredth of a text, and one
+
 
 def folded(c: Column | str) -> Column:
     """Lower case in which a part of a text folds to a part of the folded text: the one letter whose lower case depends on its place has one form."""
@@ -79,6 +81,31 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def coverable(a: np.ndarray, b: np.ndarray) -> int:
+    """Most characters of ``a`` that ``difflib`` can match in ``b``: those in equal runs with a rare character of ``b``, or from where both begin.
+
+    A matching block is part of a run of equal characters at one distance. It holds
+    a character that is not frequent in ``b``; only where both texts begin it need not.
+    """
+    names, place, times = np.unique(b, return_inverse=True, return_counts=True)
+    rare = times[place] <= len(b) // 100 + 1 if len(b) >= JUNK_FROM else np.ones(len(b), bool)
+    anchors = np.flatnonzero(rare)
+    i, j = np.nonzero(a[:, None] == b[anchors])
+    apart = np.unique(np.append(anchors[j] - i, 0))  # distances at which something can match
+    at = np.arange(len(a)) + apart[:, None]
+    inside = (at >= 0) & (at < len(b))
+    at = np.where(inside, at, 0)
+    same = np.zeros((len(apart), len(a) + 1), bool)  # a last column keeps runs of different distances apart
+    same[:, :-1] = inside & (b[at] == a)
+    anchored = np.zeros_like(same)
+    anchored[:, :-1] = same[:, :-1] & (rare[at] | ((at == 0) & (np.arange(len(a)) == 0)))
+    flat = same.ravel()
+    run = np.cumsum(flat & ~np.append(False, flat[:-1]))
+    kept = np.zeros(run[-1] + 1, bool)
+    kept[run[anchored.ravel()]] = True
+    return int((same & kept[run].reshape(same.shape)).any(axis=0).sum())
+
+
 class Page:
     """A page's characters and pairs of characters by place."""
 
@@ -93,23 +120,22 @@ class Passage:
 
     def __init__(self, text: str):
         self.text = text
-        codes = _codes(text).astype(np.int64)
+        self.codes = codes = _codes(text).astype(np.int64)
         self.chars = np.unique(codes, return_counts=True)
         self.pairs = np.unique((codes[:-1] << 21) | codes[1:], return_counts=True)
 
     @staticmethod
-    def _shared(table: tuple[np.ndarray, np.ndarray], values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Common items (with their counts) of the table and of each window of ``values``."""
-        names, most = table
+    def _counts(table: tuple[np.ndarray, np.ndarray], values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How often each window of ``values`` has each item of the table."""
+        names = table[0]
         if not len(names) or not len(values) or not len(starts):
-            return np.zeros(len(starts), np.int64)
+            return np.zeros((len(starts), len(names)), np.int64)
         at = np.minimum(np.searchsorted(names, values), len(names) - 1)
         ours = np.flatnonzero(names[at] == values)
         low, high = np.searchsorted(ours, starts), np.searchsorted(ours, np.maximum(ends, starts))
         window = np.repeat(np.arange(len(starts)), high - low)
         place = np.arange(len(window)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[window]
-        counts = np.bincount(window * len(names) + at[ours[place]], minlength=len(starts) * len(names)).reshape(len(starts), len(names))
-        return np.minimum(counts, most).sum(axis=1)
+        return np.bincount(window * len(names) + at[ours[place]], minlength=len(starts) * len(names)).reshape(len(starts), len(names))
 
     def best(self, page: Page, window: int, least: float) -> tuple[int, str, float] | None:
         """(start, window, ratio) of the most similar window of at least ``least``, the first of equals.
@@ -118,8 +144,12 @@ class Passage:
         all. M is at most the common characters; two blocks are parted by an
         unmatched character, so there are at most T - 2 M + 1 of them, each of which
         has one pair less than characters: the common pairs are at least 3 M - T - 1.
-        And M is at most the longest common subsequence. Windows are tried from the
-        best bound on, only while the bound reaches what was found.
+        In a window of ``JUNK_FROM`` characters ``difflib`` begins no block with a
+        character that is frequent there, except where both texts begin: there are at
+        most as many blocks as common rare characters and one, so M is at most the
+        common pairs, these characters and one. And M is at most what ``coverable`` says
+        and the longest common subsequence. Windows are tried from the best bound on, only while the bound
+        reaches what was found.
         """
         n, length = len(self.text), len(page.text)
         size = max(n, window)
@@ -131,16 +161,21 @@ class Passage:
         if not len(near):
             return None
         starts, ends, total = starts[near], ends[near], total[near]
-        bound = 2 * self._shared(self.chars, page.codes, starts, ends) / total
+        counts = self._counts(self.chars, page.codes, starts, ends)
+        shared, often = np.minimum(counts, self.chars[1]), np.where(ends - starts >= JUNK_FROM, (ends - starts) // 100 + 1, size)
+        rare = np.where(counts <= often[:, None], shared, 0).sum(axis=1)
+        bound = 2 * shared.sum(axis=1) / total
         near = np.flatnonzero(bound >= least)
-        starts, ends, total, bound = starts[near], ends[near], total[near], bound[near]
-        pairs = self._shared(self.pairs, page.pairs, starts, ends - 1)
-        bound = np.minimum(bound, 2 * ((pairs + total + 1) // 3) / total)
+        starts, ends, total, bound, rare = starts[near], ends[near], total[near], bound[near], rare[near]
+        pairs = np.minimum(self._counts(self.pairs, page.pairs, starts, ends - 1), self.pairs[1]).sum(axis=1)
+        bound = np.minimum(bound, 2 * np.minimum((pairs + total + 1) // 3, pairs + rare + 1) / total)
         found: tuple[float, int, str] | None = None
         for i in np.lexsort((starts, -bound)).tolist():
             need = max(least, found[0]) if found else least
             if bound[i] < need:
                 break
+            if 2 * coverable(self.codes, page.codes[starts[i]:ends[i]]) / total[i] < need:
+                continue
             cut = page.text[starts[i]:ends[i]]
             if 2 * common_subsequence(self.text, cut) / total[i] < need:
                 continue
