@@ -230,11 +230,13 @@ def choose_extraction(primary: DataFrame, fallback: DataFrame) -> DataFrame:
 def process_pending(documents: DataFrame, results: DataFrame, reason_chars: int | None = None) -> DataFrame:
     """New status of current PENDING documents from their parse results.
 
-    ``results``: document_id, needs_ocr, page_count, error.
+    ``results``: document_id, needs_ocr, page_count, error. Rows that wait are
+    narrow and are looked up by hash; results with their long errors pass by and
+    are not sorted.
     """
     pending = documents.filter("is_current_version and processing_status = 'PENDING'")
     failed = F.col("error").isNotNull()
-    return pending.join(results, "document_id").withColumns({
+    return pending.hint("shuffle_hash").join(results, "document_id").withColumns({
         "processing_status": F.when(failed, "FAILED").when(F.col("needs_ocr"), "OCR_PROCESSING").otherwise("COMPLETED"),
         "failure_reason": F.when(failed, limited("error", reason_chars)),
         "is_scanned": F.when(~failed, F.col("needs_ocr"))}).drop("error", "needs_ocr")
