@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -67,9 +68,11 @@ def best_of_blocks(k: int, floor: float, digits: int, q_type: pa.DataType, c_typ
     """Rows (ids, matrix, dim, q_ids, q_matrix, q_dim) -> the ``k`` best (query_id, chunk_id, score) of each pair of matrices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                queries = np.frombuffer(row["q_matrix"], dtype="float32").reshape(-1, row["q_dim"])
-                vectors = np.frombuffer(row["matrix"], dtype="float32").reshape(-1, row["dim"])
+            at_row = {c: batch.column(batch.schema.get_field_index(c)) for c in ("ids", "matrix", "dim", "q_ids", "q_matrix", "q_dim")}
+            for i in range(batch.num_rows):  # matrices stay in the batch, the lists of one row are made at a time
+                row = {c: v[i] for c, v in at_row.items()}
+                queries, vectors = (np.frombuffer(row[m].as_buffer(), dtype="float32").reshape(-1, row[d].as_py()) for m, d in (("q_matrix", "q_dim"), ("matrix", "dim")))
+                row = {c: row[c].as_py() for c in ("ids", "q_ids")}
                 # ties go to the smaller id: sort the block by id, then cut a stable order at k
                 ids = np.empty(len(row["ids"]), object)
                 ids[:] = row["ids"]
@@ -81,7 +84,7 @@ def best_of_blocks(k: int, floor: float, digits: int, q_type: pa.DataType, c_typ
                     top = np.take_along_axis(scores, ranked, axis=1)
                     q_at, c_at = np.nonzero(top >= floor)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["q_ids"][at + i] for i in q_at], q_type), pa.array(ids[ranked[q_at, c_at]].tolist(), c_type),
+                        [pa.array([row["q_ids"][at + j] for j in q_at], q_type), pa.array(ids[ranked[q_at, c_at]].tolist(), c_type),
                          pa.array(top[q_at, c_at], pa.float64())], names=["query_id", "chunk_id", "score"])
     return run
 
@@ -117,6 +120,14 @@ def block_top_k(queries: DataFrame, chunks: DataFrame, k: int, floor: float,
     return pairs.mapInArrow(best_of_blocks(k, floor, digits, to_arrow_type(q_type), to_arrow_type(c_type)), found)
 
 
-@F.pandas_udf(T.BinaryType())
-def matrix_of(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda vs: np.stack([np.asarray(v, dtype="float32") for v in vs]).tobytes())
+@F.arrow_udf(T.BinaryType())
+def matrix_of(vectors: pa.Array) -> pa.Array:
+    """The vectors of each row behind each other as 4-byte floats; a batch is not copied vector by vector."""
+    inner = vectors.flatten()
+    dims = pa.compute.list_value_length(inner).to_numpy(zero_copy_only=False)
+    sizes = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    if len(dims) and (inner.null_count or dims.min() != dims.max()):
+        raise ValueError("all vectors must have one length")
+    ends = 4 * np.append(0, np.cumsum(dims, dtype=np.int64))[np.append(0, np.cumsum(sizes, dtype=np.int64))]
+    flat = np.ascontiguousarray(inner.flatten().to_numpy(zero_copy_only=False).astype("float32", copy=False))
+    return pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])

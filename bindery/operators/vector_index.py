@@ -92,11 +92,11 @@ def build(chunks: DataFrame, id_col: str = "chunk_id", vector: str = "embedding"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
-        vectors: list = []
+        vectors: list[np.ndarray] = []
         held = None
 
         def made() -> pa.RecordBatch:
-            m = np.array(vectors, np.float32)
+            m = np.concatenate(vectors)
             out = pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int32()), pa.array([ids], pa.list_(to_arrow_type(kind))),
                                               pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], names=["cluster", "slice", "ids", "matrix", "dim"])
             ids.clear()
@@ -104,12 +104,22 @@ def build(chunks: DataFrame, id_col: str = "chunk_id", vector: str = "embedding"
             return out
 
         for batch in batches:
-            for cluster, piece, i, v in zip(*(batch.column(c).to_pylist() for c in ("cluster", "slice", "id", "v"))):
-                if ids and ((cluster, piece) != held or len(ids) == BLOCK):
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "slice")], axis=1)
+            rows = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(axis=1))).tolist() + [batch.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                if ids and held != tuple(place[at].tolist()):
                     yield made()
-                held = cluster, piece
-                ids.append(i)
-                vectors.append(v)
+                held = tuple(place[at].tolist())
+                while at < end:
+                    if len(ids) == BLOCK:
+                        yield made()
+                    some = min(end - at, BLOCK - len(ids))
+                    ids.extend(batch.column("id").slice(at, some).to_pylist())
+                    vectors.append(rows[at:at + some].copy())
+                    at += some
         if ids:
             yield made()
 
