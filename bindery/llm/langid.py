@@ -25,9 +25,10 @@ from bindery.llm.common import mix, once
 BITS = 16  # hashed n-grams a language
 SWITCH = 12.0  # natural-log cost of a change of language
 HELD_OUT = 2  # remainder of crc32(id) mod 4 that is never learned from
-WORDS = 200_000  # distinct words whose scores a worker remembers
-CELLS = 1_000_000  # words times texts that go through Viterbi together
-CHARS = 2_000_000  # characters of texts that are labelled together
+WORDS = 100_000  # distinct words beyond which a worker forgets their scores, between groups of texts
+CELLS = 300_000  # words times texts that go through Viterbi together
+CHARS = 1_000_000  # characters of texts that are labelled together
+SCORED = 4000  # new words that are scored together
 
 #: First code points of script ranges, in order, with the script from there on.
 SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -73,7 +74,9 @@ class Model:
     logp: np.ndarray
     scripts: np.ndarray
     index: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        self.forget()
 
     def _score(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word in every language; languages of other scripts are far behind."""
@@ -84,21 +87,31 @@ class Model:
         score[~allowed.any(axis=1)] = 0.0
         return score - score.max(axis=1, keepdims=True)
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """One row of scores for each word; each distinct word is scored once and remembered."""
-        if self.table is None:
-            self.table = np.zeros((WORDS, len(self.langs)), np.float32)
-        new = list(set(words).difference(self.index))
-        if len(self.index) + len(new) > len(self.table):
-            self.index.clear()
-            new = list(set(words))
-            if len(new) > len(self.table):
-                self.table = np.zeros((len(new), len(self.langs)), np.float32)
-        for at in range(0, len(new), 20_000):
-            part, known = new[at:at + 20_000], len(self.index)
-            self.table[known:known + len(part)] = self._score(part)
-            self.index.update(zip(part, range(known, known + len(part))))
-        return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+    def forget(self) -> None:
+        self.index.clear()
+        self.waiting, self.table, self.letters = [], np.zeros((4096, len(self.langs)), np.float32), np.zeros(4096, np.uint8)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """A number for each word, the same for equal ones; ``scored`` must be called before the table is read."""
+        for w in set(words).difference(self.index):
+            self.index[w] = len(self.index)
+            self.waiting.append(w)
+            if len(self.waiting) == SCORED:
+                self.scored()
+        return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+
+    def scored(self) -> None:
+        """Scores the words that came since the last call: a row of ``table`` and the letters of each."""
+        new, known = self.waiting, len(self.index) - len(self.waiting)
+        if not new:
+            return
+        if len(self.index) > len(self.table):
+            size = max(len(self.index), len(self.table) * 3 // 2)
+            self.table = np.concatenate([self.table[:known], np.zeros((size - known, len(self.langs)), np.float32)])
+            self.letters = np.concatenate([self.letters[:known], np.zeros(size - known, np.uint8)])
+        self.table[known:known + len(new)] = self._score(new)
+        self.letters[known:known + len(new)] = [len(w) for w in new]
+        self.waiting = []
 
 
 def held_out(id_col: str) -> Column:
@@ -126,8 +139,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 g = grams.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 s = letters.setdefault(lang, np.zeros(len(_NAMES), np.int64))
                 distinct, n = list(seen), np.fromiter(seen.values(), np.float64, len(seen))
-                for at in range(0, len(distinct), 20_000):
-                    part, many = distinct[at:at + 20_000], n[at:at + 20_000]
+                for at in range(0, len(distinct), SCORED):
+                    part, many = distinct[at:at + SCORED], n[at:at + SCORED]
                     grams_, owner, script = features(part)
                     g += np.bincount(grams_, weights=many[owner], minlength=1 << BITS).astype(np.int64)
                     s += np.bincount(script, weights=many * np.array([len(w) for w in part]), minlength=len(_NAMES)).astype(np.int64)
@@ -214,17 +227,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lengths = np.cumsum(batch.map(lambda t: len(t or "")).to_numpy(np.int64)) // CHARS
             cuts = np.flatnonzero(np.r_[True, lengths[1:] != lengths[:-1], True]).tolist() if len(batch) else [0]
             for at, end in zip(cuts, cuts[1:]):
-                words = [_WORD.findall(t or "") if m.langs else [] for t in batch.iloc[at:end]]
-                table = m.scores([w for ws in words for w in ws]) if m.langs else np.empty((0, 1), np.float32)
-                ends = np.cumsum([len(ws) for ws in words])
-                paths = viterbi(np.split(table, ends[:-1]))
+                if len(m.index) > WORDS:
+                    m.forget()
+                # a text's words are held as strings one text at a time
+                words = [m.numbers(_WORD.findall(t or "") if m.langs else []) for t in batch.iloc[at:end]]
+                m.scored()
+                paths = viterbi([m.table[ws] for ws in words])
                 for ws, path in zip(words, paths):
-                    if not ws:
+                    if not len(ws):
                         pred.append("und")
                         score.append(0.0)
                         found.append([])
                         continue
-                    letters = np.array([len(w) for w in ws])
+                    letters = m.letters[ws].astype(np.int64)
                     share = np.bincount(path, weights=letters, minlength=len(m.langs))
                     pred.append(m.langs[int(share.argmax())])
                     score.append(float(share.max() / share.sum()))

@@ -19,6 +19,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from bindery.llm.alignment import byte_level
 from bindery.llm.common import once
 
 WINDOW = 256  # examples that wait for a sequence at a time
-MEMORY = 48 << 20  # bytes of words and ids that a worker remembers
+MEMORY = 32 << 20  # bytes of words and ids that a worker remembers
 
 _SUFFIX = "</w>"  # of the last entry of a word
 _END = "\0"  # stands for it among bytes
@@ -84,12 +85,17 @@ class _Words:
     """A tokenizer and the ids of words that it has met."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
+        self.path = path
         self.ranked = _ranked(path)
         self.ids: dict[str, bytes] = {}
         self.size = 0
 
+    @cached_property
+    def tok(self):
+        """Only loaded where words ask for it: it takes some 30 MB."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     def encoded(self, words: list[str]) -> list[bytes]:
         """Ids of each word (no token spans white space), encoded as one text of a word a line."""
         text = "\n".join(words)

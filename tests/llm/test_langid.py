@@ -65,3 +65,36 @@ def test_edges(spark):
     empty = helpers.documents(spark, [])
     assert langid.identify(empty, langid.learn(empty)).count() == 0
     assert langid.identify(docs, langid.learn(empty)).filter("lang_pred != 'und'").count() == 0
+
+
+def test_forgotten_words_change_nothing(spark, monkeypatch):
+    """Words are numbers while a group of texts is labelled; forgetting them, and small groups, change no answer."""
+    rng = np.random.default_rng(3)
+    langs = ["a", "b", "c"]
+    logp, scripts = np.log(rng.random((1 << langid.BITS, 3))).astype(np.float32), np.ones((len(langid._NAMES), 3), bool)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(200)] + ["", "12", "x" * 200]
+    model = langid.Model(langs, logp, scripts)
+    numbers = [model.numbers(langid._WORD.findall(t)) for t in texts]
+    model.scored()
+    for t, ns in zip(texts, numbers):
+        plain = langid._WORD.findall(t)
+        assert model.letters[ns].tolist() == [len(w) for w in plain]
+        if plain:
+            assert np.allclose(model.table[ns], langid.Model(langs, logp, scripts)._score(plain))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    once = langid.identify(docs, model, spans=True).orderBy("doc_id").collect()
+    found = list(map(langid.Model(langs, logp, scripts).numbers, ([w] * 3 for w in words)))
+    assert all(len(set(ns.tolist())) == 1 for ns in found)
+    assert [r.lang_pred for r in once[-3:]] == ["und", "und", once[-1].lang_pred] and all(sum(s.letters for s in r.spans) == sum(map(len, langid._WORD.findall(t))) for r, t in zip(once, texts))
+
+
+def test_a_worker_forgets_words():
+    """Before, each text's words were strings until its whole group was labelled, and 200 000 words stayed."""
+    model = langid.Model(["a"], np.zeros((1 << langid.BITS, 1), np.float32), np.ones((len(langid._NAMES), 1), bool))
+    model.numbers([f"w{chr(97 + i % 26)}{i}" for i in range(langid.SCORED * 2 + 5)])
+    assert len(model.waiting) == 5
+    model.scored()
+    assert len(model.table) >= len(model.index) == langid.SCORED * 2 + 5 and not model.waiting
+    model.forget()
+    assert not model.index and len(model.table) == 4096
