@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,29 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def measured_broadcasts(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Joins that ``operator`` (a table first) runs are broadcast by hint or by a size measured behind a shuffle, never by an estimate.
+
+    Spark takes an exploded table for as many rows as there were before, and
+    columns of bytes for a hundred bytes each, so a table of any size may be
+    estimated below the limit. The limit itself goes on for measured sizes.
+    """
+    static, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        conf = df.sparkSession.conf
+        limit, adaptive = conf.get(static), conf.get(measured, None)
+        conf.set(measured, adaptive or limit)
+        conf.set(static, "-1")
+        try:
+            return operator(df, *args, **options)
+        finally:
+            conf.set(static, limit)
+            conf.set(measured, adaptive) if adaptive else conf.unset(measured)
+    return run
+
+
 _LOCAL: dict = {}
 
 

@@ -1,9 +1,10 @@
 """Exact top-k inner products: tiles of queries and shards, joined top lists in a tree.
 
 Vectors become integers, so every score is exact. Shards of ``SHARD`` vectors
-and blocks of ``BLOCK`` queries are matrices in a row each. Every block meets
+and blocks of ``BLOCK`` queries are matrices in a row each. Shards lie in slots
+of about ``SLOT_BYTES``, and a block is dealt once to every slot. Every block meets
 every shard once, as one matrix product that leaves ``k`` candidates a query;
-lists of one block are merged ``FAN`` at a time until one is left.
+lists of one block are merged inside the slot, then ``FAN`` at a time until one is left.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bindery.llm.common import written
+from bindery.llm.common import measured_broadcasts, written
 
 SHARD = 4096
 BLOCK = 512
 FAN = 16
+SLOT_BYTES = 32_000_000  # of shards that a join holds beside a block
+SLOTS_A_CORE = 8  # at least, while there are as many shards
 _FULL = 2**63 - 1
 
 
@@ -99,6 +102,7 @@ def _matrix(data: bytes, rows: int, dims: int, wide: bool) -> np.ndarray:
     return np.frombuffer(data, np.float64 if wide else np.int32).reshape(rows, dims)
 
 
+@measured_broadcasts
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per query its ``k`` best rows: query_id, rank (from 1), vec_id, score.
 
@@ -119,19 +123,33 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     blocks = written(_matrices(asked, id_col, vector, scale, BLOCK, dims).withColumn("block", F.monotonically_increasing_id()), "query-blocks")
 
     # every block goes once to every slot, and a shard lies in one slot
-    slots = shards.count()
+    n_shards, size = shards.count(), SHARD * dims * 8
+    slots = max(1, min(n_shards, max(SLOTS_A_CORE * vectors.sparkSession.sparkContext.defaultParallelism, -(-n_shards * size // SLOT_BYTES))))
     tiles = blocks.withColumnsRenamed({"ids": "qids", "m": "q", "n": "nq", "wide": "wide_q"}) \
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(slots, 1) - 1)))) \
-        .join(shards.withColumn("slot", F.pmod(F.xxhash64("shard"), F.lit(max(slots, 1))).cast("int")), "slot")
+        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))) \
+        .join(shards.withColumn("slot", F.pmod(F.xxhash64("shard"), F.lit(slots)).cast("int")), "slot")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One list for each run of tiles of a block and slot."""
+        held = None  # block, slot, qids and the best so far
+
+        def made() -> pd.DataFrame:
+            block, slot, qids, *best = held
+            return pd.DataFrame({"block": [block], "qids": [qids], "place": [slot], **{c: [x.tobytes()] for c, x in zip("sit", best)}})
+
         for batch in batches:
             for row in batch.itertuples(index=False):
                 q, m = _matrix(row.q, row.nq, dims, row.wide_q), _matrix(row.m, row.n, dims, row.wide)
                 own, ids = np.frombuffer(row.qids, np.int64), np.frombuffer(row.ids, np.int64)
                 s = _product(q, m)
-                s, names, there = _best(k, s, np.broadcast_to(ids, s.shape), ids[None, :] != own[:, None])
-                yield pd.DataFrame({"block": [row.block], "qids": [row.qids], "place": [row.shard], "s": [s.tobytes()], "i": [names.tobytes()], "t": [there.tobytes()]})
+                best = _best(k, s, np.broadcast_to(ids, s.shape), ids[None, :] != own[:, None])
+                if held and held[:2] == (row.block, row.slot):
+                    best = _best(k, *(np.concatenate(both, axis=1) for both in zip(held[3:], best)))
+                elif held:
+                    yield made()
+                held = row.block, row.slot, row.qids, *best
+        if held:
+            yield made()
 
     lists = "block long, qids binary, place long, s binary, i binary, t binary"
     found = written(tiles.mapInPandas(score, lists), "top-lists")
@@ -144,8 +162,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
         return pd.DataFrame({"block": [frame["block"].iloc[0]], "qids": [frame["qids"].iloc[0]], "place": [frame["parent"].iloc[0]],
                              "s": [s.tobytes()], "i": [i.tobytes()], "t": [t.tobytes()]})
 
-    while slots > 1:
-        slots = -(-slots // FAN)
+    merged = n_shards < 2  # a slot may still have several lists of a block
+    while slots > 1 or not merged:
+        slots, merged = -(-slots // FAN), True
         found = found.withColumn("parent", F.pmod(F.xxhash64("place"), F.lit(slots)))
         found = found.groupBy("block", "parent").applyInPandas(merge, lists)
 

@@ -55,3 +55,30 @@ def test_negative_ids_and_large_components(spark):
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     got = run(spark, rows, k=10, every=20)
     assert got == sorted(want) and any(q < 0 for q, *_ in got)
+
+
+def test_no_block_is_broadcast_by_an_estimate(spark, monkeypatch):
+    """A block goes to every slot: Spark's estimate of the blocks does not count that."""
+    monkeypatch.setattr(topk, "SHARD", 16)
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    plans, lists, written = {}, {}, topk.written
+
+    def watched(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().sparkPlan().toString()
+        out = written(df, purpose)
+        lists[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(topk, "written", watched)
+    monkeypatch.setattr(topk, "SLOTS_A_CORE", 0)
+    static, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(static)
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(600)]
+    spark.conf.set(measured, "-1")
+    try:
+        assert run(spark, rows, k=10, every=20) == brute(rows, 10, 20)
+        assert spark.conf.get(static) == before and spark.conf.get(measured) == "-1"
+    finally:
+        spark.conf.unset(measured)
+    assert "SortMergeJoin" in plans["top-lists"] and "BroadcastHashJoin" not in plans["top-lists"]
+    assert lists["shards"] * lists["query-blocks"] > lists["top-lists"]  # merged inside a slot
