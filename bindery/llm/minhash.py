@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from bindery.llm.common import broadcast_if_small, grouped, mix, once, written
+from bindery.llm.common import broadcast_if_small, grouped, measured_broadcasts, mix, once, written
 from bindery.llm.components import components
 
 K = 128  # buckets
@@ -210,6 +210,7 @@ def _one_each(pairs: DataFrame) -> DataFrame:
     return met.groupBy("a").agg(F.max(F.struct("n", F.negative("b").alias("minus"))).alias("m")).select("a", F.negative("m.minus").alias("b"))
 
 
+@measured_broadcasts
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id, kept.
 

@@ -101,3 +101,22 @@ def test_edges(spark):
     assert got[6][0][1:] == (5, False) and got[5][0][1:] == (5, True)
     assert got[None][0][1:] == (None, True)
     assert minhash.near_duplicates(helpers.documents(spark, [])).count() == 0
+
+
+def test_no_join_is_broadcast_by_an_estimate(spark, monkeypatch):
+    """Bands are 32 rows for each document, which Spark's estimate does not count."""
+    plans, written = {}, minhash.written
+
+    def watched(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, purpose)
+
+    monkeypatch.setattr(minhash, "written", watched)
+    texts = _groups(random.Random(12))
+    docs = helpers.documents(spark, [(i, t, "en", "a") for i, t in texts.items()])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent=80).collect()}
+    assert got == helpers.near_duplicates(texts, 80)
+    joined = [plans[p] for p in ("star-pairs", "star-candidates", "mixed-buckets", "hub-pairs")]
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in joined)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
