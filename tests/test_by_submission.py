@@ -44,3 +44,35 @@ def test_the_report_is_the_same_from_the_written_table(spark):
     a, b = (P.run(t.v_fields, docs, t.v_submissions, "1998-06-01", compare_texts=False, by_submission=x).report for x in (True, False))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     assert a.agg(F.sum("total_issues")).first()[0] > 0
+
+
+def test_written_tables_keep_how_they_lie(spark, monkeypatch):
+    """Evidence is joined and grouped without a shuffle, with the same rows as from plain tables."""
+    monkeypatch.setattr(derived, "TASK_ROWS", 1000)
+    t = tables(spark)
+    docs = R.assign_versions(t.v_documents)
+    known = spark.catalog.listTables()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = (P.run(t.v_fields, docs, t.v_submissions, "1998-06-01", compare_texts=False, by_submission=x) for x in (True, False))
+        plan = a.evidence._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "Exchange" not in plan
+        assert a.violations.count() == b.violations.count()
+        x, y = a.evidence, b.evidence
+        assert x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty() and not x.isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(spark.catalog.listTables()) == len(known)
+
+
+def test_evidence_is_not_broadcast_by_an_estimate(spark):
+    t = tables(spark)
+    a = P.run(t.v_fields, R.assign_versions(t.v_documents), t.v_submissions, "1998-06-01", compare_texts=False, by_submission=True)
+    assert "Broadcast" not in a.evidence._jdf.queryExecution().executedPlan().toString()
+
+
+def test_missing_fields_are_taken_once(spark):
+    t = tables(spark)
+    facts = V.document_facts(V.last_values(V.assemble(t.v_fields, R.assign_versions(t.v_documents))))
+    a, b = V.missing_once(facts), V.deduplicate(V.missing_in_documents(facts))
+    assert a.dtypes == b.dtypes and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and not a.isEmpty()
