@@ -53,14 +53,25 @@ def kept_grams(text: str, tier: int) -> np.ndarray:
     return np.unique(acc).view(np.int64)
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("tier", T.IntegerType()), T.StructField("gram", T.LongType())])))
-def grams(text: pa.Array, tiers: pa.Array) -> pa.Array:
-    """Kept grams of folded texts in each of the asked tiers; a batch is 12 bytes a gram, never an object each."""
+_GRAMS = T.ArrayType(T.StructType([T.StructField("tier", T.IntegerType()), T.StructField("gram", T.LongType())]))
+PLACES = 8 * 4096  # bits of Spark's ``bitmap_construct_agg``
+
+
+def place_of(gram: Column | str) -> Column:
+    """A gram's bit in a bitmap of grams."""
+    return F.pmod(col(gram), F.lit(PLACES))
+
+
+def _listed(text: pa.Array, tiers: pa.Array, maps: pa.Array | None = None) -> pa.Array:
     ends, names, found = [0], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-    for t, wanted in zip(text, tiers):
+    for row, (t, wanted) in enumerate(zip(text, tiers)):
         t, n = t.as_py(), ends[-1]
         for i in (wanted.as_py() or ()) if t else ():
-            found.append(kept_grams(t, i))
+            kept = kept_grams(t, i)
+            if maps is not None:
+                place = kept & (PLACES - 1)
+                kept = kept[np.frombuffer(maps[row].as_py(), np.uint8)[place >> 3] >> (place & 7) & 1 == 1]
+            found.append(kept)
             names.append(np.full(len(found[-1]), i, np.int32))
             n += len(found[-1])
         ends.append(n)
@@ -68,6 +79,18 @@ def grams(text: pa.Array, tiers: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
+@F.arrow_udf(_GRAMS)
+def grams(text: pa.Array, tiers: pa.Array) -> pa.Array:
+    """Kept grams of folded texts in each of the asked tiers; a batch is 12 bytes a gram, never an object each."""
+    return _listed(text, tiers)
+
+
+@F.arrow_udf(_GRAMS)
+def grams_of_map(text: pa.Array, tiers: pa.Array, maps: pa.Array) -> pa.Array:
+    """Those of ``grams`` whose bit is set in the row's bitmap: all that are looked for, and others where a bit stands for several."""
+    return _listed(text, tiers, maps)
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence; a row of the table is the bits of one number."""
     where: dict[str, int] = {}

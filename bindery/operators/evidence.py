@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery import fixed
-from bindery.functions.grams import folded, grams, similar_windows, tier_of
+from bindery.functions.grams import folded, grams, grams_of_map, place_of, similar_windows, tier_of
 from bindery.functions.text import is_blank, strip
 from bindery.session import shared_dir
 
@@ -61,12 +61,18 @@ def page_index(wanted: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``wanted``: document_id, tier, gram. A page gives the few grams that its
     document's citations can ask for: those of the tiers of their lengths, and of
-    neighbouring grams only the one with the smallest hash.
+    neighbouring grams only the one with the smallest hash. A bitmap of fixed size
+    for each document leaves out most grams that no citation has before they move;
+    in a document with very many citations it leaves out fewer.
     """
-    asked = wanted.groupBy("document_id").agg(F.collect_set("tier").alias("_tiers"))  # at most one entry for each tier
+    return _postings(wanted, pages).join(wanted.distinct(), ["document_id", "tier", "gram"], "left_semi")
+
+
+def _postings(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    asked = wanted.groupBy("document_id").agg(F.collect_set("tier").alias("_tiers"),  # at most one entry for each tier
+                                              F.bitmap_construct_agg(place_of("gram")).alias("_map"))
     keyed = pages.select("document_id", "page_number", folded("text").alias("_text")).join(asked, "document_id")
-    postings = keyed.select("document_id", "page_number", F.inline(grams("_text", "_tiers")))
-    return postings.join(wanted.distinct(), ["document_id", "tier", "gram"], "left_semi")
+    return keyed.select("document_id", "page_number", F.inline(grams_of_map("_text", "_tiers", "_map")))
 
 
 def candidate_pages(keyed: DataFrame, pages: DataFrame) -> DataFrame:

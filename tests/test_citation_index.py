@@ -128,3 +128,16 @@ def test_empty_tables(spark):
     row = E.map_citations(spark.createDataFrame([(1, "f", "x")], CITES), spark.createDataFrame([], PAGES)).first()
     assert row.match_method == "not_found"
     assert E.fuzzy_matches(spark.createDataFrame([], "document_id long, _cite string, _citation string"), some).filter(F.lit(True)).count() == 0
+
+
+def test_grams_that_no_citation_has_do_not_leave_the_page(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    pages = [(d, i, prose(rng, 1500, letters)) for d in range(5) for i in range(1, 9)]
+    cites = [(d, i, t[100:140]) for d, i, t in pages if i % 2]
+    wanted = [(d, 0, int(g)) for d, _, t in cites for g in G.kept_grams(t, 0)]
+    wanted = spark.createDataFrame(wanted, "document_id long, tier int, gram long")
+    table = spark.createDataFrame(pages, PAGES)
+    sent, kept = E._postings(wanted, table), E.page_index(wanted, table)
+    assert kept.count() >= wanted.distinct().count() and kept.exceptAll(sent.select(*kept.columns)).isEmpty()
+    assert sent.count() < 1.1 * kept.count() + 20 < sum(len(G.kept_grams(t, 0)) for _, _, t in pages) / 10
