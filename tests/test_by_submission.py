@@ -76,3 +76,14 @@ def test_missing_fields_are_taken_once(spark):
     facts = V.document_facts(V.last_values(V.assemble(t.v_fields, R.assign_versions(t.v_documents))))
     a, b = V.missing_once(facts), V.deduplicate(V.missing_in_documents(facts))
     assert a.dtypes == b.dtypes and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and not a.isEmpty()
+
+
+def test_candidates_of_members_are_read_once(spark):
+    t = tables(spark)
+    from checks.registry import QUERIES
+    plan = QUERIES["g17_conflict_members"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan  # both uses read what was written
+    c = V.conflict_candidates(V.assemble(t.v_fields, R.assign_versions(t.v_documents)))
+    want = V.conflict_members(c, V.figure_conflicts(V.conflict_groups(V.conflict_texts(c))))
+    got = QUERIES["g17_conflict_members"](spark, SF)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not want.isEmpty()
