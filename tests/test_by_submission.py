@@ -7,6 +7,8 @@ from bindery.plans import validation as P
 from bindery.session import keep_partitions
 from bindery.sources import derived
 from bindery.sources.derived import SQL, Tables
+from checks import load_all
+from checks.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,7 +82,7 @@ def test_missing_fields_are_taken_once(spark):
 
 def test_candidates_of_members_are_read_once(spark):
     t = tables(spark)
-    from checks.registry import QUERIES
+    load_all()
     plan = QUERIES["g17_conflict_members"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan  # both uses read what was written
     c = V.conflict_candidates(V.assemble(t.v_fields, R.assign_versions(t.v_documents)))

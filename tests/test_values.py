@@ -45,6 +45,14 @@ def test_normalise_string(spark):
     assert column(spark, ["  Acme, Inc. ", "Café — Ünïted  Co", None, "!!!"], V.normalise_string) == ["acme inc", "café ünïted co", "", ""]
 
 
+def test_plain_texts_are_normalised_like_others(spark):
+    pieces = ["a", "B9", "_", " ", "  ", "\n", "\t", "\u00a0", "-", "$", "^`|~", "é", "ß", "—", "½", "a b"]
+    values = [x + y + z for x in pieces for y in pieces for z in pieces]
+    def slow(c):
+        return X.strip(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""), rf"(?U){X.SPACE}+", " "))
+    assert column(spark, values, V.normalise_string) == column(spark, values, slow)
+
+
 @pytest.mark.parametrize("name", ["annual_revenue", "loss_count_3yr", "fein", "o'neil_x", "a__b"])
 def test_title_case(spark, name):
     assert column(spark, [name], X.title_case) == [name.replace("_", " ").title()]
